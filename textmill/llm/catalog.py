@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import bpe, chat, elias
+from textmill.llm import bpe, chat, elias, html
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds what a Python worker holds
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -46,5 +51,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias.written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_chat": op6_chat, "op8_token_files": op8_token_files}
+QUERIES = {
+    "op2_main_text": op2_main_text,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_chat": op6_chat,
+    "op8_token_files": op8_token_files,
+}
 ORACLE: dict[str, str] = {"op6_chat": _OP6_SQL}
