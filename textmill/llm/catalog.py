@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm import bpe, chat, elias, html
+from textmill.llm import bpe, chat, decontaminate, elias, html, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +48,53 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias.written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    scored = quality.score(docs, quality.fit(docs, labels.where(fold != 2)))
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Words of a text with A-Z lower-cased, in DuckDB.
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+_OP10_SQL = rf"""
+WITH dw AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+ish AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+  FROM iw WHERE len(w) > 0
+),
+size AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM ish),
+dsh AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s
+  FROM dw, ks WHERE len(w) >= k
+)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_found, count(*) / n::DOUBLE AS containment
+FROM ish JOIN dsh USING (k, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
 QUERIES = {
     "op2_main_text": op2_main_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_chat": op6_chat,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontaminate": op10_decontaminate,
 }
-ORACLE: dict[str, str] = {"op6_chat": _OP6_SQL}
+ORACLE: dict[str, str] = {"op6_chat": _OP6_SQL, "op10_decontaminate": _OP10_SQL}
