@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, chat, decontaminate, elias, html, quality, rules
+from textmill.llm import bpe, chat, decontaminate, elias, html, quality, rules, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,29 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, i FROM win JOIN least USING (h) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(0, 50) AS r(k)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -90,6 +113,7 @@ GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 
 QUERIES = {
     "op2_main_text": op2_main_text,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
@@ -97,4 +121,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE: dict[str, str] = {"op6_chat": _OP6_SQL, "op10_decontaminate": _OP10_SQL}
+ORACLE: dict[str, str] = {"op3_substring_dedup": _OP3_SQL, "op6_chat": _OP6_SQL, "op10_decontaminate": _OP10_SQL}
