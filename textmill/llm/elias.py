@@ -143,66 +143,84 @@ def loaded(path: str):
     return made
 
 
+_ALNUM, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP[[44, 46]] = True
+
+
 class WordEncoder:
-    """Ids of whole texts through a tokenizer whose pieces never cross ASCII white space: the library
-    encodes each distinct word once, and a text's ids are those of its words in order. `known` bounds
-    the words that are remembered; beyond it the memory starts anew."""
+    """Ids of whole texts through a tokenizer that folds case and whose pieces cross neither ASCII
+    white space nor the gap between an ASCII letter or digit and a comma or full stop: the library
+    encodes a distinct word once, and a text's ids are those of its words in order. At most `known`
+    words are remembered (and those of the text at hand); then the ones met only once since they were
+    learned are forgotten, and if those are few, all. What is forgotten is encoded anew when met."""
 
-    def __init__(self, made, known: int = 400_000):
+    def __init__(self, made, known: int = 600_000):
         self.made, self.known = made, known
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, U)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self._keep(None)
+
+    def _keep(self, which: np.ndarray | None) -> None:
+        if which is None:
+            self.keys = np.zeros(0, U)
+            self.starts, self.lengths, self.met = (np.zeros(0, np.int32) for _ in range(3))
+            self.flat = np.zeros(0, np.int32)
+            return
+        lengths = self.lengths[which]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - (ends - lengths), lengths)
+        self.flat, self.keys, self.lengths = self.flat[at], self.keys[which], lengths
+        self.starts, self.met = (ends - lengths).astype(np.int32), np.zeros(len(lengths), np.int32)
 
     def _learn(self, words: Words, keys: np.ndarray, at: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.known:
-            self._forget()
-        raw = words.bytes.tobytes()
-        texts = [raw[s:e].decode("utf-8") for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
+        s, n = words.starts[at], words.ends[at] - words.starts[at] + 1
+        ends = np.cumsum(n)
+        raw = words.bytes[np.minimum(np.arange(ends[-1]) + np.repeat(s - (ends - n), n), len(words.bytes) - 1)]
+        raw[ends - 1] = 32
+        texts = raw.tobytes().decode("utf-8").split(" ")[:-1]
         found = [e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.array([i for x in found for i in x], dtype=np.int32)
-        starts = np.cumsum(lengths) - lengths + len(self.flat)
-        self.keys = np.concatenate([self.keys, keys])
-        order = np.argsort(self.keys)
-        self.keys = self.keys[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
+        starts = (np.cumsum(lengths) - lengths + len(self.flat)).astype(np.int32)
+        into = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, into, keys)
+        self.starts, self.lengths = np.insert(self.starts, into, starts), np.insert(self.lengths, into, lengths)
+        self.met = np.insert(self.met, into, 0)
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts end to end, and the number of ids of each text."""
-        words = Words(column)
+        words = Words(column, lower=True, cut=(_ALNUM, _STOP))
         keys, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        new = ~np.isin(keys, self.keys, assume_unique=True)
+        if len(self.keys) > self.known:
+            often = np.flatnonzero(self.met > 1)
+            self._keep(often if len(often) <= self.known // 2 else None)
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
         if new.any():
-            before = len(self.keys)
             self._learn(words, keys[new], at[new])
-            if len(self.keys) < before + int(new.sum()):  # it was emptied: learn the rest of this column again
-                left = ~np.isin(keys, self.keys, assume_unique=True)
-                if left.any():
-                    known, self.known = self.known, 1 << 62
-                    self._learn(words, keys[left], at[left])
-                    self.known = known
-        place = np.searchsorted(self.keys, keys)
-        lengths, starts = self.lengths[place][which], self.starts[place][which]
+            place = np.searchsorted(self.keys, keys)
+        self.met[place] += 1
+        lengths = self.lengths[place][which].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
-        edge = np.concatenate([[0], ends])
-        return ids, np.diff(edge[words.first])
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[place][which] - (ends - lengths), lengths)]
+        return ids, np.diff(np.concatenate([[0], ends])[words.first])
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that words stay known from task to task."""
+    return WordEncoder(loaded(path))
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append end_id to each, and write the blocks in ascending order of the key."""
 
     def run(batches):
-        made = loaded(tokenizer_path)
-        coder = WordEncoder(made)
-        width = 2 if max(made.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        coder = word_encoder(tokenizer_path)
+        width = 2 if max(coder.made.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard = _partition()
         state = {"keys": [], "counts": [], "ids": [], "n": 0, "seq": 0, "base": 0}
 
@@ -213,7 +231,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, key:
             state.update(keys=[], counts=[], ids=[], n=0, seq=state["seq"] + 1, base=state["base"] + state["n"])
             return out
 
-        for part in chunks(batches, "t", 2 << 20):
+        for part in chunks(batches, "t", 1 << 20):
             ids, counts = coder.encode(part.column("t"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
@@ -240,6 +258,7 @@ def read(spark, path: str, key: str = "doc_id") -> DataFrame:
     """Documents of written files: key, start (ids before it in all files), n_tokens, ids_crc32 (of
     its ids as little-endian unsigned 32-bit integers)."""
     blocks = spark.read.schema("shard long, seq long, base long, n_docs long, n_tokens long, block binary").parquet(path)
+    # a shard is a partition of the writing job, so this side has one short row for each of its tasks
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
 
@@ -253,7 +272,7 @@ def read(spark, path: str, key: str = "doc_id") -> DataFrame:
                 sums = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(sums, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(before, "shard").select((F.col("before") + F.col("base")).alias("at"), "block").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(F.broadcast(before), "shard").select((F.col("before") + F.col("base")).alias("at"), "block").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(block: bytes, doc_id: int) -> np.ndarray | None:

@@ -86,7 +86,8 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a column: byte spans, the first word of each text, and 64-bit hashes."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, cut: tuple[np.ndarray, np.ndarray] | None = None):
+        """cut: tables of bytes; a word is also divided between a byte of the first and one of the second."""
         self.bytes, self.offsets = utf8(column)
         buf = self.bytes
         if len(buf):
@@ -99,6 +100,10 @@ class Words:
             after = np.zeros(len(buf), dtype=bool)
             after[:-1] = solid[1:]
             after[bound[1:]] = False
+            if cut is not None:
+                parted = cut[0][buf[:-1]] & cut[1][buf[1:]]
+                before[1:] &= ~parted
+                after[:-1] &= ~parted
             self.starts = np.flatnonzero(solid & ~before)
             self.ends = np.flatnonzero(solid & ~after) + 1
         else:
