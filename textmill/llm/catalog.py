@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, chat, decontaminate, elias, html, jaccard, quality, rules, substrings
+from textmill.llm import bpe, chat, decontaminate, elias, html, interpolation, jaccard, quality, rules, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7))
+    return interpolation.score(_table(spark, sf_dir, "documents"), fold != 2, fold == 2)
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
@@ -135,6 +140,7 @@ GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_main_text": op2_main_text,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,

@@ -66,9 +66,9 @@ def slices(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 
 def totals(asked: DataFrame, counts: int, name: str, answer: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """asked: (space, block, bucket, keys binary, c0.. binary). Answers (block, space, bucket, a0.. binary,
-    distinct long, occurrences long): the sums of each count over all blocks, aligned with the block's own
-    keys; distinct keys whose first count is positive and the sum of first counts are on one row of each
-    bucket. `answer` reshapes a sum before it is sent."""
+    distinct long, occurrences long, others long): the sums of each count over all blocks, aligned with the block's own
+    keys; distinct keys whose first count is positive, and the sums of first and last counts, are on one
+    row of each bucket. `answer` reshapes a sum before it is sent."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
@@ -83,9 +83,9 @@ def totals(asked: DataFrame, counts: int, name: str, answer: Callable[[np.ndarra
             answers.append(pa.array([pack(sent[where[ends[i] : ends[i + 1]]]) for i in range(len(keys))], pa.binary()))
         n = len(keys)
         lead = lambda v: pa.array([int(v)] + [0] * (n - 1), pa.int64())
-        return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("space").combine_chunks(), table.column("bucket").combine_chunks(), *answers, lead((first > 0).sum()), lead(first.sum())], ["block", "space", "bucket", *[f"a{c}" for c in range(counts)], "distinct", "occurrences"])
+        return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("space").combine_chunks(), table.column("bucket").combine_chunks(), *answers, lead((first > 0).sum()), lead(first.sum()), lead(total.sum())], ["block", "space", "bucket", *[f"a{c}" for c in range(counts)], "distinct", "occurrences", "others"])
 
-    schema = "block int, space int, bucket int, " + ", ".join(f"a{c} binary" for c in range(counts)) + ", `distinct` long, occurrences long"
+    schema = "block int, space int, bucket int, " + ", ".join(f"a{c} binary" for c in range(counts)) + ", `distinct` long, occurrences long, others long"
     return scratch.table(asked.groupBy("space", "bucket").applyInArrow(run, schema), name)
 
 
