@@ -135,9 +135,9 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
     return encoded.select(F.col(f"`{key}`").alias("k"), F.col(f"`{ids}`").alias("i")).mapInArrow(run, f"`{key}` {kind}, bytes binary, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, decode the ids, and describe both in one pass: key, n_tokens, ids_sha256 (decimal ids
-    joined by a space), decoded_sha256 (decoded bytes). Row by row, without a shuffle."""
+    joined by a space), decoded_sha256 (decoded bytes), with with_ids also ids. Row by row, without a shuffle."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
@@ -145,12 +145,16 @@ def round_trip(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str
         said = np.array([b"%d " % i for i in range(len(table.lengths))], dtype=object)
         for part in chunks(batches, "t", BATCH_BYTES):
             texts = ["" if x is None else x for x in part.column("t").to_pylist()]
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for e in made.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.array(e.ids, dtype=np.int64)
                 n.append(len(ids))
+                kept.append(ids.astype(np.int32) if with_ids else None)
                 a.append(hashlib.sha256(b"".join(said[ids])[:-1]).hexdigest())
                 b.append(hashlib.sha256(table.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [part.column("k"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate([*kept, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
