@@ -1,8 +1,11 @@
 """Registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from textmill.plans import search_queries
+
+_PARTS = [search_queries.R]
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLE = {name: text for part in _PARTS for name, text in part.sql.items()}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["sort_relevance"](spark, sf_dir)
