@@ -74,7 +74,7 @@ class Tokens:
 
     def estimates(self, counts: list[np.ndarray], all_tokens: float, all_texts: float):
         """counts: of each order, aligned with its sorted keys. The counts of each token's n-grams and contexts."""
-        per = [c[np.searchsorted(np.unique(k), k)].astype(np.float64) for c, k in zip(counts, self.keys, strict=True)]
+        per = [c[np.unique(k, return_inverse=True)[1]].astype(np.float64) for c, k in zip(counts, self.keys, strict=True)]
         context1, context2 = np.empty(len(per[0])), np.empty(len(per[0]))
         context1[1:], context2[1:] = per[0][:-1], per[1][:-1]
         context1[self.begins], context2[self.begins] = all_texts, all_texts
