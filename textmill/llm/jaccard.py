@@ -10,7 +10,7 @@ link when 100 * |intersection| >= 80 * |union|.
    token under every order. Tokens of one document only cannot be shared and are left out, so
    only sets that are mostly shared have any prefix tokens at all.
 3. Equal sets are one class. Candidates share a prefix token of the first order, have compatible
-   sizes, and intersect under the other orders; those are tested on 64-bit summaries of the
+   sizes and places of that token, and intersect under the other orders; those are tested on 64-bit summaries of the
    prefixes, which never reject a sharing pair.
 4. Each token's members are first tied to the least of them. Verified links form components. Then
    all remaining pairs of one token whose members are in different components are verified, so a
@@ -83,29 +83,34 @@ def _prefixes(values: np.ndarray, rank: np.ndarray, offsets: np.ndarray, per_cen
     length = np.where(sizes > 0, sizes - -(-per_cent * sizes // 100) + 1, 0)
     owner = np.repeat(np.arange(n), sizes)
     shared = rank > 0
+    # tokens of one document come first under every order, so they only use up places of the prefix
+    left = np.maximum(length - np.bincount(owner[~shared], minlength=n), 0)
+    some = np.flatnonzero(shared & (left > 0)[owner])
+    v, r, o = values[some], rank[some], owner[some]
+    held = np.bincount(o, minlength=n)
+    inside = np.arange(len(some)) - np.repeat(np.cumsum(held) - held, held)
+    chosen_here = inside < left[o]
     out, masks = None, []
     for salt in ORDERS:
-        h = values if not salt else mix(values ^ U(salt))
-        order = np.lexsort((h, rank, owner))
-        inside = np.arange(len(order)) - np.repeat(offsets[:-1], sizes)
-        chosen = order[(inside < np.repeat(length, sizes)) & shared[order]]
+        h = v if not salt else mix(v ^ U(salt))
+        chosen = np.lexsort((h, r, o))[chosen_here]
         if out is None:
-            out = chosen
+            out = some[chosen]
         else:
             mask = np.zeros(n, dtype=U)
-            np.bitwise_or.at(mask, owner[chosen], U(1) << (h[chosen] & U(63)))
+            np.bitwise_or.at(mask, o[chosen], U(1) << (h[chosen] & U(63)))
             masks.append(mask)
     return out, owner, shared, masks
 
 
 def _described(docs: DataFrame, answers: DataFrame, per_cent: int) -> DataFrame:
-    """doc, n, a, b (two sums that name the set), prefix array<long>, m1, m2, body binary (the shared shingles)."""
+    """doc, n, a, b (two sums that name the set), alone (tokens of this document only), prefix array<long>, m1, m2,
+    body binary (the shared shingles)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         values, offsets = _block_sets(left)
-        keys = values >> U(64 - COUNT_BITS)
-        known = np.unique(keys)
-        rank = exchange.answered(right, 0, "a0")[np.searchsorted(known, keys)] if len(keys) else np.zeros(0, U)
+        _, place = np.unique(values >> U(64 - COUNT_BITS), return_inverse=True)
+        rank = exchange.answered(right, 0, "a0")[place] if len(values) else np.zeros(0, U)
         total = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
         other = np.concatenate([np.zeros(1, U), np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), dtype=U)])
         a, b = total[offsets[1:]] - total[offsets[:-1]], other[offsets[1:]] - other[offsets[:-1]]
@@ -114,17 +119,23 @@ def _described(docs: DataFrame, answers: DataFrame, per_cent: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(values[prefix].view(np.int64)))
         bodies = [values[offsets[i] : offsets[i + 1]][shared[offsets[i] : offsets[i + 1]]].tobytes() if many[i] else None for i in range(len(many))]
         signed = lambda x: pa.array(x.view(np.int64))
-        return pa.Table.from_arrays([left.column("k").combine_chunks(), pa.array(np.diff(offsets)), signed(a), signed(b), lists, signed(masks[0]), signed(masks[1]), pa.array(bodies, pa.binary())], ["doc", "n", "a", "b", "prefix", "m1", "m2", "body"])
+        alone = np.bincount(owner[~shared], minlength=len(offsets) - 1)
+        return pa.Table.from_arrays([left.column("k").combine_chunks(), pa.array(np.diff(offsets)), signed(a), signed(b), pa.array(alone), lists, signed(masks[0]), signed(masks[1]), pa.array(bodies, pa.binary())], ["doc", "n", "a", "b", "alone", "prefix", "m1", "m2", "body"])
 
     out = docs.groupBy("block").cogroup(answers.groupBy("block"))
-    return out.applyInArrow(run, "doc long, n long, a long, b long, prefix array<long>, m1 long, m2 long, body binary")
+    return out.applyInArrow(run, "doc long, n long, a long, b long, alone long, prefix array<long>, m1 long, m2 long, body binary")
 
 
 def _possible(pairs: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (u, v with n, m1, m2 of each side) that may still link: sizes, then the other orders."""
+    """Pairs (u, v with n, at, m1, m2 of each side) that may still link: sizes, places, then the other orders.
+
+    At the first token that two sets share, all they share comes from that place on: a link needs enough
+    places behind it on both sides. At a later one the rule may fail, but the pair passed at its first."""
     small, large = F.least("u.n", "v.n"), F.greatest("u.n", "v.n")
+    rest = F.least(F.col("u.n") - F.col("u.at"), F.col("v.n") - F.col("v.at"))
+    sizes = (100 * small >= per_cent * large) & ((100 + per_cent) * rest >= per_cent * (small + large))
     meet = (F.col("u.m1").bitwiseAND(F.col("v.m1")) != 0) & (F.col("u.m2").bitwiseAND(F.col("v.m2")) != 0)
-    return pairs.where((100 * small >= per_cent * large) & meet).select(F.col("u.doc").alias("u"), F.col("v.doc").alias("v")).where("u <> v").distinct()
+    return pairs.where(sizes & meet).select(F.col("u.doc").alias("u"), F.col("v.doc").alias("v")).where("u <> v").distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, per_cent: int) -> DataFrame:
@@ -160,7 +171,9 @@ def join(docs: DataFrame, per_cent: int = 80, key: str = "doc_id", text: str = "
 
     classes = scratch.table(sets.where("doc IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep")), "set-classes")
     bodies = sets.where("body IS NOT NULL").join(classes.select("n", "a", "b", F.col("rep").alias("doc")), ["n", "a", "b", "doc"], "left_semi")
-    tokens = scratch.table(bodies.select(F.explode("prefix").alias("token"), F.struct("doc", "n", "m1", "m2").alias("d")), "prefix-tokens")
+    placed_tokens = bodies.select(F.posexplode("prefix").alias("i", "token"), "doc", "n", "alone", "m1", "m2")
+    # `at`: how many tokens come before this one in the first order
+    tokens = scratch.table(placed_tokens.select("token", F.struct("doc", "n", (F.col("alone") + F.col("i")).alias("at"), "m1", "m2").alias("d")), "prefix-tokens")
     heads = tokens.groupBy("token").agg(F.min("d").alias("u"), F.count("*").alias("members")).where("members > 1")
     stars = _possible(tokens.join(heads, "token").select("u", F.col("d").alias("v")), per_cent)
     links = _verified(stars, bodies, per_cent)
