@@ -131,7 +131,8 @@ def format_size(size: Column | str, largest: str = "TB") -> Column:
 
 
 def format_date(at: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
-    return F.date_format(F.timestamp_seconds(_col(at)), pattern)
+    """Epoch seconds as a date in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(_col(at)), F.current_timezone()), pattern)
 
 
 def decode_states(raw: Column | str) -> Column:

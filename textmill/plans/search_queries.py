@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from textmill.functions import snippet, tokens
 from textmill.operators import index, match, rank
 from textmill.plans import sql
-from textmill.plans.query import parse
+from textmill.plans.query import Filters, Hints, Query, parse
 from textmill.plans.registry import Registry
 from textmill.sources import views
 from textmill.sources.views import CHUNKS_SQL, CJK_SQL, FILES_SQL
@@ -18,7 +20,7 @@ ONE = parse("from")
 PHRASE = parse('"of the" and')
 THREE = parse("the that from")
 FILTERED = parse("from ext:pdf after:2025-03-01 size:>=200KB")
-FAMILY = parse("with ext:@sheet")
+FAMILY = replace(parse("from"), filters=Filters(extension="@sheet"))
 NAMED = parse("report from")
 HINTED = parse("from page:2 slide:3 sheet:src1")
 CJK_ONE = parse("客户经理")
@@ -56,10 +58,7 @@ for _name, _text in {
     "filter_size": "size:>=1MB size:<2MB",
     "family_filter": "ext:x",
 }.items():
-    _q = parse(_text)
-    if _name == "family_filter":
-        _q = parse("x")
-        _q = type(_q)((), type(_q.filters)(extension="@slides"))
+    _q = Query(filters=Filters(extension="@slides")) if _name == "family_filter" else parse(_text)
 
     @R.add(_name, f"WITH {FILES_SQL} SELECT file_id, path, extension, size FROM files WHERE {sql.metadata(_q)}")
     def _filter(spark, d, q=_q):
@@ -164,8 +163,7 @@ def _boost(name, column, twin):
 
 
 def _hinted(**hints):
-    q = parse("x")
-    return type(q)(q.terms, q.filters, type(q.hints)(**hints))
+    return Query(hints=Hints(**hints))
 
 
 _boost("boost_page", rank.page_boost(2), sql.structure_boost(_hinted(page=2)))
