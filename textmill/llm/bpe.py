@@ -4,7 +4,9 @@ The tokenizers library encodes whole Arrow batches. Its vocabulary and merges co
 file (base64 token, rank): a token's merge is the pair left when its bytes are merged by lower
 ranks only, which makes the library's merge list equal to merging by rank. Bytes are written as
 characters by the usual printable-byte table; decoding inverts that table, so ids turn back into
-exact bytes even where one character's bytes are split over tokens.
+exact bytes even where one character's bytes are split over tokens. Where only ids are asked for, a
+text is first cut at places that no piece of the pattern crosses, and each distinct segment goes
+through the library once.
 
 Null text: an empty document without ids. Empty tables give empty results. Repeated rows and
 equal ids are encoded one by one. Other columns of the input are kept out of the result, so
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.words import chunks
+from textmill.llm.memo import Memo
+from textmill.llm.words import chunks, span_hashes, utf8
 
 #: Fixed value: the pattern that splits text before merging in this vocabulary's encoders.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,6 +74,62 @@ def tokenizer(path: str, pattern: str = PATTERN):
     return made
 
 
+def _flags(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+_WHITE, _SOLID, _CONT = _flags((9, 13), (32, 32)), _flags((0x21, 0x7E)), _flags((0x80, 0xBF))
+#: First bytes of the two-byte characters from U+00C0 on, none of which is white space.
+_TWO = _flags((0xC3, 0xDF))
+_ALNUM, _STOP = _flags((48, 57), (65, 90), (97, 122)), _flags((44, 44), (46, 46))
+
+
+def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of byte spans that the pattern splits alike alone and in their text: cut before
+    white space that follows what is surely none, before a space that precedes what is surely none, and
+    between an ASCII letter or digit and a comma or full stop."""
+    n = len(buf)
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[offsets] = True
+    if n > 1:
+        a, b = buf[:-1], buf[1:]
+        firm = _SOLID[a]
+        firm[1:] |= _CONT[a[1:]] & _TWO[a[:-1]]
+        cut[1:-1] |= (_WHITE[b] & firm) | (_ALNUM[a] & _STOP[b])
+        cut[:-2] |= (a == 32) & (_SOLID[b] | _TWO[b])
+    at = np.flatnonzero(cut)
+    return at[:-1], at[1:]
+
+
+class Coder:
+    """Texts to ids through the library, each distinct segment once."""
+
+    def __init__(self, path: str, known: int = 600_000):
+        self.memo = Memo(tokenizer(path), known)
+
+    def column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column end to end, and the n+1 offsets of its rows."""
+        buf, offsets = utf8(column)
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        starts, ends = segments(buf, offsets)
+        ids, edges = self.memo.ids(buf, starts, ends, span_hashes(buf, starts, ends))
+        return ids, edges[np.searchsorted(np.append(starts, len(buf)), offsets)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, offsets = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def coder(path: str) -> Coder:
+    """One for each Python worker, so that segments stay known from task to task."""
+    return Coder(path)
+
+
 class ByteTable:
     """Bytes of each id, laid end to end, so that a list of ids decodes by one gather."""
 
@@ -141,20 +200,17 @@ def round_trip(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        made, table = tokenizer(ranks_path), byte_table(ranks_path)
+        made, table = coder(ranks_path), byte_table(ranks_path)
         said = np.array([b"%d " % i for i in range(len(table.lengths))], dtype=object)
         for part in chunks(batches, "t", BATCH_BYTES):
-            texts = ["" if x is None else x for x in part.column("t").to_pylist()]
-            n, a, b, kept = [], [], [], []
-            for e in made.encode_batch_fast(texts, add_special_tokens=False):
-                ids = np.array(e.ids, dtype=np.int64)
-                n.append(len(ids))
-                kept.append(ids.astype(np.int32) if with_ids else None)
-                a.append(hashlib.sha256(b"".join(said[ids])[:-1]).hexdigest())
-                b.append(hashlib.sha256(table.decode(ids)).hexdigest())
+            ids, offsets = made.column(part.column("t"))
+            n, a, b = np.diff(offsets), [], []
+            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                a.append(hashlib.sha256(b"".join(said[ids[s:e]].tolist())[:-1]).hexdigest())
+                b.append(hashlib.sha256(table.decode(ids[s:e])).hexdigest())
             columns = [part.column("k"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate([*kept, np.zeros(0, np.int32)])))
+                columns.append(pa.ListArray.from_arrays(offsets.astype(np.int32), ids))
             yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

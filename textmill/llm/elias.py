@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import scratch
+from textmill.llm.memo import Memo
 from textmill.llm.words import U, Words, chunks
 
 BLOCK_TOKENS = 1 << 20
@@ -150,63 +151,17 @@ _STOP[[44, 46]] = True
 
 class WordEncoder:
     """Ids of whole texts through a tokenizer that folds case and whose pieces cross neither ASCII
-    white space nor the gap between an ASCII letter or digit and a comma or full stop: the library
-    encodes a distinct word once, and a text's ids are those of its words in order. At most `known`
-    words are remembered (and those of the text at hand); then the ones met only once since they were
-    learned are forgotten, and if those are few, all. What is forgotten is encoded anew when met."""
+    white space nor the gap between an ASCII letter or digit and a comma or full stop: a text's ids
+    are those of its words in order."""
 
     def __init__(self, made, known: int = 600_000):
-        self.made, self.known = made, known
-        self._keep(None)
-
-    def _keep(self, which: np.ndarray | None) -> None:
-        if which is None:
-            self.keys = np.zeros(0, U)
-            self.starts, self.lengths, self.met = (np.zeros(0, np.int32) for _ in range(3))
-            self.flat = np.zeros(0, np.int32)
-            return
-        lengths = self.lengths[which]
-        ends = np.cumsum(lengths, dtype=np.int64)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[which] - (ends - lengths), lengths)
-        self.flat, self.keys, self.lengths = self.flat[at], self.keys[which], lengths
-        self.starts, self.met = (ends - lengths).astype(np.int32), np.zeros(len(lengths), np.int32)
-
-    def _learn(self, words: Words, keys: np.ndarray, at: np.ndarray) -> None:
-        s, n = words.starts[at], words.ends[at] - words.starts[at] + 1
-        ends = np.cumsum(n)
-        raw = words.bytes[np.minimum(np.arange(ends[-1]) + np.repeat(s - (ends - n), n), len(words.bytes) - 1)]
-        raw[ends - 1] = 32
-        texts = raw.tobytes().decode("utf-8").split(" ")[:-1]
-        found = [e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
-        starts = (np.cumsum(lengths) - lengths + len(self.flat)).astype(np.int32)
-        into = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, into, keys)
-        self.starts, self.lengths = np.insert(self.starts, into, starts), np.insert(self.lengths, into, lengths)
-        self.met = np.insert(self.met, into, 0)
-        self.flat = np.concatenate([self.flat, flat])
+        self.made, self.memo = made, Memo(made, known)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts end to end, and the number of ids of each text."""
         words = Words(column, lower=True, cut=(_ALNUM, _STOP))
-        keys, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.keys) > self.known:
-            often = np.flatnonzero(self.met > 1)
-            self._keep(often if len(often) <= self.known // 2 else None)
-        place = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), dtype=bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
-        if new.any():
-            self._learn(words, keys[new], at[new])
-            place = np.searchsorted(self.keys, keys)
-        self.met[place] += 1
-        lengths = self.lengths[place][which].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[place][which] - (ends - lengths), lengths)]
-        return ids, np.diff(np.concatenate([[0], ends])[words.first])
+        ids, edges = self.memo.ids(words.bytes, words.starts, words.ends, words.hash)
+        return ids, np.diff(edges[words.first])
 
 
 @functools.lru_cache(maxsize=2)

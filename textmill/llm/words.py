@@ -125,22 +125,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            out = np.empty(len(self.starts), dtype=U)
-            at = 0
-            while at < len(out):
-                base = int(self.starts[at])
-                to = max(at + 1, int(np.searchsorted(self.ends, base + SEGMENT, side="right")))
-                part = self.bytes[base : int(self.ends[to - 1])]
-                up, down = _BYTES.need(len(part))
-                terms = (_LOWER[part] if self.lower else part).astype(U)
-                terms += U(1)
-                terms *= up[: len(part)]
-                total = np.zeros(len(part) + 1, dtype=U)
-                np.cumsum(terms, out=total[1:])
-                s, e = self.starts[at:to] - base, self.ends[at:to] - base
-                out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-                at = to
-            self._hash = out
+            self._hash = span_hashes(self.bytes, self.starts, self.ends, self.lower)
         return self._hash
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +133,26 @@ class Words:
         return windows(self.hash, self.first, n)
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the byte spans buf[start:end], which are in order and do not overlap."""
+    out = np.empty(len(starts), dtype=U)
+    at = 0
+    while at < len(out):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
+        part = buf[base : int(ends[to - 1])]
+        up, down = _BYTES.need(len(part))
+        terms = (_LOWER[part] if lower else part).astype(U)
+        terms += U(1)
+        terms *= up[: len(part)]
+        total = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum(terms, out=total[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+        at = to
+    return out
+
+
 def windows(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
     inside = np.ones(len(h), dtype=bool)
