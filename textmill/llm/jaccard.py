@@ -197,7 +197,7 @@ def join(docs: DataFrame, per_cent: int = 80, key: str = "doc_id", text: str = "
         .select("n", "a", "b", F.coalesce("root", "c").alias("component"))
     )
     out = sets.select("doc", "n", "a", "b").join(final, ["n", "a", "b"], "left")
-    result = out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).cast(kind).alias("component_id"))
+    result = out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "doc")).otherwise(F.col("doc")).cast(kind).alias("component_id"))
     scratch.release(spark)
     return result
 
