@@ -159,19 +159,19 @@ def legacy_search_file(spark, d):
 def _boost(name, column, twin):
     @R.add(name, f"WITH {FILES_SQL}, {CHUNKS_SQL} SELECT chunk_id, location, b AS boost FROM (SELECT *, {twin} AS b FROM chunks) WHERE b < 0")
     def run(spark, d):
-        return views.chunks(spark, d).select("chunk_id", "location", column.alias("boost")).where("boost < 0")
+        return views.chunks(spark, d).select("chunk_id", "location", column().alias("boost")).where("boost < 0")
 
 
 def _hinted(**hints):
     return Query(hints=Hints(**hints))
 
 
-_boost("boost_page", rank.page_boost(2), sql.structure_boost(_hinted(page=2)))
-_boost("boost_slide", rank.slide_boost(3), sql.structure_boost(_hinted(slide=3)))
-_boost("boost_sheet", rank.sheet_boost("SRC 1_"), sql.structure_boost(_hinted(sheet="SRC 1_")))
-_boost("boost_location_phrase", rank.phrase_in_location("标题 SRC1"), sql.location_boost(parse('"标题 SRC1"')))
-_boost("boost_location_terms", rank.location_boost("src1 工作表 行"), sql.location_boost(parse("src1 工作表 行")))
-_boost("boost_location_any", rank.location_boost("src 标题 块"), sql.location_boost(parse("src 标题 块")))
+_boost("boost_page", lambda: rank.page_boost(2), sql.structure_boost(_hinted(page=2)))
+_boost("boost_slide", lambda: rank.slide_boost(3), sql.structure_boost(_hinted(slide=3)))
+_boost("boost_sheet", lambda: rank.sheet_boost("SRC 1_"), sql.structure_boost(_hinted(sheet="SRC 1_")))
+_boost("boost_location_phrase", lambda: rank.phrase_in_location("标题 SRC1"), sql.location_boost(parse('"标题 SRC1"')))
+_boost("boost_location_terms", lambda: rank.location_boost("src1 工作表 行"), sql.location_boost(parse("src1 工作表 行")))
+_boost("boost_location_any", lambda: rank.location_boost("src 标题 块"), sql.location_boost(parse("src 标题 块")))
 
 
 @R.add("boost_filename", f"WITH {FILES_SQL} SELECT file_id, filename, {sql.filename_boost(parse('DOC_00'))} AS prefix, {sql.filename_boost(parse('report_000100'))} AS stem, {sql.filename_boost(parse('7.p'))} AS inside FROM files")
