@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+WORD = r"[\p{L}\p{N}\p{Co}]+"
 CJK_RUN = "[㐀-䶿一-鿿]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,7 +47,8 @@ def fold(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"\p{Mn}", ""))
+    """Combining marks go before the split: inside a word they are dropped, elsewhere they begin none."""
+    return F.regexp_extract_all(F.regexp_replace(fold(c), r"\p{Mn}+", ""), F.lit(WORD), F.lit(0))
 
 
 def cjk_bigrams(c: Column | str) -> Column:

@@ -14,7 +14,8 @@ WEIGHTS = (5.0, 1.0)
 def tokenised(chunks: DataFrame, lane: str = "word") -> DataFrame:
     """chunks with ft, ct (tokens of file name and content) and dl (their number)."""
     make = LANES[lane]
-    out = chunks.withColumns({"ft": make("filename"), "ct": make("content")})
+    # a generator of one row, so that later steps read the arrays and do not tokenise anew at each mention
+    out = chunks.select("*", F.inline(F.array(F.struct(make("filename").alias("ft"), make("content").alias("ct")))))
     return out.withColumn("dl", F.size("ft") + F.size("ct"))
 
 

@@ -23,8 +23,11 @@ def occurrences(array: Column | str, phrase: list[str]) -> Column:
     a = F.col(array) if isinstance(array, str) else array
     if len(phrase) == 1:
         return F.size(F.filter(a, lambda t: t == phrase[0]))
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - len(phrase), F.lit(0))), lambda i: functools.reduce(operator.and_, [F.coalesce(F.get(a, i + k) == t, F.lit(False)) for k, t in enumerate(phrase)]))
-    return F.when(F.size(a) >= len(phrase), F.size(at)).otherwise(F.lit(0))
+    # one pass for each token of the phrase: no access by index, which would evaluate the array anew for each place
+    is_ = lambda t: lambda x: x == t
+    hits = [F.transform(F.slice(a, k + 1, F.size(a)), is_(t)) for k, t in enumerate(phrase)]
+    both = functools.reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(p & q, F.lit(False))), hits)
+    return F.size(F.filter(both, lambda x: x))
 
 
 def idf(n_chunks: Column, n_with: Column) -> Column:
