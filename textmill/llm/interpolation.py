@@ -10,8 +10,9 @@ maximum-likelihood estimates and a uniform share for unseen tokens are mixed:
 where k buckets a context by the binary logarithm of its frequency; an unseen context has weight
 0. The weights are learned by expectation-maximisation on held-out counts: every tenth block of
 training documents is deleted from the counts (whole-corpus counts less the deleted part's), and
-its tokens are summed up by bucket and by their estimates to half an octave. That table of sums has
-a size that does not grow with the corpus; it alone goes to the driver. Scores then use the counts
+its tokens are summed up by bucket and by their estimates to an octave. An estimate is at least one
+over its context's frequency, so at most 8 million cells can occur, whatever the corpus; that table
+of sums alone goes to the driver. Scores then use the counts
 of all training documents.
 
 All counts cover all training documents and come back to each block of documents through the
@@ -35,7 +36,7 @@ from textmill.llm.words import U, Words, chunks, mix
 BITS = (64, 48, 48)
 DELETED = 10
 BUCKETS = 32
-STEPS = 2
+STEPS = 1
 NONE = 127
 _END, _START = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 _P, _Q = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
