@@ -84,6 +84,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert live == rest[: len(live)] and len(live) >= 2
 
 
+def test_stream_debounce_equals_batch(spark, tmp_path):
+    rows = [event(t / 2, "modified", f"/a/f{t % 3}.txt") for t in range(50)] + [event(40, "created", "/a/late.txt"), event(41, "deleted", "/a/d", folder=True)]
+    df = spark.createDataFrame(rows, EVENT)
+    for i, part in enumerate((df.where("ts < '2026-01-01 00:00:13'"), df.where("ts >= '2026-01-01 00:00:13'"), spark.createDataFrame([event(500, "modified", "/a/end.txt")], EVENT), spark.createDataFrame([event(900, "modified", "/a/end.txt")], EVENT))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events")
+        source = watch.changes(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in/events")).withColumn("root", F.lit("/a"))
+        query = watch.stream_debounce(source, "root", "5 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").outputMode("append").start()
+        query.processAllAvailable()
+        query.stop()
+    live = sorted((r.first_ts, tuple(r.paths), r.full_rescan) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    found = watch.changes(df).withColumn("root", F.lit("/a"))
+    want = sorted((r.first_ts, tuple(r.paths), r.full_rescan) for r in watch.debounce(found, "root").collect())
+    assert live[: len(want)] == want and len(want) == 4 and live[3][2]
+
+
 def test_run_hands_over_batches(spark, tmp_path):
     df = spark.createDataFrame([event(0, "created", "/a/x.txt")], EVENT)
     df.write.parquet(f"{tmp_path}/in/events")

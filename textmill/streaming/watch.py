@@ -1,14 +1,15 @@
 """The change stream: which events count, and when a batch of them is flushed.
 
 Events: ts (timestamp), event_type, is_directory, src_path, dest_path. The same functions run on
-batch tables and streams; `debounce` is the batch form of the capped quiet period, and
-`stream_batches` its streaming form with a session window, after which a cap splits long sessions.
+batch tables and streams; `debounce` is the batch form of the capped quiet period, `stream_debounce` its
+streaming form with state of its own, and `stream_batches` a plain session window without the cap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +73,39 @@ def stream_batches(found: DataFrame, key: str, late: str = "30 seconds", quiet:
     return found.withWatermark("ts", late).groupBy(key, F.session_window("ts", quiet).alias("w")).agg(F.min("ts").alias("first_ts"), F.array_sort(F.collect_set("path")).alias("paths"), F.bool_or("rescan").alias("full_rescan"))
 
 
+def stream_debounce(found: DataFrame, key: str, late: str = "30 seconds", quiet: float = QUIET, cap: float = CAP) -> DataFrame:
+    """Streaming form of `debounce`: a key's batch is kept as state and emitted when a later change shows that it
+    was over, or when the watermark has passed its quiet period or its cap."""
+    kind = dict(found.dtypes)[key]
+    out = f"`{key}` {kind}, first_ts timestamp, paths array<string>, full_rescan boolean"
+
+    def row(name, first, paths, rescan):
+        return pd.DataFrame({key: [name], "first_ts": [pd.Timestamp(first, unit="s")], "paths": [sorted(paths)], "full_rescan": [rescan]})
+
+    def step(names, parts, state):
+        if state.hasTimedOut:
+            first, _, paths, rescan = state.get
+            state.remove()
+            yield row(names[0], first, paths, rescan)
+            return
+        first, last, paths, rescan = state.get if state.exists else (None, None, [], False)
+        paths = set(paths)
+        rows = pd.concat(list(parts)).sort_values("ts")
+        for at, path, again in zip(rows["ts"].astype("int64") / 1e9, rows["path"], rows["rescan"], strict=True):
+            if first is not None and (at - last >= quiet or at - first >= cap):
+                yield row(names[0], first, paths, rescan)
+                first, paths, rescan = None, set(), False
+            first, last = at if first is None else first, at if last is None or first is None else max(at, last)
+            if path is not None:
+                paths.add(path)
+            rescan = bool(rescan or again)
+        state.update((float(first), float(last), sorted(paths), rescan))
+        state.setTimeoutTimestamp(max(int(min(last + quiet, first + cap) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    narrow = found.select(key, F.col("ts").cast("timestamp").alias("ts"), "path", "rescan").withWatermark("ts", late)
+    return narrow.groupBy(key).applyInPandasWithState(step, out, "first double, last double, paths array<string>, rescan boolean", "append", "EventTimeTimeout")
+
+
 def run(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands every micro-batch to `apply`, e.g. an update of the given paths."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").start()
