@@ -10,6 +10,7 @@ and buckets that grow with the data. Larger executors want larger blocks.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -20,10 +21,18 @@ from pyspark.sql import functions as F
 from textmill.llm import scratch
 from textmill.llm.words import U
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _ZSTD = "zstd"
 
 
+def tidy() -> None:
+    """Give memory that a block has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pack(a: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
     planes = np.ascontiguousarray(np.asarray(a, dtype="<u8").view(np.uint8).reshape(-1, 8).T)
@@ -82,6 +91,7 @@ def totals(asked: DataFrame, counts: int, name: str, answer: Callable[[np.ndarra
             sent = answer(total) if answer else total
             answers.append(pa.array([pack(sent[where[ends[i] : ends[i + 1]]]) for i in range(len(keys))], pa.binary()))
         n = len(keys)
+        tidy()
         lead = lambda v: pa.array([int(v)] + [0] * (n - 1), pa.int64())
         return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("space").combine_chunks(), table.column("bucket").combine_chunks(), *answers, lead((first > 0).sum()), lead(first.sum()), lead(total.sum())], ["block", "space", "bucket", *[f"a{c}" for c in range(counts)], "distinct", "occurrences", "others"])
 

@@ -43,47 +43,79 @@ _P, _Q = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 
 
 class Tokens:
-    """A block's tokens in text order with their predecessors, and keys of the three orders."""
+    """A block's tokens in text order; token i of the block is in text owner[i]."""
 
     def __init__(self, table: pa.Table):
         hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for part in chunks(table.to_batches(), "t", 4 << 20):
+        for part in chunks(table.to_batches(), "t", 1 << 20):
             w = Words(part.column("t"), lower=True)
             hashes.append(w.hash)
             counts.append(w.counts)
         counts = np.concatenate(counts)
-        ends = np.cumsum(counts)
-        now = np.insert(np.concatenate(hashes), ends, _END)
+        now = np.insert(np.concatenate(hashes), np.cumsum(counts), _END)
+        del hashes
         self.n = counts + 1
-        self.last = np.cumsum(self.n)
-        self.first = self.last - self.n
-        one = np.empty_like(now)
-        one[1:] = now[:-1]
-        one[self.first] = _START
-        two = np.empty_like(now)
-        two[1:] = one[:-1]
-        two[self.first] = _START
-        self.owner = np.repeat(np.arange(len(counts)), self.n)
+        first = np.cumsum(self.n) - self.n
+        self.owner = np.repeat(np.arange(len(counts), dtype=np.int32), self.n)
         self.begins = np.zeros(len(now), dtype=bool)
-        self.begins[self.first] = True
-        pair = mix(one * _P + now)
-        self.keys = (now, pair >> U(16), mix(mix(two * _P + one) * _Q + now) >> U(16))
+        self.begins[first] = True
+        self.now = now
+
+    def key(self, order: int) -> np.ndarray:
+        """Each token's key of an order, made anew when asked for: a block holds only one at a time."""
+        if order == 0:
+            return self.now
+        at = np.flatnonzero(self.begins)
+        out = np.empty_like(self.now)
+        out[1:] = self.now[:-1]
+        out[at] = _START
+        if order == 2:
+            one = out
+            out = np.empty_like(one)
+            out[1:] = one[:-1]
+            out[at] = _START
+            out *= _P
+            out += one
+            del one
+            out = mix(out)
+            out *= _Q
+        else:
+            out *= _P
+        out += self.now
+        out = mix(out)
+        out >>= U(16)
+        return out
+
+    def __len__(self) -> int:
+        return len(self.owner)
 
     def table(self, order: int, flags: list[np.ndarray]):
-        keys, where = np.unique(self.keys[order], return_inverse=True)
+        """Sorted distinct keys of an order, and for each of the flags of texts the occurrences in flagged ones."""
+        keys, where = np.unique(self.key(order), return_inverse=True)
         return keys, [np.bincount(where, f[self.owner], len(keys)).astype(U) for f in flags]
 
-    def estimates(self, counts: list[np.ndarray], all_tokens: float, all_texts: float):
-        """counts: of each order, aligned with its sorted keys. The counts of each token's n-grams and contexts."""
-        per = [c[np.unique(k, return_inverse=True)[1]].astype(np.float64) for c, k in zip(counts, self.keys, strict=True)]
-        context1, context2 = np.empty(len(per[0])), np.empty(len(per[0]))
-        context1[1:], context2[1:] = per[0][:-1], per[1][:-1]
-        context1[self.begins], context2[self.begins] = all_texts, all_texts
-        with np.errstate(divide="ignore", invalid="ignore"):
-            f1 = per[0] / all_tokens if all_tokens else np.zeros(len(per[0]))
-            f2 = np.where(context1 > 0, per[1] / context1, 0.0)
-            f3 = np.where(context2 > 0, per[2] / context2, 0.0)
-        return per[0], f1, np.minimum(f2, 1.0), np.minimum(f3, 1.0), bucket(context1), bucket(context2)
+    def estimates(self, counts: list[np.ndarray], all_tokens: float, all_texts: float, step: int = 1 << 18):
+        """counts: of each order, aligned with its sorted keys. Yields, for a slice of the tokens at a time,
+        the slice, unigram counts, the three estimates and the buckets of both contexts. Uses the tokens up."""
+        places = []
+        for order in range(3):
+            places.append(np.unique(self.key(order), return_inverse=True)[1].astype(np.int32))
+        del self.now
+        for low in range(0, len(self), step):
+            part = slice(low, min(low + step, len(self)))
+            wide = slice(max(0, low - 1), part.stop)
+            one, two, three = (c[p[wide]].astype(np.float64) for c, p in zip(counts, places, strict=True))
+            context1, context2 = np.empty(part.stop - low), np.empty(part.stop - low)
+            known = wide.start < low  # the token before the slice is at hand
+            context1[0 if known else 1 :], context2[0 if known else 1 :] = one[:-1], two[:-1]
+            begins = self.begins[part]
+            context1[begins], context2[begins] = all_texts, all_texts
+            one, two, three = one[int(known) :], two[int(known) :], three[int(known) :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                f1 = one / all_tokens if all_tokens else np.zeros(len(one))
+                f2 = np.minimum(np.where(context1 > 0, two / context1, 0.0), 1.0)
+                f3 = np.minimum(np.where(context2 > 0, three / context2, 0.0), 1.0)
+            yield part, one, f1, f2, f3, bucket(context1), bucket(context2)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -144,6 +176,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
             out += [(space, block, b, exchange.pack_sorted(keys[s:e]), *(exchange.pack(c[s:e]) for c in counts)) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
         kinds = [pa.int32()] * 3 + [pa.binary()] * 3
         names = ["space", "block", "bucket", "keys", "c0", "c1"]
+        exchange.tidy()
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return docs.groupBy("block").applyInArrow(run, "space int, block int, bucket int, keys binary, c0 binary, c1 binary")
@@ -155,11 +188,15 @@ def _cells(docs: DataFrame, answers: DataFrame, n_tokens: int, n_texts: int) ->
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = Tokens(left)
         kept = [exchange.answered(right, s, "a0") - exchange.answered(right, s, "a1") for s in range(3)]
-        _, f1, f2, f3, k1, k2 = tokens.estimates(kept, n_tokens, n_texts)
-        mine = left.column("train").to_numpy()[tokens.owner]
-        cell = _level(f1) | _level(f2) << 7 | _level(f3) << 14 | k1 << 21 | k2 << 26
-        each, n = np.unique(cell[mine], return_counts=True)
-        return pa.Table.from_arrays([pa.array(each), pa.array(n)], ["cell", "n"])
+        train = left.column("train").to_numpy()
+        cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, _, f1, f2, f3, k1, k2 in tokens.estimates(kept, n_tokens, n_texts):
+            cell = _level(f1) | _level(f2) << 7 | _level(f3) << 14 | k1 << 21 | k2 << 26
+            each, n = np.unique(cell[train[tokens.owner[part]]], return_counts=True)
+            cells.append(each)
+            counts.append(n)
+        exchange.tidy()
+        return pa.Table.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(counts))], ["cell", "n"])
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -190,12 +227,15 @@ def score(docs: DataFrame, learned_from: Column, held_out: Column, key: str = "d
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = Tokens(left)
         counts = [exchange.answered(right, s, "a0") for s in range(3)]
-        c, f1, f2, f3, k1, k2 = tokens.estimates(counts, n_train, n_texts)
         texts_here = len(tokens.n)
-        total = lambda x: np.bincount(tokens.owner, x, texts_here)
-        base = total(np.log10((c + 1) / (n_train + vocabulary + 1)))
-        said = total(np.log10(weights.mix(f1, f2, f3, k1, k2, unseen)))
-        known = total(c > 0).astype(np.int64)
+        base, said, known = (np.zeros(texts_here) for _ in range(3))
+        for part, c, f1, f2, f3, k1, k2 in tokens.estimates(counts, n_train, n_texts):
+            owner = tokens.owner[part]
+            base += np.bincount(owner, np.log10((c + 1) / (n_train + vocabulary + 1)), texts_here)
+            said += np.bincount(owner, np.log10(weights.mix(f1, f2, f3, k1, k2, unseen)), texts_here)
+            known += np.bincount(owner, c > 0, texts_here)
+        known = known.astype(np.int64)
+        exchange.tidy()
         columns = [left.column("k").combine_chunks(), left.column("held").combine_chunks(), pa.array(tokens.n), pa.array(known), pa.array(np.full(texts_here, n_train, np.int64)), pa.array(base), pa.array(said)]
         return pa.Table.from_arrays(columns, ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
