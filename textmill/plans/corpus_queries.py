@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Window
@@ -13,6 +14,7 @@ from textmill.operators import lifecycle, metrics
 from textmill.plans.registry import Registry
 from textmill.plans.sql import quote
 from textmill.sources import extract, formats, views
+from textmill.sources.store import Store, shared_folder
 from textmill.sources.views import CHUNKS_SQL, FILES_SQL
 from textmill.streaming import watch
 
@@ -268,6 +270,15 @@ def iter_blocks(spark, d):
     return chunks.select("path", "ordinal", formats.family(ext).alias("family"), scalar.locator(formats.family(ext), "location").alias("l")).select("path", "ordinal", "family", "l.*")
 
 
+@R.add("backup_restore", f"WITH {FILES_SQL} SELECT file_id, path, size FROM files")
+def backup_restore(spark, d):
+    """Publish a version, back it up beside it, and read the copy."""
+    base = f"{shared_folder(spark)}/textmill-store-{uuid.uuid4().hex}"
+    made = Store(spark, f"{base}/index")
+    made.publish({"files": views.files(spark, d)})
+    return made.copy_to(f"{base}/backup").read("files").select("file_id", "path", "size")
+
+
 # -- scalar functions
 
 

@@ -8,6 +8,7 @@ through Hadoop's file systems, so a store may lie wherever Spark reads.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA_VERSION = 12
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where spark.checkpoint.dir is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="textmill-")
+
+
 class NewerSchema(Exception):
     pass
 
