@@ -45,7 +45,7 @@ def _sets(column) -> tuple[np.ndarray, np.ndarray]:
 def _block_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All sets of a block, in the order of its rows."""
     values, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for part in chunks(table.to_batches(), "t", 4 << 20):
+    for part in chunks(table.to_batches(), "t", 1 << 20):
         v, o = _sets(part.column("t"))
         values.append(v)
         sizes.append(np.diff(o))
@@ -63,6 +63,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
         keys, counts = np.unique(values >> U(64 - COUNT_BITS), return_counts=True)
         at = exchange.slices(keys, buckets, COUNT_BITS)
         rows = [(b, at[b], at[b + 1]) for b in range(buckets) if at[b + 1] > at[b]]
+        exchange.tidy()
         block = table.column("block")[0].as_py()
         columns = [
             pa.array([0] * len(rows), pa.int32()),
@@ -119,6 +120,7 @@ def _described(docs: DataFrame, answers: DataFrame, per_cent: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(values[prefix].view(np.int64)))
         bodies = [values[offsets[i] : offsets[i + 1]][shared[offsets[i] : offsets[i + 1]]].tobytes() if many[i] else None for i in range(len(many))]
         signed = lambda x: pa.array(x.view(np.int64))
+        exchange.tidy()
         alone = np.bincount(owner[~shared], minlength=len(offsets) - 1)
         return pa.Table.from_arrays([left.column("k").combine_chunks(), pa.array(np.diff(offsets)), signed(a), signed(b), pa.array(alone), lists, signed(masks[0]), signed(masks[1]), pa.array(bodies, pa.binary())], ["doc", "n", "a", "b", "alone", "prefix", "m1", "m2", "body"])
 
