@@ -113,6 +113,15 @@ def test_substring_dedup_of_many_overlaps(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_spans(rows, 50)
 
 
+def test_substring_dedup_with_repeated_ids(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    cut = lambda: " ".join([f"u{rng.random()}", *base[(a := rng.randint(0, 200)) : a + rng.randint(55, 100)], "v"])
+    rows = [(i // 3, cut(), "", "", 0) for i in range(30)] + [(2, "short", "", "", 0), (None, " ".join(base), "", "", 0)]
+    got = substrings.digest(table(spark, rows), 50).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_spans(rows, 50)
+
+
 def test_substring_dedup_keeps_rows_and_columns(spark, docs, rows):
     out = substrings.removed(docs)
     assert out.columns == docs.columns and out.count() == len(rows)

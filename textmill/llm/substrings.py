@@ -15,8 +15,8 @@ Each word of a duplicate window is removed. The result is exact but for 64-bit h
 a window of `length` words goes if and only if the same word sequence starts in a document with a
 smaller id. Windows are judged on the input.
 
-Two documents with one id count as one for "smaller"; null ids are never smaller than another and
-lose nothing. Null and short texts have no windows. Texts of any length are handled by their
+Rows of one id are not smaller than each other, whatever their texts; null ids are never smaller than
+another and lose nothing. Null and short texts have no windows. Texts of any length are handled by their
 words; a hot passage meets in its block as one row for each distinct phrase and task.
 """
 
@@ -67,20 +67,20 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _phrases(docs: DataFrame, length: int) -> DataFrame:
-    """doc, start (word), n (windows), anchor, phrase; narrow."""
+    """doc, row (hash of the text, which tells rows of one id apart), start (word), n (windows), anchor, phrase; narrow."""
 
     def run(batches):
         for part in chunks(batches, "t", 2 << 20):
             w = Words(part.column("t"))
             start, n, anchor, phrase = phrases(w, length)
             text = np.searchsorted(w.first, start, side="right") - 1
-            yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(text)), pa.array((start - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _signed(anchor), _signed(phrase)], ["doc", "start", "n", "anchor", "phrase"])
+            yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array((start - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _signed(anchor), _signed(phrase)], ["doc", "row", "start", "n", "anchor", "phrase"])
 
-    return docs.where("k IS NOT NULL").mapInArrow(run, "doc long, start int, n int, anchor long, phrase long")
+    return docs.where("k IS NOT NULL").mapInArrow(run, "doc long, row long, start int, n int, anchor long, phrase long")
 
 
 def _windows(asked: DataFrame, length: int) -> DataFrame:
-    """doc, anchor, at (word), window (hash) of every window of the phrases asked for (k, t, asks array<struct<start,n,anchor>>)."""
+    """doc, row, at (word), window (hash) of every window of the phrases asked for (k, row, t, asks array<struct<start,n>>)."""
 
     def run(batches):
         for part in chunks(batches, "t", 1 << 20):
@@ -88,39 +88,40 @@ def _windows(asked: DataFrame, length: int) -> DataFrame:
             asks = part.column("asks")
             counts = np.diff(np.asarray(asks.offsets))
             flat = asks.flatten()
-            start, n, anchor = (flat.field(i).to_numpy() for i in range(3))
+            start, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             owner = np.repeat(np.arange(part.num_rows), counts)
             which = np.repeat(np.arange(len(start)), n)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             at = start[which] + inside
             place = w.first[owner[which]] + at
-            yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(owner[which])), pa.array(anchor[which]), pa.array(at.astype(np.int32)), _signed(spans(w.hash, place, place + length))], ["doc", "anchor", "at", "window"])
+            row = pa.array(owner[which])
+            yield pa.RecordBatch.from_arrays([part.column("k").take(row), part.column("row").take(row), pa.array(at.astype(np.int32)), _signed(spans(w.hash, place, place + length))], ["doc", "row", "at", "window"])
 
-    return asked.mapInArrow(run, "doc long, anchor long, at int, window long")
+    return asked.mapInArrow(run, "doc long, row long, at int, window long")
 
 
 def duplicate_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, spans array<struct<start int, n int>>: the duplicate windows of each document that has any,
+    """doc, row, spans array<struct<start int, n int>>: the duplicate windows of each document that has any,
     as runs of n windows from a word."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("row"))
     found = scratch.table(_phrases(narrow, length), "phrases")
     # one row for each distinct phrase: its first document, summed before the shuffle
     classes = scratch.table(found.groupBy("anchor", "phrase").agg(F.min("doc").alias("least"), F.count("*").alias("copies")), "phrase-classes")
     scratch.release(spark)
     # factors: phrases that stand whole in an earlier document; only phrases with copies can
-    copied = found.join(classes.where("copies > 1"), ["anchor", "phrase"]).where("doc > least").select("doc", "start", "n")
+    copied = found.join(classes.where("copies > 1"), ["anchor", "phrase"]).where("doc > least").select("doc", "row", "start", "n")
     # boundaries: blocks with several phrases, each by its first occurrence, window by window
     blocks = classes.groupBy("anchor").agg(F.count("*").alias("phrases")).where("phrases > 1").select("anchor")
     firsts = classes.join(blocks, "anchor", "left_semi").select("anchor", "phrase", F.col("least").alias("doc"))
-    asks = found.join(firsts, ["anchor", "phrase", "doc"], "left_semi").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asks"))
+    asks = found.join(firsts, ["anchor", "phrase", "doc"], "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asks"))
     asks = scratch.table(asks, "boundary-phrases")
     scratch.release(spark)
-    seen = scratch.table(_windows(narrow.join(asks, narrow.k == asks.doc).select("k", "t", "asks"), length), "boundary-windows")
+    seen = scratch.table(_windows(narrow.withColumnRenamed("k", "doc").join(asks, ["doc", "row"]).select(F.col("doc").alias("k"), "row", "t", "asks"), length), "boundary-windows")
     scratch.release(spark)
     first = seen.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select("window", "least")
-    edges = seen.join(first, "window").where("doc > least").select("doc", F.col("at").alias("start"), F.lit(1).alias("n"))
-    runs = copied.unionByName(edges).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    edges = seen.join(first, "window").where("doc > least").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("n"))
+    runs = copied.unionByName(edges).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = scratch.table(runs, "duplicate-spans")
     scratch.done_with(found, classes, asks, seen)
     scratch.release(spark)
@@ -143,7 +144,7 @@ def _with_spans(docs: DataFrame, length: int, key: str, text: str, columns: list
     spans_of = duplicate_spans(docs, length, key, text)
     carried = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     empty = F.array().cast("array<struct<start:int,n:int>>")
-    joined = carried.join(spans_of, F.col("k") == F.col("doc"), "left")
+    joined = carried.join(spans_of, (F.col("k") == F.col("doc")) & (F.xxhash64("t") == F.col("row")), "left")
     return joined.select("k", "t", F.coalesce("spans", empty).alias("spans"), *[f"c{i}" for i in range(len(columns))]), [f"c{i}" for i in range(len(columns))]
 
 
