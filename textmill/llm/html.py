@@ -14,7 +14,7 @@ are never leaves: they are cut by tag, by role, and by words in class and id.
 
 Null or empty html: empty text. Text without tags: one block. Unclosed and misnested tags end
 where their container ends; an opening block ends an open paragraph. Depth and length are not
-limited; work is linear in the page.
+limited; work is linear in the page, times the depth where tags close implicitly.
 """
 
 from __future__ import annotations
@@ -51,10 +51,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("article", "block", "parent", "path", "silent", "start", "tag")
+    __slots__ = ("article", "heading", "in_header", "link", "parent", "path", "silent", "tag")
 
-    def __init__(self, tag, parent, path, silent, block, article):
-        self.tag, self.parent, self.path, self.silent, self.block, self.article = tag, parent, path, silent, block, article
+    def __init__(self, tag, parent, path, silent, article):
+        self.tag, self.parent, self.path, self.silent, self.article = tag, parent, path, silent, article
+        self.link = tag == "a" or parent is not None and parent.link
+        self.heading = tag in HEADINGS or parent is not None and parent.heading
+        self.in_header = tag == "header" or parent is not None and parent.in_header
 
 
 def _boilerplate(tag: str, attrs: list, inside_article: bool) -> bool:
@@ -81,7 +84,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.paths: dict[tuple[int, str], int] = {}
-        self.top = _Element("", None, -1, False, 0, False)
+        self.top = _Element("", None, -1, False, False)
         self.blocks = 0
         self.leaves: list[tuple[int, int, str, bool, _Element]] = []  # path, block, text, in a link, element
 
@@ -130,7 +133,7 @@ class _Page(HTMLParser):
             self._new_block()
         article = top.article or tag in ("article", "main")
         silent = top.silent or _boilerplate(tag, attrs, top.article)
-        self.top = _Element(tag, top, self._path(top.path, tag), silent, self.blocks, article)
+        self.top = _Element(tag, top, self._path(top.path, tag), silent, article)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -148,17 +151,10 @@ class _Page(HTMLParser):
             self._new_block()
 
     def handle_data(self, data):
-        if self.top.silent:
-            return
-        e, link, in_header, heading = self.top, False, False, False
-        while e.parent is not None:
-            link = link or e.tag == "a"
-            heading = heading or e.tag in HEADINGS
-            in_header = in_header or e.tag == "header"
-            e = e.parent
-        if in_header and not heading:
-            return
-        self.leaves.append((self.top.path, self.blocks, data, link, self.top))
+        top = self.top
+        # of a header inside an article only its headings are text
+        if not top.silent and (top.heading or not top.in_header):
+            self.leaves.append((top.path, self.blocks, data, top.link, top))
 
 
 def _smoothed(values: list[float], sigma: float) -> list[float]:
