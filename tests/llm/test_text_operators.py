@@ -174,3 +174,15 @@ def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>Deep, long text. Here it is.</p>"
     assert html.extract(deep) == "Deep, long text. Here it is."
     assert html.extract("<article>" + "<p>word, word.</p>" * 20000 + "</article>") == " ".join(["word, word."] * 20000)
+
+
+BODY = "<p>A long first line, with points; and more of it. It goes on, and on.</p><p>A second one follows, nearly as long. It has points, too.</p><p>Short one.</p>"
+BODY_TEXT = "A long first line, with points; and more of it. It goes on, and on. A second one follows, nearly as long. It has points, too. Short one."
+
+
+def test_main_text_is_chosen_by_path_scores_inside_an_article():
+    promo = "<h2>More</h2><div><ul><li><a href=a>One more story</a></li><li><a href=b>Another story</a></li></ul></div>"
+    assert html.extract(f"<article><h1>T</h1><div><a href=c>An author</a></div>{BODY}{promo}</article>") == f"T {BODY_TEXT}"
+    assert html.extract(f"<article><h1>T</h1>{BODY}<section><div>*</div></section>{BODY}{BODY}</article>") == f"T {BODY_TEXT} {BODY_TEXT} {BODY_TEXT}"
+    assert html.extract(f"<article>{BODY}<h2>List</h2><ul><li>Milk<li>Some <a href=x>old</a> bread</ul></article>") == f"{BODY_TEXT} List Milk Some old bread"
+    assert html.extract("<h1>Only this</h1>") == "Only this"

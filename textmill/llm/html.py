@@ -1,13 +1,16 @@
 """Operator 2: main text of HTML pages by tag-path ratios.
 
-A page is walked once. Every text leaf has the path of open tags above it; leaves of one path
-share statistics: characters per leaf, punctuation per leaf, and the share of characters in links.
-Along the page, each leaf's two ratios are smoothed with a Gaussian window over its neighbours
-and fused into one score by their product; a path's score is the mean over its leaves, less
-its share of links. Paths above the threshold (a part of the standard deviation of the scores)
-are content. The main container is the deepest element that holds nearly all content characters
-(an article or main element, where one does), and every block in it is kept in page order, but
-for linked lists outside paragraphs when no such element marks the article.
+A page is walked once. Every block of text has the path of open tags above it, without inline tags;
+blocks of one path share statistics: characters per block, punctuation per block, and the share of
+characters in links. Along the page, the logarithms of each block's two ratios are smoothed with a
+Gaussian window over its neighbours (those of other paths count little) and fused into one score by
+their product; a path's score is the mean over its blocks, less its share of links. Paths above the threshold (a part of the standard
+deviation of the scores) are content. The main container is the deepest element that holds nearly
+all content characters (an article or main element, where one does).
+
+What is kept, in page order, are the container's blocks by the scores of their paths: those above the
+threshold; paragraphs, list items and cells above a quarter of it unless most of the path is links; and
+headings whose section has such a block. Logarithms keep one very long block from pushing short paragraphs under the threshold.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are never leaves: they are cut by tag, by role, and by words in class and id.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,7 @@ SILENT = frozenset("script style head title noscript template iframe object svg
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p li dt dd td th caption pre blockquote figcaption".split())
 ENDS_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Words in class and id that mark what is not the article.
@@ -45,18 +50,21 @@ MARKS = frozenset(
     consent gdpr notice notices popup modal newsletter subscribe subscription signup login search searchbox
     pagination pager toolbar skip skiplink alert overlay""".split()
 )
+#: The part of the threshold that suffices for elements of prose in the main container; a neighbour's part where its path is another.
+NEAR, OTHER = 0.25, 0.1
 _WORD = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("article", "heading", "in_header", "link", "parent", "path", "silent", "tag")
+    __slots__ = ("article", "heading", "in_header", "link", "parent", "path", "prose", "silent", "tag")
 
     def __init__(self, tag, parent, path, silent, article):
         self.tag, self.parent, self.path, self.silent, self.article = tag, parent, path, silent, article
         self.link = tag == "a" or parent is not None and parent.link
-        self.heading = tag in HEADINGS or parent is not None and parent.heading
+        self.heading = int(tag[1]) if tag in HEADINGS else parent.heading if parent is not None else 0  # its level
+        self.prose = tag in PROSE or tag in INLINE and parent.prose
         self.in_header = tag == "header" or parent is not None and parent.in_header
 
 
@@ -133,7 +141,7 @@ class _Page(HTMLParser):
             self._new_block()
         article = top.article or tag in ("article", "main")
         silent = top.silent or _boilerplate(tag, attrs, top.article)
-        self.top = _Element(tag, top, self._path(top.path, tag), silent, article)
+        self.top = _Element(tag, top, top.path if tag in INLINE else self._path(top.path, tag), silent, article)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -157,14 +165,14 @@ class _Page(HTMLParser):
             self.leaves.append((top.path, self.blocks, data, top.link, top))
 
 
-def _smoothed(values: list[float], sigma: float) -> list[float]:
+def _smoothed(values: list[float], paths: list[int], sigma: float) -> list[float]:
     reach = max(1, math.ceil(2 * sigma))
     weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     n, out = len(values), []
     for i in range(n):
         total = weight = 0.0
         for k in range(max(0, i - reach), min(n, i + reach + 1)):
-            w = weights[k - i + reach]
+            w = weights[k - i + reach] * (1 if paths[k] == paths[i] else OTHER)
             total += w * values[k]
             weight += w
         out.append(total / weight)
@@ -178,33 +186,40 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
     page = _Page()
     page.feed(html)
     page.close()
-    leaves = [x for x in page.leaves if x[2] and not x[2].isspace()]
-    if not leaves:
-        return ""
+    blocks: list[tuple[int, str, _Element]] = []  # path, text, element
     count: dict[int, int] = {}
     chars: dict[int, int] = {}
     marks: dict[int, int] = {}
     linked: dict[int, int] = {}
-    for path, _, text, link, _ in leaves:
-        n = len(text)
+    for _, group in groupby(page.leaves, key=lambda x: x[1]):
+        parts = list(group)
+        text = " ".join("".join(x[2] for x in parts).split())
+        if not text:
+            continue
+        path = parts[0][0]
+        blocks.append((path, text, parts[0][4]))
         count[path] = count.get(path, 0) + 1
-        chars[path] = chars.get(path, 0) + n
+        chars[path] = chars.get(path, 0) + len(text)
         marks[path] = marks.get(path, 0) + len(_PUNCT.findall(text))
-        linked[path] = linked.get(path, 0) + n * link
-    long = _smoothed([chars[x[0]] / count[x[0]] for x in leaves], sigma)
-    dotted = _smoothed([marks[x[0]] / count[x[0]] for x in leaves], sigma)
+        linked[path] = linked.get(path, 0) + min(len(text), sum(len(x[2].strip()) for x in parts if x[3]))
+    if not blocks:
+        return ""
+    order = [x[0] for x in blocks]
+    long = _smoothed([math.log1p(chars[p] / count[p]) for p in order], order, sigma)
+    dotted = _smoothed([math.log1p(marks[p] / count[p]) for p in order], order, sigma)
     fused: dict[int, float] = {}
-    for leaf, a, b in zip(leaves, long, dotted, strict=True):
-        fused[leaf[0]] = fused.get(leaf[0], 0.0) + a * (1 + b)
+    for x, a, b in zip(blocks, long, dotted, strict=True):
+        fused[x[0]] = fused.get(x[0], 0.0) + a * (1 + b)
     score = {p: s / count[p] * (1 - linked[p] / chars[p]) for p, s in fused.items()}
-    values = [score[x[0]] for x in leaves]
+    values = [score[x[0]] for x in blocks]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     bar = min(deviation * spread, max(values))
     content = {p for p, s in score.items() if s >= bar and s > 0}
+    near = content | {p for p, s in score.items() if s >= bar * NEAR and s > 0 and 2 * linked[p] <= chars[p]}
     held: dict[_Element, int] = {}
     total = 0
-    for path, _, text, _, element in leaves:
+    for path, text, element in blocks:
         if path in content:
             total += len(text)
             e = element
@@ -214,8 +229,7 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
     if not total:
         return ""
     articles = [e for e in held if e.tag in ("article", "main")]
-    marked = bool(articles)
-    if marked:
+    if articles:
         best = max(articles, key=lambda e: (held[e], e.tag == "article"))
     else:
         best, depth = page.top, -1
@@ -226,32 +240,37 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
                     d, up = d + 1, up.parent
                 if d > depth:
                     best, depth = e, d
-    out: list[list[str]] = []
-    last = None
-    for path, block, text, _link, element in leaves_in(page.leaves, best):
-        if not marked and path not in content and linked.get(path, 0) > 0.5 * chars.get(path, 1):
-            continue
-        if block != last:
-            out.append([])
-            last = block
-        out[-1].append(text)
-    return " ".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
-
-
-def leaves_in(leaves, root: _Element):
-    inside: dict[_Element, bool] = {}
+    out: list[str] = []
+    begun, alive, deeper = False, False, 0  # from the end: any block, a kept one since a heading, level of the last kept heading
+    for path, text, element in reversed(list(inside(blocks, best))):
+        if level := element.heading:
+            kept = alive or deeper > level or not begun and path in near
+            alive = False
+            if kept:
+                deeper = level
+        else:
+            kept = path in near if element.prose else path in content
+            alive |= kept
+        begun = True
+        if kept:
+            out.append(text)
+    return " ".join(reversed(out))
+
+
+def inside(blocks, root: _Element):
+    known: dict[_Element, bool] = {}
 
     def within(e) -> bool:
         seen = []
-        while e is not None and e is not root and e not in inside:
+        while e is not None and e is not root and e not in known:
             seen.append(e)
             e = e.parent
-        found = e is root or (e is not None and inside[e])
+        found = e is root or (e is not None and known[e])
         for x in seen:
-            inside[x] = found
+            known[x] = found
         return found
 
-    return (x for x in leaves if within(x[4]))
+    return (x for x in blocks if within(x[2]))
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
