@@ -186,3 +186,12 @@ def test_main_text_is_chosen_by_path_scores_inside_an_article():
     assert html.extract(f"<article><h1>T</h1>{BODY}<section><div>*</div></section>{BODY}{BODY}</article>") == f"T {BODY_TEXT} {BODY_TEXT} {BODY_TEXT}"
     assert html.extract(f"<article>{BODY}<h2>List</h2><ul><li>Milk<li>Some <a href=x>old</a> bread</ul></article>") == f"{BODY_TEXT} List Milk Some old bread"
     assert html.extract("<h1>Only this</h1>") == "Only this"
+
+
+def test_main_text_uses_articles_only_where_they_hold_the_content():
+    card = "<article><p>Read next: a card, with a text. It is long enough, too.</p></article>"
+    assert html.extract(f"<body><div>{BODY * 3}</div>{card}</body>").startswith(" ".join([BODY_TEXT] * 3))
+    parts = [f"<article><h2>Part {i}</h2>{BODY * (i + 1)}</article>" for i in range(3)]
+    assert html.extract("<body>" + "".join(parts) + "</body>") == " ".join(" ".join([f"Part {i}"] + [BODY_TEXT] * (i + 1)) for i in range(3))
+    small = "<article><h2>Entry</h2><p>A late entry, in short.</p></article>"
+    assert html.extract(f"<body><article>{BODY * 9}</article>{small}</body>").endswith("Short one. Entry A late entry, in short.")

@@ -6,7 +6,7 @@ characters in links. Along the page, the logarithms of each block's two ratios a
 Gaussian window over its neighbours (those of other paths count little) and fused into one score by
 their product; a path's score is the mean over its blocks, less its share of links. Paths above the threshold (a part of the standard
 deviation of the scores) are content. The main container is the deepest element that holds nearly
-all content characters (an article or main element, where one does).
+all content characters (sibling articles together, or a main element, where these do).
 
 What is kept, in page order, are the container's blocks by the scores of their paths: those above the
 threshold; paragraphs, list items and cells above a quarter of it unless most of the path is links; and
@@ -228,10 +228,12 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
                 e = e.parent
     if not total:
         return ""
-    articles = [e for e in held if e.tag in ("article", "main")]
-    if articles:
-        best = max(articles, key=lambda e: (held[e], e.tag == "article"))
-    else:
+    together: dict[tuple[str, _Element], list[_Element]] = {}
+    for e in held:
+        if e.tag in ("article", "main"):
+            together.setdefault((e.tag, e.parent), []).append(e)
+    roots, most = max(((x, sum(held[e] for e in x)) for x in together.values()), key=lambda x: (x[1], x[0][0].tag == "article"), default=([], 0))
+    if not roots or most < share * total:
         best, depth = page.top, -1
         for e, n in held.items():
             if n >= share * total and e.tag not in INLINE and e.tag not in CLOSES_P - {"div", "section", "table", "center", "article", "main"}:
@@ -240,9 +242,10 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
                     d, up = d + 1, up.parent
                 if d > depth:
                     best, depth = e, d
+        roots = [best]
     out: list[str] = []
     begun, alive, deeper = False, False, 0  # from the end: any block, a kept one since a heading, level of the last kept heading
-    for path, text, element in reversed(list(inside(blocks, best))):
+    for path, text, element in reversed(list(inside(blocks, set(roots)))):
         if level := element.heading:
             kept = alive or deeper > level or not begun and path in near
             alive = False
@@ -257,15 +260,15 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
     return " ".join(reversed(out))
 
 
-def inside(blocks, root: _Element):
+def inside(blocks, roots: set[_Element]):
     known: dict[_Element, bool] = {}
 
     def within(e) -> bool:
         seen = []
-        while e is not None and e is not root and e not in known:
+        while e is not None and e not in roots and e not in known:
             seen.append(e)
             e = e.parent
-        found = e is root or (e is not None and known[e])
+        found = e in roots or (e is not None and known[e])
         for x in seen:
             known[x] = found
         return found
