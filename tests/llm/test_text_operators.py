@@ -195,3 +195,13 @@ def test_main_text_uses_articles_only_where_they_hold_the_content():
     assert html.extract("<body>" + "".join(parts) + "</body>") == " ".join(" ".join([f"Part {i}"] + [BODY_TEXT] * (i + 1)) for i in range(3))
     small = "<article><h2>Entry</h2><p>A late entry, in short.</p></article>"
     assert html.extract(f"<body><article>{BODY * 9}</article>{small}</body>").endswith("Short one. Entry A late entry, in short.")
+
+
+def test_main_text_is_not_cut_by_words_in_class_and_id():
+    for mark in ("class=no-sidebar", "class=with-ads", "class=widget-container", "class=widget", "id=search"):
+        assert html.extract(f"<body><div {mark}><h1>T</h1>{BODY}</div></body>") == f"T {BODY_TEXT}", mark
+    page = f"<article><h1>T</h1>{BODY}<h2 id=search-algorithms>On search</h2>{BODY}<section id=social-history><h2>Past</h2>{BODY}</section></article>"
+    assert html.extract(page) == f"T {BODY_TEXT} On search {BODY_TEXT} Past {BODY_TEXT}"
+    assert html.extract(f"<article><h1>T</h1>{BODY}<div class=widget-container>{BODY}</div></article>") == f"T {BODY_TEXT} {BODY_TEXT}"
+    for mark in ("ad", "ad-slot", "cookie-banner", "comments", "related-posts"):
+        assert html.extract(f"<article><h1>T</h1>{BODY}<div class={mark}><p>Buy this, now.</p></div>{BODY}</article>") == f"T {BODY_TEXT} {BODY_TEXT}", mark

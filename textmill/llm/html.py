@@ -12,8 +12,12 @@ What is kept, in page order, are the container's blocks by the scores of their p
 threshold; paragraphs, list items and cells above a quarter of it unless most of the path is links; and
 headings whose section has such a block. Logarithms keep one very long block from pushing short paragraphs under the threshold.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are never leaves: they are cut by tag, by role, and by words in class and id.
+Elements whose tag or role is that of a menu, header, footer, sidebar, notice, form, script or style,
+and hidden ones, are never read. Words in class and id cut nothing: an element marked by them has a
+path of its own, with a lower score, and has to reach the whole threshold. A token that is all
+marking words lowers most; an id or a token with a qualifying word (no-sidebar, widget-container)
+little; parts of tokens not at all on headings and elements of prose. A factor that all paths share
+changes nothing, and one over nearly all characters of the page is lifted, but for reader comments.
 
 Null or empty html: empty text. Text without tags: one block. Unclosed and misnested tags end
 where their container ends; an opening block ends an open paragraph. Depth and length are not
@@ -52,6 +56,10 @@ MARKS = frozenset(
 )
 #: The part of the threshold that suffices for elements of prose in the main container; a neighbour's part where its path is another.
 NEAR, OTHER = 0.25, 0.1
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+QUALIFIERS = frozenset("no not non without with has hide hidden container wrapper wrap layout page".split())
+#: What marking words leave of a score.
+STRONG, WEAK = 0.1, 0.5
 _WORD = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -80,24 +88,42 @@ def _boilerplate(tag: str, attrs: list, inside_article: bool) -> bool:
             return True
         if name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for token in value.lower().split():
-                words = _WORD.findall(token)
-                if token == "header" and not inside_article or not MARKS.isdisjoint(words):
-                    return True
     return False
 
 
+def _factor(tag: str, attrs: list, inside_article: bool) -> tuple[float, bool]:
+    """What class and id leave of the element's score, and whether they mark reader comments."""
+    factor, readers = 1.0, False
+    if tag in INLINE or tag in ("html", "body", "article", "main"):
+        return factor, readers
+    for name, value in attrs:
+        if name not in ("class", "id") or not value:
+            continue
+        for token in value.lower().split():
+            words = _WORD.findall(token)
+            marking = MARKS.intersection(words)
+            if token == "header" and not inside_article:
+                factor = STRONG
+            elif not marking:
+                continue
+            elif marking.issuperset(words):
+                factor = STRONG
+                readers = readers or not READERS.isdisjoint(words)
+            elif tag not in PROSE and tag not in HEADINGS:
+                factor = min(factor, WEAK if name == "id" or not QUALIFIERS.isdisjoint(words) else STRONG)
+    return factor, readers
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.paths: dict[tuple[int, str], int] = {}
+        self.paths: dict[tuple[int, str, float, bool], int] = {}
         self.top = _Element("", None, -1, False, False)
         self.blocks = 0
         self.leaves: list[tuple[int, int, str, bool, _Element]] = []  # path, block, text, in a link, element
 
-    def _path(self, parent: int, tag: str) -> int:
-        return self.paths.setdefault((parent, tag), len(self.paths))
+    def _path(self, parent: int, tag: str, factor: float, readers: bool) -> int:
+        return self.paths.setdefault((parent, tag, factor, readers), len(self.paths))
 
     def _new_block(self):
         self.blocks += 1
@@ -141,7 +167,7 @@ class _Page(HTMLParser):
             self._new_block()
         article = top.article or tag in ("article", "main")
         silent = top.silent or _boilerplate(tag, attrs, top.article)
-        self.top = _Element(tag, top, top.path if tag in INLINE else self._path(top.path, tag), silent, article)
+        self.top = _Element(tag, top, top.path if tag in INLINE else self._path(top.path, tag, *_factor(tag, attrs, top.article)), silent, article)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -204,19 +230,20 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
         linked[path] = linked.get(path, 0) + min(len(text), sum(len(x[2].strip()) for x in parts if x[3]))
     if not blocks:
         return ""
+    weight = _weights(page.paths, chars, share)
     order = [x[0] for x in blocks]
-    long = _smoothed([math.log1p(chars[p] / count[p]) for p in order], order, sigma)
-    dotted = _smoothed([math.log1p(marks[p] / count[p]) for p in order], order, sigma)
+    long = _smoothed([math.log1p(chars[p] / count[p]) * weight[p] for p in order], order, sigma)
+    dotted = _smoothed([math.log1p(marks[p] / count[p]) * weight[p] for p in order], order, sigma)
     fused: dict[int, float] = {}
     for x, a, b in zip(blocks, long, dotted, strict=True):
         fused[x[0]] = fused.get(x[0], 0.0) + a * (1 + b)
-    score = {p: s / count[p] * (1 - linked[p] / chars[p]) for p, s in fused.items()}
+    score = {p: weight[p] * s / count[p] * (1 - linked[p] / chars[p]) for p, s in fused.items()}
     values = [score[x[0]] for x in blocks]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     bar = min(deviation * spread, max(values))
     content = {p for p, s in score.items() if s >= bar and s > 0}
-    near = content | {p for p, s in score.items() if s >= bar * NEAR and s > 0 and 2 * linked[p] <= chars[p]}
+    near = content | {p for p, s in score.items() if s >= bar * NEAR and s > 0 and weight[p] > STRONG and 2 * linked[p] <= chars[p]}
     held: dict[_Element, int] = {}
     total = 0
     for path, text, element in blocks:
@@ -260,6 +287,17 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
     return " ".join(reversed(out))
 
 
+def _weights(paths: dict, chars: dict[int, int], share: float) -> dict[int, float]:
+    """Each path's product of factors, without those over nearly all characters."""
+    under = dict(chars)
+    for (parent, *_), p in reversed(paths.items()):
+        under[parent] = under.get(parent, 0) + under.get(p, 0)
+    every, weight = sum(chars.values()), {-1: 1.0}
+    for (parent, _, factor, readers), p in paths.items():
+        weight[p] = weight[parent] * (1.0 if not readers and under.get(p, 0) >= share * every else factor)
+    return weight
+
+
 def inside(blocks, roots: set[_Element]):
     known: dict[_Element, bool] = {}
 
