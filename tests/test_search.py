@@ -1,13 +1,15 @@
 """The search engine against SQLite's FTS5 and against itself."""
 
 import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from textmill.functions.snippet import snippet
-from textmill.operators import index, match, rank
+from textmill.operators import index, legacy, match, rank
 from textmill.plans.query import parse
 
 CHUNK = "chunk_id long, file_id long, ordinal int, filename string, extension string, location string, content string"
@@ -129,3 +131,29 @@ def test_index_on_disk(data, tmp_path, spark):
     assert a == {(r.chunk_id, round(r.score, 9)) for r in match.scan_scores(data[4], q.phrases).collect()} and a
     plan = posts.where(F.col("term").isin("alpha"))._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [alpha])]" in plan or "EqualTo(term,alpha)" in plan
+
+
+@pytest.mark.parametrize("raw", ["客户经理", "户经 理", "客户经 alpha", "x客户", "户经理 客户经理.", "经理", "客", "的 客", "alpha report", '"alpha beta"', "客a"])
+def test_legacy_files_equal_fts5(spark, raw):
+    files = make(40)[0]
+    rng = random.Random(5)
+    pool = ["alpha", "Beta", "客户经理", "客户", "客", "户经理，", "经理", "X客户", "的", "客户客户经理."]
+    rows = [(f[0], f[2] if f[0] % 9 else f"客户经理_{f[0]}.pdf", f[4], " \n"[f[0] % 2].join(rng.choices(pool, k=rng.randint(1, 9)) * (1 if f[0] % 5 else 0))) for f in files] + [(99, "empty.txt", 0.0, None)]
+    con = sqlite3.connect(":memory:")
+    lane, terms = legacy.lane_of(raw)
+    con.execute(f"CREATE VIRTUAL TABLE t USING fts5(filename, content, tokenize='{dict(trigram='trigram case_sensitive 0', cjk='unicode61', word='unicode61 remove_diacritics 2')[lane]}')")
+    pairs = lambda x: " ".join(r if len(r) == 1 else " ".join(r[i : i + 2] for i in range(len(r) - 1)) for r in re.findall("[㐀-䶿一-鿿]+", x))
+    con.executemany("INSERT INTO t(rowid, filename, content) VALUES (?, ?, ?)", [(i, *(map(pairs, (n, c or "")) if lane == "cjk" else (n, c or ""))) for i, n, _, c in rows])
+    want = dict(con.execute("SELECT rowid, bm25(t, 5.0, 1.0) FROM t WHERE t MATCH ?", (" AND ".join('"' + t.replace('"', '""') + '"' for t in terms),)))
+    hits = legacy.search(spark.createDataFrame(rows, "file_id long, filename string, modified_time double, content string"), raw)
+    got = {r.file_id: r for r in hits.collect()}
+    assert got.keys() == want.keys() and all(got[k].score == pytest.approx(want[k], abs=1e-9) for k in want)
+    inside = [r for r in got.values() if lane != "word" and len(terms) == 1 and terms[0] in (dict((i, c) for i, _, _, c in rows)[r.file_id] or "")]
+    assert all(f"[[HIT]]{terms[0]}[[/HIT]]" in r.snippet for r in inside)
+    assert [r.file_id for r in legacy.page(hits, 3).collect()] == [r.file_id for r in sorted(got.values(), key=lambda r: (r.score, -r.modified_time, r.file_id))[:3]]
+
+
+def test_legacy_queries(spark):
+    found = entry.queries()
+    for name in ("legacy_search_file", "legacy_search_trigram", "legacy_search_cjk_short"):
+        assert "snippet" in found[name](spark, "/root/testdata/sf0.001").columns

@@ -46,6 +46,11 @@ def scan_scores(tok: DataFrame, phrases: list[list[str]], carry: tuple[str, ...]
         return tok.select(*keep, F.lit(0.0).alias("score")).where(F.lit(False))
     names = [f"f{i}" for i in range(len(phrases))]
     counted = tok.select(*keep, "dl", *[(WEIGHTS[0] * occurrences("ft", p) + WEIGHTS[1] * occurrences("ct", p)).alias(n) for n, p in zip(names, phrases, strict=True)])
+    return counted_scores(counted, names, keep)
+
+
+def counted_scores(counted: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """`keep` and score of the rows in which no weighted number of occurrences is 0, out of these and dl."""
     stats = counted.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
     hits = counted.where(functools.reduce(operator.and_, [F.col(n) > 0 for n in names]))
     # one row of corpus figures beside every hit

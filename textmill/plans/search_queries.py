@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from textmill.functions import snippet, tokens
-from textmill.operators import index, match, rank
+from textmill.operators import index, legacy, match, rank
 from textmill.plans import sql
 from textmill.plans.query import Filters, Hints, Query, parse
 from textmill.plans.registry import Registry
@@ -147,10 +147,24 @@ def match_cjk_candidate_verify(spark, d):
 
 @R.add("legacy_search_file")
 def legacy_search_file(spark, d):
-    """Whole files instead of chunks: content only, one row per file with its name's boost left out."""
-    lines = views.chunks(spark, d).groupBy("file_id", "filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "content"))), lambda r: r.content), "\n").alias("content"))
-    tok = index.tokenised(lines.withColumns({"chunk_id": F.col("file_id"), "ordinal": F.lit(0), "location": F.lit("")}))
-    return _score(match.scan_scores(tok, PHRASE.phrases))
+    """Whole files instead of chunks, in the word lane."""
+    return _file_hits(legacy.search(views.whole_files(spark, d), "of the and"))
+
+
+def _file_hits(hits):
+    return hits.select("file_id", "filename", "snippet", F.round("score", 6).alias("score"))
+
+
+@R.add("legacy_search_trigram")
+def legacy_search_trigram(spark, d):
+    """Three CJK characters or more: any substring."""
+    return _file_hits(legacy.search(views.cjk(spark, d).select("file_id", "filename", "content"), "户经理"))
+
+
+@R.add("legacy_search_cjk_short")
+def legacy_search_cjk_short(spark, d):
+    """One or two CJK characters."""
+    return _file_hits(legacy.search(views.cjk(spark, d).select("file_id", "filename", "content"), "经理"))
 
 
 # -- boosts, each over all chunks or files

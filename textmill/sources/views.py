@@ -37,6 +37,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_file(docs).select("file_id", "path", "filename", "extension", "modified_time", "size")
 
 
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files with their whole text as content, those without text too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return _with_file(docs).select("file_id", "path", "filename", "extension", "modified_time", "size", F.coalesce("text", F.lit("")).alias("content"))
+
+
 def location(extension: Column, n: Column, source: Column) -> Column:
     """A chunk's label by its file's format; n counts from 1."""
     return (
