@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import scalar
-from textmill.sources import extract, formats, samples
+from textmill.sources import extract, formats, samples, views
 from textmill.sources.store import NewerSchema, Store
 
 
@@ -100,3 +100,15 @@ def test_store(spark, tmp_path):
     at.write_text(at.read_text().replace('"schema_version": 12', '"schema_version": 13'))
     with pytest.raises(NewerSchema):
         s.read("files")
+
+
+def test_views_tell_large_ids_and_long_files_apart(spark, tmp_path):
+    ids = [7, 1_000_002, 1_000_005, 1_000_010, 10_000_020, 10_000_050, 10_000_055]
+    rows = [(i, "a\nb", "en", "s") for i in ids] + [(3, "x\n" * 100_002, "en", "s"), (4, "y", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert views.files(spark, str(tmp_path)).select("path").distinct().count() == len(rows)
+    assert views.cjk(spark, str(tmp_path)).select("content").distinct().count() == len(rows)
+    chunks = views.chunks(spark, str(tmp_path))
+    assert chunks.select("chunk_id").distinct().count() == chunks.count() == 2 * len(ids) + 100_003
+    names = {r.file_id: r.filename for r in views.files(spark, str(tmp_path)).collect()}
+    assert names[7] == "doc_000007.xlsx" and names[1_000_002] == "doc_1000002.xlsx"

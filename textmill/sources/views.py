@@ -23,9 +23,20 @@ def _extension(i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, EXTENSIONS)), (i % 5 + 1).cast("int"))
 
 
+def _padded(i: Column) -> Column:
+    """Six digits at least; lpad alone would cut longer ids."""
+    digits = i.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), "0")
+
+
+def _chunk_id(i: Column, ordinal: Column) -> Column:
+    """A hundred thousand ids for each file; a longer file's further lines have negative ones. Too large a file id fails."""
+    return F.when(ordinal < 100000, i * 100000 + ordinal).otherwise(-(i * (1 << 31) + ordinal))
+
+
 def _with_file(docs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
-    name = F.concat(F.when(i % 100 == 0, "report_").otherwise("doc_"), F.lpad(i.cast("string"), 6, "0"), _extension(i))
+    name = F.concat(F.when(i % 100 == 0, "report_").otherwise("doc_"), _padded(i), _extension(i))
     out = docs.select(F.col("doc_id").alias("file_id"), "source", "lang", _extension(i).alias("extension"), name.alias("filename"), *[c for c in docs.columns if c == "text"])
     out = out.withColumn("path", F.concat_ws("/", F.lit("/corpus"), "source", "lang", "filename"))
     f = F.col("file_id")
@@ -60,14 +71,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     out = docs.select("file_id", "filename", "extension", "source", F.posexplode(lines).alias("ordinal", "content"))
     n = (F.col("ordinal") + 1).cast("string")
-    return out.select((F.col("file_id") * 100000 + F.col("ordinal")).alias("chunk_id"), "file_id", "ordinal", "filename", "extension", location(F.col("extension"), n, F.col("source")).alias("location"), "content")
+    return out.select(_chunk_id(F.col("file_id"), F.col("ordinal")).alias("chunk_id"), "file_id", "ordinal", "filename", "extension", location(F.col("extension"), n, F.col("source")).alias("location"), "content")
 
 
 def cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CJK chunk per document: its digits as ideographs, and every third with the pairs torn apart."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
-    word = F.translate(F.lpad(F.col("file_id").cast("string"), 6, "0"), DIGITS, IDEOGRAPHS)
-    torn = F.concat_ws("，", F.substring(word, 1, 2), F.substring(word, 2, 2), F.substring(word, 3, 4))
+    word = F.translate(_padded(F.col("file_id")), DIGITS, IDEOGRAPHS)
+    torn = F.concat_ws("，", F.substring(word, 1, 2), F.substring(word, 2, 2), F.substring(word, F.lit(3), F.length(word)))
     content = F.when(F.col("file_id") % 3 == 0, torn).otherwise(F.concat(F.lit("的"), F.lit(" "), word, F.lit("客户经理")))
     return docs.select(F.col("file_id").alias("chunk_id"), "file_id", F.lit(0).alias("ordinal"), F.concat(F.lit("doc_"), F.col("file_id").cast("string")).alias("filename"), F.lit(".txt").alias("extension"), F.lit("行 1-1").alias("location"), content.alias("content"))
 
