@@ -205,3 +205,14 @@ def test_main_text_is_not_cut_by_words_in_class_and_id():
     assert html.extract(f"<article><h1>T</h1>{BODY}<div class=widget-container>{BODY}</div></article>") == f"T {BODY_TEXT} {BODY_TEXT}"
     for mark in ("ad", "ad-slot", "cookie-banner", "comments", "related-posts"):
         assert html.extract(f"<article><h1>T</h1>{BODY}<div class={mark}><p>Buy this, now.</p></div>{BODY}</article>") == f"T {BODY_TEXT} {BODY_TEXT}", mark
+
+
+def test_token_files_with_added_tokens(spark):
+    texts = ["plain words.", "one <|endoftext|> two", "<|EndOfText|> x", None, "<|startoftext|>a<|endoftext|><|endoftext|>", "café <|endoftext", "", "x<|endoftext|>"]
+    made = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: r for r in elias.written_and_read(table(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]), WORDS).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = made.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        at += len(ids)

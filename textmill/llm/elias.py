@@ -12,16 +12,19 @@ can be copied out as it is.
 Order: documents are range-partitioned and sorted by id, so shards follow each other; the id
 offset of a shard is a running sum over one row per shard. Null text: only the end id. Null
 ids come first, in order of arrival. Repeated ids keep all their rows.
+Added tokens in a text (<|endoftext|>) get their own ids, as the library's encode gives them.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,9 +142,7 @@ class Block:
 def loaded(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 _ALNUM, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -152,16 +153,33 @@ _STOP[[44, 46]] = True
 class WordEncoder:
     """Ids of whole texts through a tokenizer that folds case and whose pieces cross neither ASCII
     white space nor the gap between an ASCII letter or digit and a comma or full stop: a text's ids
-    are those of its words in order."""
+    are those of its words in order. Texts that hold an added token (<|endoftext|>) go to the library
+    whole; folded words never do, so for them such a token is plain text."""
 
     def __init__(self, made, known: int = 600_000):
-        self.made, self.memo = made, Memo(made, known)
+        plain = type(made).from_str(made.to_str())
+        plain.encode_special_tokens = True
+        self.made, self.memo = made, Memo(plain, known)
+        added = "|".join(re.escape(t.content) for t in made.get_added_tokens_decoder().values())
+        self.added = re.compile(added) if added else None
+
+    def _whole(self, column) -> dict[int, list[int]]:
+        """Ids of the column's texts with an added token, by row."""
+        if self.added is None or not pc.any(pc.match_substring_regex(column, self.added.pattern)).as_py():
+            return {}
+        rows = [(i, t) for i, t in enumerate(column.to_pylist()) if t and self.added.search(t)]
+        return {i: e.ids for (i, _), e in zip(rows, self.made.encode_batch_fast([t for _, t in rows], add_special_tokens=False), strict=True)}
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts end to end, and the number of ids of each text."""
         words = Words(column, lower=True, cut=(_ALNUM, _STOP))
         ids, edges = self.memo.ids(words.bytes, words.starts, words.ends, words.hash)
-        return ids, np.diff(edges[words.first])
+        ends = edges[words.first]
+        counts = np.diff(ends)
+        if whole := self._whole(column):
+            parts = [np.asarray(whole[i], ids.dtype) if i in whole else ids[s:e] for i, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+            ids, counts = np.concatenate(parts), np.array(list(map(len, parts)), counts.dtype)
+        return ids, counts
 
 
 @functools.lru_cache(maxsize=2)
