@@ -21,7 +21,8 @@ changes nothing, and one over nearly all characters of the page is lifted, but f
 
 Null or empty html: empty text. Text without tags: one block. Unclosed and misnested tags end
 where their container ends; an opening block ends an open paragraph. Depth and length are not
-limited; work is linear in the page, times the depth where tags close implicitly.
+limited and work is linear in both: an element knows at its birth what an end of it or a tag after it
+would close. Malformed declarations and marked sections (<![x]>) are comments up to the next >.
 """
 
 from __future__ import annotations
@@ -39,12 +40,16 @@ from textmill.llm.words import chunks
 
 # HTML element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template iframe object svg math canvas audio video map select option datalist textarea button form input label fieldset nav footer aside menu dialog frameset frame applet".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style head title noscript template iframe object svg canvas audio video map select option datalist textarea button form input fieldset nav footer aside menu dialog frameset frame applet".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p li dt dd td th caption pre blockquote figcaption".split())
 ENDS_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
+# Tags that end an open element by themselves: which element, and what shields it.
+IMPLIED = ((("p",), ("table", "td", "th", "button", "object")), *((tuple(tags.split()), stops) for tags, stops in ENDS_OWN.values()), (("head",), ()))
+CONCERNED = frozenset(x for rule in IMPLIED for tags in rule for x in tags)
+RULE = {tag: i + 1 for i, tag in enumerate(ENDS_OWN)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Words in class and id that mark what is not the article.
 MARKS = frozenset(
@@ -66,14 +71,24 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("article", "heading", "in_header", "link", "parent", "path", "prose", "silent", "tag")
+    __slots__ = ("article", "block", "closes", "depth", "heading", "held", "in_header", "inline", "link", "parent", "path", "prose", "silent", "tag")
 
     def __init__(self, tag, parent, path, silent, article):
         self.tag, self.parent, self.path, self.silent, self.article = tag, parent, path, silent, article
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.held = 0  # content characters below, summed at the end
         self.link = tag == "a" or parent is not None and parent.link
         self.heading = int(tag[1]) if tag in HEADINGS else parent.heading if parent is not None else 0  # its level
         self.prose = tag in PROSE or tag in INLINE and parent.prose
         self.in_header = tag == "header" or parent is not None and parent.in_header
+        # the open block around, and how many inline elements of each tag stand open in it
+        self.block = parent.block if tag in INLINE else self
+        self.inline = None if tag in INLINE else {}
+        # the nearest open element that each rule of IMPLIED would close from here
+        above = parent.closes if parent is not None else (None,) * len(IMPLIED)
+        if tag in CONCERNED:
+            above = tuple(self if tag in tags else None if tag in stops else x for (tags, stops), x in zip(IMPLIED, above, strict=True))
+        self.closes = above
 
 
 def _boilerplate(tag: str, attrs: list, inside_article: bool) -> bool:
@@ -119,9 +134,18 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.paths: dict[tuple[int, str, float, bool], int] = {}
         self.top = _Element("", None, -1, False, False)
+        self.elements = [self.top]  # parents before children
+        self.open: dict[str, int] = {}  # blocks that stand open, by tag
         self.blocks = 0
         self.leaves: list[tuple[int, int, str, bool, _Element]] = []  # path, block, text, in a link, element
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
+    def parse_html_declaration(self, i):
+        """<!DOCTYPE ...> and anything else after <! that is no comment."""
+        return self.parse_comment(i) if self.rawdata[i : i + 4] == "<!--" else self.parse_bogus_comment(i)
+
     def _path(self, parent: int, tag: str, factor: float, readers: bool) -> int:
         return self.paths.setdefault((parent, tag, factor, readers), len(self.paths))
 
@@ -130,35 +154,26 @@ class _Page(HTMLParser):
 
     def _pop(self, to: _Element):
         """Close everything below and including `to`."""
-        if any(True for _ in self._open_blocks(to)):
+        e, ends = self.top, False
+        while True:
+            opened = e.block.inline if e.tag in INLINE else self.open
+            opened[e.tag] -= 1
+            ends |= e.tag not in INLINE
+            if e is to:
+                break
+            e = e.parent
+        if ends:
             self._new_block()
         self.top = to.parent
 
-    def _open_blocks(self, to: _Element):
-        e = self.top
-        while e is not to.parent:
-            if e.tag not in INLINE:
-                yield e
-            e = e.parent
-
-    def _find(self, tags, stop=()):
-        e = self.top
-        while e.parent is not None:
-            if e.tag in tags:
-                return e
-            if e.tag in stop:
-                return None
-            e = e.parent
-        return None
-
     def handle_starttag(self, tag, attrs):
         if tag == "br" or tag == "hr":
             self._new_block()
-        if tag in CLOSES_P and (p := self._find(("p",), ("table", "td", "th", "button", "object"))) is not None:
+        if tag in CLOSES_P and (p := self.top.closes[0]) is not None:
             self._pop(p)
-        if tag in ENDS_OWN and (own := self._find(ENDS_OWN[tag][0].split(), ENDS_OWN[tag][1])) is not None:
+        if tag in RULE and (own := self.top.closes[RULE[tag]]) is not None:
             self._pop(own)
-        if tag == "body" and (head := self._find(("head",))) is not None:
+        if tag == "body" and (head := self.top.closes[-1]) is not None:
             self._pop(head)
         if tag in VOID:
             return
@@ -168,6 +183,9 @@ class _Page(HTMLParser):
         article = top.article or tag in ("article", "main")
         silent = top.silent or _boilerplate(tag, attrs, top.article)
         self.top = _Element(tag, top, top.path if tag in INLINE else self._path(top.path, tag, *_factor(tag, attrs, top.article)), silent, article)
+        self.elements.append(self.top)
+        opened = self.top.block.inline if tag in INLINE else self.open
+        opened[tag] = opened.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -175,11 +193,9 @@ class _Page(HTMLParser):
             return
         # an inline end tag does not reach out of its block; a block's end closes what is open in it
         e = self.top
-        while e.parent is not None and e.tag != tag:
-            if tag in INLINE and e.tag not in INLINE:
-                return
-            e = e.parent
-        if e.parent is not None:
+        if (e.block.inline if tag in INLINE else self.open).get(tag):
+            while e.tag != tag:
+                e = e.parent
             self._pop(e)
         elif tag == "p":
             self._new_block()
@@ -244,32 +260,23 @@ def extract(html: str | None, sigma: float = 1.0, deviation: float = 0.8, share:
     bar = min(deviation * spread, max(values))
     content = {p for p, s in score.items() if s >= bar and s > 0}
     near = content | {p for p, s in score.items() if s >= bar * NEAR and s > 0 and weight[p] > STRONG and 2 * linked[p] <= chars[p]}
-    held: dict[_Element, int] = {}
     total = 0
     for path, text, element in blocks:
         if path in content:
             total += len(text)
-            e = element
-            while e is not None:
-                held[e] = held.get(e, 0) + len(text)
-                e = e.parent
+            element.held += len(text)
     if not total:
         return ""
+    for e in reversed(page.elements[1:]):
+        e.parent.held += e.held
     together: dict[tuple[str, _Element], list[_Element]] = {}
-    for e in held:
-        if e.tag in ("article", "main"):
+    for e in page.elements:
+        if e.held and e.tag in ("article", "main"):
             together.setdefault((e.tag, e.parent), []).append(e)
-    roots, most = max(((x, sum(held[e] for e in x)) for x in together.values()), key=lambda x: (x[1], x[0][0].tag == "article"), default=([], 0))
+    roots, most = max(((x, sum(e.held for e in x)) for x in together.values()), key=lambda x: (x[1], x[0][0].tag == "article"), default=([], 0))
     if not roots or most < share * total:
-        best, depth = page.top, -1
-        for e, n in held.items():
-            if n >= share * total and e.tag not in INLINE and e.tag not in CLOSES_P - {"div", "section", "table", "center", "article", "main"}:
-                d, up = 0, e
-                while up is not None:
-                    d, up = d + 1, up.parent
-                if d > depth:
-                    best, depth = e, d
-        roots = [best]
+        wide = (e for e in page.elements if e.held >= share * total and e.tag not in INLINE and e.tag not in CLOSES_P - {"div", "section", "table", "center", "article", "main"})
+        roots = [max(wide, key=lambda e: e.depth)]
     out: list[str] = []
     begun, alive, deeper = False, False, 0  # from the end: any block, a kept one since a heading, level of the last kept heading
     for path, text, element in reversed(list(inside(blocks, set(roots)))):
