@@ -13,10 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SEGMENT = 1 << 20
 CHUNK_BYTES = 4 << 20
-_B = 0x9E3779B97F4A7C55
-_M = 0xD6E8FEB86659FD93
+_LANE, _ODD, _JOIN = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -32,26 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U)
-
-    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 4096)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, base, dtype=U)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(_B), _Powers(_M)
-
-
 def chunks(batches, column: str, most: int = CHUNK_BYTES):
     """Record batches cut so that `column` has at most `most` bytes in each, or one row."""
     for batch in batches:
@@ -133,41 +111,95 @@ class Words:
         return windows(self.hash, self.first, n)
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one little-endian number; zeros follow the last."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(buf) + 1,), strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hashes of the byte spans buf[start:end], which are in order and do not overlap."""
-    out = np.empty(len(starts), dtype=U)
-    at = 0
-    while at < len(out):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
-        part = buf[base : int(ends[to - 1])]
-        up, down = _BYTES.need(len(part))
-        terms = (_LOWER[part] if lower else part).astype(U)
-        terms += U(1)
-        terms *= up[: len(part)]
-        total = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(terms, out=total[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-        at = to
-    return out
+    """Hashes of the byte spans buf[start:end], none of them empty."""
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, dtype=U)
+    lanes = _lanes(_LOWER[buf] if lower else buf)
+    head = lanes[starts]
+    head &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(n, 8)) * 8).astype(U)
+    out = mix(head ^ _LANE)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        count = (n[long] - 1) >> 3  # lanes after the first
+        first = np.cumsum(count) - count
+        which = np.repeat(np.arange(len(long)), count)
+        place = np.arange(len(which)) - first[which] + 1
+        at = starts[long][which] + 8 * place
+        left = ends[long][which] - at
+        more = lanes[at]
+        more &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(U)
+        key = (place + 1).astype(U)
+        more = mix(more ^ (key * _LANE)) * (U(2) * key * _ODD + U(1))
+        out[long] += np.add.reduceat(more, first)
+    return mix(out + n.astype(U) * _ODD)
+
+
+def same_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> np.ndarray:
+    """Whether each byte span buf[start:end] equals other[begin:finish]; none is empty."""
+    n = end - start
+    one, two = _lanes(buf), _lanes(other)
+    same = n == finish - begin
+    same &= (one[start] ^ two[begin]) << ((8 - np.minimum(n, 8)) * 8).astype(U) == 0
+    long = np.flatnonzero(same & (n > 8))
+    if len(long):
+        # a span's last eight bytes, and all whole lanes before them
+        count = (n[long] - 1) >> 3
+        first = np.cumsum(count) - count
+        which = np.repeat(np.arange(len(long)), count)
+        at = np.minimum(8 * (np.arange(len(which)) - first[which] + 1), n[long][which] - 8)
+        same[long] = np.bitwise_or.reduceat(one[start[long][which] + at] ^ two[begin[long][which] + at], first) == 0
+    return same
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, end to end."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def windows(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
-    inside = np.ones(len(h), dtype=bool)
     last = np.repeat(first[1:], counts) - n
-    inside = np.arange(len(h)) <= last
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(np.arange(len(h)) <= last)
     return at, spans(h, at, at + n)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * _JOIN
+    out += b
+    out ^= out >> U(29)
+    out *= _ODD
+    out ^= out >> U(32)
+    return out
+
+
 def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the word sequences h[start:end]."""
-    up, down = _WORDS.need(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (np.asarray(end) - start).astype(U))
+    """Hashes of the word sequences h[start:end], none of them empty: two runs of a power of two of words
+    that cover a sequence, and its length."""
+    start, end = np.asarray(start), np.asarray(end)
+    n = end - start
+    out = np.empty(len(n), dtype=U)
+    if not len(n):
+        return out
+    longest, alike, width, runs = int(n.max()), int(n.min()) == int(n.max()), 1, h
+    while True:
+        if 2 * width > longest and alike:
+            return mix(_joined(runs[start], runs[end - width]) + n.astype(U))
+        at = np.flatnonzero((n >= width) & (n < 2 * width))
+        out[at] = mix(_joined(runs[start[at]], runs[end[at] - width]) + n[at].astype(U))
+        width *= 2
+        if width > longest:
+            return out
+        runs = _joined(runs[: -(width // 2)], runs[width // 2 :])
 
 
 def per_text_unique(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +214,16 @@ def per_text_unique(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple
 
 def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-word shingle hashes of each text with offsets; a shorter text is one shingle, an empty one none."""
-    at, h = words.grams(n)
-    text = np.searchsorted(words.first, at, side="right") - 1
-    short = np.flatnonzero((words.counts > 0) & (words.counts < n))
+    return sets_of(words.hash, words.first, n)
+
+
+def sets_of(h: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The same from word hashes and each text's first word."""
+    counts = np.diff(first)
+    at, grams = windows(h, first, n)
+    text = np.searchsorted(first, at, side="right") - 1
+    short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
-        h = np.concatenate([h, spans(words.hash, words.first[short], words.first[short + 1])])
+        grams = np.concatenate([grams, spans(h, first[short], first[short + 1])])
         text = np.concatenate([text, short])
-    return per_text_unique(h, text, len(words.counts))
+    return per_text_unique(grams, text, len(counts))
