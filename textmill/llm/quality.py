@@ -4,8 +4,8 @@ follow-the-regularised-leader updates, scored as sparse dot products.
 Features of a text: hashes of its words, of neighbouring word pairs, and of the same n-grams over
 word shapes (runs of one class of character in place of the characters), each cut to `bits` bits.
 A text's values are its feature counts over the root of their squared sum, so long and short texts
-weigh alike. Training is one bounded task: at most FIT_ROWS labelled rows, those with the least
-hashed ids, in the order of another hash, a fixed number of passes. Scoring reads every row once,
+weigh alike. Training is one bounded task: at most FIT_ROWS labelled rows of at most FIT_TEXT bytes each, those
+with the least hashed ids, in the order of another hash and up to FIT_BYTES in all, a fixed number of passes. Scoring reads every row once,
 without a shuffle; the weights are one array of 2**bits floats, whatever the data's size.
 
 Null or empty text: only the bias speaks. Repeated rows are scored one by one; a repeated label
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.words import _BYTES, SEGMENT, U, Words, chunks, mix, windows
+from textmill.llm.words import U, Words, chunks, mix, span_hashes, windows
 
-#: Bound on the labelled rows that the weights are fitted on.
-FIT_ROWS = 20_000
+#: Bounds on the labelled rows that the weights are fitted on: rows, bytes of one text, bytes of all texts.
+FIT_ROWS, FIT_TEXT, FIT_BYTES = 20_000, 128 << 10, 64 << 20
 BITS = 20
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[33:127] = 3
@@ -37,24 +37,16 @@ for _c in b"!#$%&*|<>":
 
 def shapes(words: Words) -> np.ndarray:
     """A hash of each word's shape: its classes of bytes with repeats dropped."""
-    out = np.empty(len(words), dtype=U)
-    at = 0
-    while at < len(out):
-        base = int(words.starts[at])
-        to = max(at + 1, int(np.searchsorted(words.ends, base + SEGMENT, side="right")))
-        part = _KIND[words.bytes[base : int(words.ends[to - 1])]]
-        s, e = words.starts[at:to] - base, words.ends[at:to] - base
-        new = np.ones(len(part), dtype=bool)
-        new[1:] = part[1:] != part[:-1]
-        new[s] = True
-        rank = np.cumsum(new)
-        up, down = _BYTES.need(len(part) + 1)
-        terms = np.where(new, part.astype(U) + U(1), U(0)) * up[rank]
-        total = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(terms, out=total[1:])
-        out[at:to] = mix((total[e] - total[s]) * down[rank[s]] ^ U(0x5A5A5A5A))
-        at = to
-    return out
+    kind = _KIND[words.bytes]
+    new = np.zeros(len(kind) + 1, dtype=bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[words.starts] = True
+    inside = np.zeros(len(kind) + 1, dtype=np.int8)
+    inside[words.starts] += 1
+    inside[words.ends] -= 1
+    new[:-1] &= np.cumsum(inside[:-1]) > 0
+    rank = np.concatenate([[0], np.cumsum(new)])
+    return span_hashes(kind[new[:-1]], rank[words.starts], rank[words.ends]) ^ U(0x5A5A5A5A)
 
 
 def features(column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +99,11 @@ def train(sample: DataFrame, passes: int = 4, bits: int = BITS) -> np.ndarray:
     """Weights from a bounded table of (t text, y 0/1), in one task."""
 
     def run(batches):
-        rows, labels = [], []
-        for part in chunks(batches, "t", 2 << 20):
+        rows, labels, left = [], [], FIT_BYTES
+        for part in chunks(batches, "t", min(2 << 20, FIT_BYTES)):
+            if left <= 0:
+                break
+            left -= part.column("t").nbytes
             numbers, offs = features(part.column("t"), bits)
             rows += [_sparse(numbers[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
             labels += part.column("y").to_pylist()
@@ -118,7 +113,7 @@ def train(sample: DataFrame, passes: int = 4, bits: int = BITS) -> np.ndarray:
                 model.learn(at, value, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    got = sample.select("t", F.col("y").cast("double").alias("y"), F.xxhash64("id", F.lit("order")).alias("o"), "id").orderBy("o", "id").coalesce(1).select("t", "y").mapInArrow(run, "w binary").collect()
+    got = sample.select("t", F.col("y").cast("double").alias("y"), F.xxhash64("id", F.lit("order")).alias("o"), "id").orderBy("o", "id", "t").coalesce(1).select("t", "y").mapInArrow(run, "w binary").collect()
     return np.frombuffer(got[0].w, dtype=np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -126,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
     marked = labels.select(F.col("doc_id").alias("id"), F.col(f"`{label}`").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(rows)
     # at most `rows` rows of two numbers: its size is bounded by the parameter
-    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(marked), "id")
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(marked), "id").where(F.octet_length("t") <= FIT_TEXT)
     return train(texts.orderBy(F.xxhash64("id"), "id", "t").limit(rows))
 
 
