@@ -4,14 +4,15 @@ A file is a sequence of self-contained blocks of at most BLOCK_TOKENS ids or one
 document. A block holds the ids of consecutive documents end to end (2 or 4 bytes each, by the
 vocabulary's size), and two Elias-Fano sequences: the documents' end offsets and their ids in
 ascending order. Each sequence of n values below u takes about n * (2 + log2(u / n)) bits: low
-bits packed, high bits in unary, and a directory of every 256th one bit for select. Blocks are
+bits packed, high bits in unary, and, stored with them, a directory of the place of every 256th one bit. Offsets
+are read by select: from a directory entry, over the non-zero bytes up to the next one. Blocks are
 rows of a Parquet file (shard, seq, base, n_docs, n_tokens, block), because Spark's committers
 make such files safe against lost tasks on any shared store; `block` is the format itself and
 can be copied out as it is.
 
 Order: documents are range-partitioned and sorted by id, so shards follow each other; the id
 offset of a shard is a running sum over one row per shard. Null text: only the end id. Null
-ids come first, in order of arrival. Repeated ids keep all their rows.
+ids come first; rows of one id, or without one, are ordered by their texts, null first. Repeated rows all stay.
 Added tokens in a text (<|endoftext|>) get their own ids, as the library's encode gives them.
 """
 
@@ -40,17 +41,15 @@ SAMPLE = 256
 class EliasFano:
     """A non-decreasing sequence of values in [0, u]."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little")) if n else np.zeros(0, np.int64)
-        self.directory = ones[::SAMPLE].astype(np.int64)
+    def __init__(self, n: int, low_bits: int, directory: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.n, self.low_bits, self.directory, self.low, self.high = n, low_bits, directory, low, high
 
     @classmethod
     def of(cls, values) -> EliasFano:
         v = np.asarray(values, dtype=U)
         n = len(v)
         if not n:
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+            return cls(0, 0, np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint8))
         ratio = int(v[-1]) // n
         bits = max(0, ratio.bit_length() - 1)
         low = np.zeros(0, np.uint8)
@@ -60,7 +59,7 @@ class EliasFano:
         at = (v >> U(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(at[-1]) + 1, dtype=np.uint8)
         unary[at] = 1
-        return cls(n, bits, low, np.packbits(unary, bitorder="little"))
+        return cls(n, bits, at[::SAMPLE].astype(np.uint32), low, np.packbits(unary, bitorder="little"))
 
     def select1(self, i: int) -> int:
         """The place of the i-th one bit: from the directory, at most SAMPLE ones further."""
@@ -82,25 +81,41 @@ class EliasFano:
             value |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
         return value
 
-    def all(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        out = high.astype(U) << U(self.low_bits)
+    def run(self, c: int) -> np.ndarray:
+        """The c-th SAMPLE values: select over the bytes between two entries of the directory, zero bytes left out."""
+        begin, count = int(self.directory[c]), min(SAMPLE, self.n - c * SAMPLE)
+        end = int(self.directory[c + 1]) // 8 + 1 if c + 1 < len(self.directory) else len(self.high)
+        held = self.high[begin // 8 : end]
+        some = np.flatnonzero(held)
+        bits = np.flatnonzero(np.unpackbits(held[some], bitorder="little"))
+        ones = (some[bits >> 3] + begin // 8) * 8 + (bits & 7)
+        ones = ones[np.searchsorted(ones, begin) :][:count]
+        out = (ones - np.arange(c * SAMPLE, c * SAMPLE + count)).astype(U) << U(self.low_bits)
         if self.low_bits:
-            planes = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, -1).astype(U)
-            out |= (planes << np.arange(self.low_bits, dtype=U)).sum(axis=1, dtype=U)
+            at = c * SAMPLE * self.low_bits // 8  # SAMPLE is a multiple of eight
+            planes = np.unpackbits(self.low[at : at + SAMPLE * self.low_bits // 8], bitorder="little")[: count * self.low_bits]
+            out |= (planes.reshape(count, -1).astype(U) << np.arange(self.low_bits, dtype=U)).sum(axis=1, dtype=U)
         return out.astype(np.int64)
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """The values i to j - 1."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        runs = [self.run(c) for c in range(i // SAMPLE, (j - 1) // SAMPLE + 1)]
+        return np.concatenate(runs)[i % SAMPLE : i % SAMPLE + j - i]
+
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        head = struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high))
+        return head + self.directory.astype("<u4").tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def read(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
         n, bits, low, high = struct.unpack_from("<QQQQ", data, at)
-        at += 32
+        at, entries = at + 32, -(-n // SAMPLE)
+        directory = np.frombuffer(data, "<u4", entries, at)
+        at += 4 * entries
         raw = np.frombuffer(data, np.uint8, low + high, at)
-        return cls(n, bits, raw[:low], raw[low:]), at + low + high
+        return cls(n, bits, directory, raw[:low], raw[low:]), at + low + high
 
 
 class Block:
@@ -134,8 +149,15 @@ class Block:
         start, end = self.bounds(i)
         return self.tokens[start:end]
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.keys.all() + self.lowest).tolist()
+    def documents(self):
+        """(keys, starts, ends) of SAMPLE documents after another, by select."""
+        last = 0
+        for i in range(0, len(self), SAMPLE):
+            ends = self.ends.run(i // SAMPLE)
+            j = i + len(ends)
+            known = self.keys.between(max(0, i - self.nulls), max(0, j - self.nulls)) + self.lowest
+            yield [None] * (j - i - len(known)) + known.tolist(), np.concatenate([[last], ends[:-1]]), ends
+            last = int(ends[-1])
 
 
 @functools.lru_cache(maxsize=4)
@@ -150,6 +172,10 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP[[44, 46]] = True
 
 
+#: Texts on which a tokenizer must show that it folds case and that its pieces keep inside words.
+PROBES = ("The Cat, and THE dog. It ran 3.5 km", "a b  c\td\n\ne", "one.two,three 1,000.5", "Don't We'll x", "  lead and trail  ")
+
+
 class WordEncoder:
     """Ids of whole texts through a tokenizer that folds case and whose pieces cross neither ASCII
     white space nor the gap between an ASCII letter or digit and a comma or full stop: a text's ids
@@ -160,6 +186,10 @@ class WordEncoder:
         plain = type(made).from_str(made.to_str())
         plain.encode_special_tokens = True
         self.made, self.memo = made, Memo(plain, known)
+        for text in PROBES:
+            parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"(?<=[0-9A-Za-z])(?=[.,])", " ", text.lower()))
+            if plain.encode(text, add_special_tokens=False).ids != [i for x in parts for i in plain.encode(x, add_special_tokens=False).ids]:
+                raise ValueError("this tokenizer does not fold case or has pieces that cross words: its ids cannot be had word by word")
         added = "|".join(re.escape(t.content) for t in made.get_added_tokens_decoder().values())
         self.added = re.compile(added) if added else None
 
@@ -217,7 +247,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, key:
         if state["keys"]:
             yield flush()
 
-    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k")
+    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
     ordered.mapInArrow(run, "shard long, seq long, base long, n_docs long, n_tokens long, block binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -239,11 +269,10 @@ def read(spark, path: str, key: str = "doc_id") -> DataFrame:
         for part in batches:
             for base, data in zip(part.column("at").to_pylist(), part.column("block"), strict=True):
                 block = Block(data.as_buffer())
-                ends = block.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
                 wide = memoryview(block.tokens.astype("<u4"))
-                sums = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(sums, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                for keys, starts, ends in block.documents():
+                    sums = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(sums, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     return blocks.join(F.broadcast(before), "shard").select((F.col("before") + F.col("base")).alias("at"), "block").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
