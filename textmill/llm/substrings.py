@@ -100,31 +100,43 @@ def _windows(asked: DataFrame, length: int) -> DataFrame:
     return asked.mapInArrow(run, "doc long, row long, at int, window long")
 
 
+#: At most so many phrases are hot: each has more than this part of all phrases.
+HOT = 2000
+
+
+def _at_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each phrase with what its class knows. The rows of a hot phrase stay where they are: its class comes
+    to them by broadcast, of at most HOT rows since the copies of all classes add up to all phrases."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    here, by = (F.col("copies") > max(1, total // HOT)), ["anchor", "phrase"]
+    hot = F.broadcast(classes.where(here))
+    columns = ["doc", "row", "start", "n", "least", "several"]
+    rest = found.join(hot.select(*by), by, "left_anti").join(classes.where(~here), by)
+    return found.join(hot, by).select(*columns).unionByName(rest.select(*columns))
+
+
 def duplicate_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, row, spans array<struct<start int, n int>>: the duplicate windows of each document that has any,
     as runs of n windows from a word."""
-    spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("row"))
     found = scratch.table(_phrases(narrow, length), "phrases")
     # one row for each distinct phrase: its first document, summed before the shuffle
     classes = scratch.table(found.groupBy("anchor", "phrase").agg(F.min("doc").alias("least"), F.count("*").alias("copies")), "phrase-classes")
-    scratch.release(spark)
-    # factors: phrases that stand whole in an earlier document; only phrases with copies can
-    copied = found.join(classes.where("copies > 1"), ["anchor", "phrase"]).where("doc > least").select("doc", "row", "start", "n")
-    # boundaries: blocks with several phrases, each by its first occurrence, window by window
-    blocks = classes.groupBy("anchor").agg(F.count("*").alias("phrases")).where("phrases > 1").select("anchor")
-    firsts = classes.join(blocks, "anchor", "left_semi").select("anchor", "phrase", F.col("least").alias("doc"))
-    asks = found.join(firsts, ["anchor", "phrase", "doc"], "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asks"))
+    # blocks with several phrases: there a phrase's first occurrence is checked at its boundaries
+    several = classes.groupBy("anchor").agg(F.count("*").alias("phrases")).where("phrases > 1").select("anchor", F.lit(True).alias("several"))
+    open_ = classes.join(several, "anchor", "left").where("several OR copies > 1").select("anchor", "phrase", "least", "copies", F.coalesce("several", F.lit(False)).alias("several"))
+    known = scratch.table(_at_classes(found, scratch.table(open_, "open-classes")), "known-phrases")
+    # factors: phrases that stand whole in an earlier document
+    copied = known.where("doc > least").select("doc", "row", "start", "n")
+    # boundaries: first occurrences, window by window
+    asks = known.where("several AND doc = least").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asks"))
     asks = scratch.table(asks, "boundary-phrases")
-    scratch.release(spark)
     seen = scratch.table(_windows(narrow.withColumnRenamed("k", "doc").join(asks, ["doc", "row"]).select(F.col("doc").alias("k"), "row", "t", "asks"), length), "boundary-windows")
-    scratch.release(spark)
     first = seen.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select("window", "least")
     edges = seen.join(first, "window").where("doc > least").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("n"))
     runs = copied.unionByName(edges).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = scratch.table(runs, "duplicate-spans")
-    scratch.done_with(found, classes, asks, seen)
-    scratch.release(spark)
+    scratch.done_with(found, classes, known, asks, seen)
     return out
 
 
