@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textmill.llm import decontaminate, graph, interpolation, jaccard, quality, rules, substrings
+from textmill.llm import decontaminate, exchange, graph, interpolation, jaccard, quality, rules, substrings
 
 from .helpers import FOLD, corpus, low_words, odd_rows, table, words
 
@@ -49,19 +49,75 @@ def test_scores(spark, rows, docs):
         assert -1e9 < r.score <= 0
 
 
-def test_mixture_is_a_distribution_and_learns():
+def test_mixture_is_a_distribution_and_learns(spark):
     w = interpolation.Weights()
     f = np.array([0.5, 0.25, 0.0])
     one = np.array([0.5, 0.3, 0.2])
     k = np.full(3, 2)
     total = w.mix(one, np.array([0.5, 0.5, 0]), np.array([1.0, 0, 0]), k, k, 0.25).sum() + (1 - w.two[2]) * (1 - w.three[2]) * (1 - w.one) * 0.25
     assert total == pytest.approx(1.0)
-    level = interpolation._level
-    sharp = level(one) | level(f) << 7 | level(np.array([0.9, 0.9, 0.9])) << 14 | k << 21 | k << 26
-    flat = level(one) | level(f) << 7 | level(np.array([0.0, 0.0, 0.0])) << 14 | k << 21 | k << 26
-    n = np.full(3, 10.0)
-    assert interpolation.Weights.learn(sharp, n, 0.25).three[2] > 0.9 > 0.1 > interpolation.Weights.learn(flat, n, 0.25).three[2]
-    assert interpolation.Weights.learn(sharp, n, 0.25).three[0] == 0
+    def learned(f3):
+        rows = [tuple(x.astype(np.float64).tobytes() for x in (one, f, f3)) + (k.astype(np.uint8).tobytes(),) * 2]
+        return interpolation.Weights.learn(spark.createDataFrame(rows * 10, "f1 binary, f2 binary, f3 binary, k1 binary, k2 binary"), 0.25)
+
+    sharp, flat = learned(np.full(3, 0.9)), learned(np.zeros(3))
+    assert sharp.three[2] > 0.9 > 0.1 > flat.three[2] and sharp.three[0] == 0
+
+
+def brute_interpolation(rows, learned_from, w):
+    """Scores by plain counting, with given weights."""
+    end, begin = object(), object()
+    said = {i: [*low_words(t), end] for i, t, *_ in rows}
+    one, two, three, c1, c2 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, x in said.items():
+        if learned_from(i):
+            past = [begin, begin, *x]
+            for p, q, r in zip(past, past[1:], past[2:], strict=False):
+                one[r] += 1
+                two[q, r] += 1
+                three[p, q, r] += 1
+                c1[q] += 1
+                c2[p, q] += 1
+    n, unseen = sum(one.values()), 1 / (len(one) + 1)
+    bucket = lambda c: min(1 + int(math.log2(c)), interpolation.BUCKETS - 1) if c else 0
+    out = {}
+    for i, x in said.items():
+        past, total = [begin, begin, *x], 0.0
+        for p, q, r in zip(past, past[1:], past[2:], strict=False):
+            p1 = w.one * one[r] / n + (1 - w.one) * unseen
+            b, c = w.two[bucket(c1[q])], w.three[bucket(c2[p, q])]
+            p2 = b * (two[q, r] / c1[q] if c1[q] else 0) + (1 - b) * p1
+            total += math.log10(c * (three[p, q, r] / c2[p, q] if c2[p, q] else 0) + (1 - c) * p2)
+        out[i] = total
+    return out
+
+
+def test_scores_are_those_of_the_mixture(rows, docs, monkeypatch):
+    import zlib
+
+    learned, plain = [], interpolation.Weights.learn
+    monkeypatch.setattr(interpolation.Weights, "learn", lambda *a: learned.append(plain(*a)) or learned[0])
+    got = {r.doc_id: r.score for r in interpolation.score(docs, fold(7) != 2, fold(7) == 2).collect()}
+    want = brute_interpolation(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, learned[0])
+    assert got == pytest.approx(want)
+    assert 0 < learned[0].one < 1 and (learned[0].three[1:3] > 0).all()
+
+
+def test_messages_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(exchange, "block_bytes", lambda spark: 3000)
+    rng = random.Random(9)
+    seen = []
+    for n in (40, 160):
+        rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(80)), "", "", 0) for i in range(n)]
+        blocks = exchange.blocks(table(spark, rows).selectExpr("doc_id AS k", "text AS t", "false AS lane").coalesce(2), "blocks", "long")
+        buckets, size = exchange.buckets_of(blocks)
+        assert blocks.count() >= size // 3000 and buckets == -(-size // 6000)
+        asked = jaccard._asked(blocks, buckets, 40)
+        keys = sum(len(exchange.unpack(r.keys)) for r in asked.collect())
+        seen.append((asked.count(), keys))
+        assert seen[-1][0] <= keys
+    assert seen[1][1] <= 4.4 * seen[0][1]
 
 
 def test_scores_of_odd_and_no_rows(spark):

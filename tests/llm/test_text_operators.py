@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -82,7 +84,7 @@ def test_empty_tables(spark):
 def test_elias_fano(values):
     made = elias.EliasFano.of(values)
     again, end = elias.EliasFano.read(memoryview(made.to_bytes()), 0)
-    assert again.all().tolist() == values and end == len(made.to_bytes())
+    assert again.between(0, len(values)).tolist() == values and end == len(made.to_bytes())
     for i in range(0, len(values), 37):
         assert again[i] == values[i]
     if len(values) > 300:
@@ -105,7 +107,6 @@ def test_word_encoder_is_the_librarys(texts):
 def test_token_files(spark):
     rows = [r for r in corpus() if r[0] is not None]
     made = Tokenizer.from_file(WORDS)
-    made.encode_special_tokens = True
     got = {r.doc_id: r for r in elias.written_and_read(table(spark, rows), WORDS).collect()}
     at = 0
     for i, t, *_ in sorted(rows):
@@ -123,6 +124,71 @@ def test_token_files_with_null_and_repeated_ids(spark):
     assert {r.doc_id for r in got if r.start < spans[1][1]} == {None}
 
 
+def test_offsets_are_read_by_select_alone(spark, monkeypatch):
+    """No call sees more of a sequence than the bytes between two entries of its directory."""
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 400, 5000)
+    block = elias.Block(elias.Block.pack([None, *range(10, 15100, 3)][:5000], counts.tolist(), np.zeros(counts.sum(), int), 2))
+    seen, plain = [], np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda a, **k: seen.append(len(a)) or plain(a, **k))
+    got = list(block.documents())
+    assert [k for x, _, _ in got for k in x] == [None, *range(10, 15100, 3)][:5000]
+    assert np.concatenate([e for _, _, e in got]).tolist() == np.cumsum(counts).tolist()
+    assert max(seen) <= elias.SAMPLE * 10 // 8 and len(block.ends.high) > 8 * elias.SAMPLE // 8
+
+
+def test_rows_of_one_id_are_ordered_by_their_texts(spark):
+    rows = [(7, t, "", "", 0) for t in ("b b b", "a", None, "c c")] + [(3, "x", "", "", 0)]
+    for n in (1, 3):
+        got = sorted((r.start, r.n_tokens) for r in elias.written_and_read(table(spark, rows).repartition(n), WORDS).collect())
+        assert [n for _, n in got] == [2, 1, 2, 4, 3]
+
+
+def test_other_tokenizers_are_refused():
+    from tokenizers import models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"The": 0, "the": 1, "?": 2}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    with pytest.raises(ValueError):
+        elias.WordEncoder(made)
+
+
+def thue_morse(order):
+    """Two texts that collide under any polynomial hash modulo 2 ** 64."""
+    x = "a"
+    for _ in range(order):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_made_to_collide_keep_their_own_ids(spark, plain):
+    made = Tokenizer.from_file(WORDS)
+    texts = [*thue_morse(10), *thue_morse(12), *(" ".join(x) for x in thue_morse(11))]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    for r in bpe.round_trip(table(spark, rows), RANKS, with_ids=True).collect():
+        assert r.ids == plain.encode_ordinary(texts[r.doc_id])
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    for r in elias.written_and_read(table(spark, rows), WORDS).collect():
+        ids = made.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_memo_compares_bytes_on_equal_hashes():
+    from textmill.llm.memo import Memo
+    from textmill.llm.words import Words
+
+    import pyarrow as pa
+
+    made = elias.loaded(WORDS)
+    plain = type(made).from_str(made.to_str())
+    memo = Memo(plain)
+    for column in (["one two", "three fourteen-letters fourteen_letters"], ["two nine one"], ["zebra"]):
+        w = Words(pa.array(column), lower=True)
+        ids, edges = memo.ids(w.bytes, w.starts, w.ends, np.full(len(w), 5, np.uint64))
+        said = [x for t in column for x in t.split()]
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [plain.encode(x, add_special_tokens=False).ids for x in said]
+
+
 def test_block_lookup():
     block = elias.Block.pack([None, -4, 3, 70000], [2, 1, 3, 2], np.arange(8), 2)
     assert elias.lookup(block, 3).tolist() == [3, 4, 5] and elias.lookup(block, 4) is None
@@ -170,6 +236,38 @@ def test_main_text(spark):
         assert got[i].n_chars == len(want) and got[i].url == f"u{i}"
 
 
+def test_main_text_never_fails():
+    rng = random.Random(1)
+    parts = ["<", "!", "[", "]", ">", "-", "--", "<!--", "<![", "CDATA[", "&", "&#", "&#x", "amp;", "x y.", "<p>", "</p>", "<div ", "class=", "'", '"', "<script", "</script", "/>", "<?", "\0", "<li>", "</ul>", "<td>", "<article>", "</article>", "<style>", "</", "=", "\n", "<svg/>", "é", "<u>", "</b>"]
+    for _ in range(8000):
+        html.extract("".join(rng.choices(parts, k=rng.randint(1, 14))))
+    for page, want in (("<![foo[bar]]><p>x", "x"), ("<![x]>q", "q"), ("<![ ]>q", "q"), ("<p>a<![if !IE]>b<![endif]></p>", "ab")):
+        assert html.extract(page) == want
+
+
+def test_main_text_is_linear_in_depth():
+    def took(page):
+        t = time.perf_counter()
+        html.extract(page)
+        return time.perf_counter() - t
+
+    for shape in (lambda n: "<div>words" * n, lambda n: "<p><object>" + "<span>" * n + "<div>x" * n, lambda n: "<u><div>" + "<b><i>" * n + "</u>" * n + "</section>" * n):
+        took(shape(500))
+        assert took(shape(16000)) < 16 * max(took(shape(2000)), 0.02)
+
+
+def test_the_threshold_decides():
+    """Without the thresholds another text comes out, with an article element and without."""
+    for page in ("<article><h1>T</h1>{}<div><a href=c>An author</a></div><div>*</div>{}</article>", "<div><div><a href=/>Home</a> | <a href=/x>About</a></div><div><h1>T</h1>{}</div><div>Login to see more</div></div>"):
+        page = page.replace("{}", BODY)
+        assert html.extract(page) == " ".join(["T"] + [BODY_TEXT] * (page.count(BODY)))
+        assert html.extract(page, deviation=0.0) != html.extract(page)
+
+
+def test_main_text_of_formulas_and_labels():
+    assert html.extract(f"<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, <label>says</label> it.</p></article>") == f"{BODY_TEXT} So x=1 holds, says it."
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>Deep, long text. Here it is.</p>"
     assert html.extract(deep) == "Deep, long text. Here it is."

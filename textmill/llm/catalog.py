@@ -10,7 +10,6 @@ from textmill.llm import bpe, chat, decontaminate, elias, html, interpolation, j
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds what a Python worker holds
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,16 +8,16 @@ maximum-likelihood estimates and a uniform share for unseen tokens are mixed:
     P3(w|u,v) = c[k(u,v)] f(w|u,v) + (1 - c[k(u,v)]) P2(w|v)
 
 where k buckets a context by the binary logarithm of its frequency; an unseen context has weight
-0. The weights are learned by expectation-maximisation on held-out counts: every tenth block of
-training documents is deleted from the counts (whole-corpus counts less the deleted part's), and
-its tokens are summed up by bucket and by their estimates to an octave. An estimate is at least one
-over its context's frequency, so at most 8 million cells can occur, whatever the corpus; that table
-of sums alone goes to the driver. Scores then use the counts
-of all training documents.
+0. The weights are learned by expectation-maximisation on held-out counts: every tenth training
+document by hashed id and text is deleted from the counts (whole-corpus counts less the deleted part's), and
+the exact estimates of its tokens are written to a table. Each step sums the expectations of all
+these tokens on the executors; only sums for each bucket of contexts (4 * BUCKETS + 3 numbers) come to the
+driver. Steps end when a token's mean likelihood gains less than TOLERANCE, after ROUNDS at most.
+Scores then use the counts of all training documents.
 
 All counts cover all training documents and come back to each block of documents through the
-exchange. Unigram keys have 64 bits, so base figures are exact but for 64-bit collisions; bigrams
-and trigrams have 48.
+exchange. Unigram keys have 64 bits, so base figures are exact but for 64-bit collisions; keys of bigrams
+and trigrams have exchange.key_bits() of the corpus's tokens, up to 64.
 
 Null text: only the end. Null id: scored, not learned from. Repeated rows are learned from and
 scored each. Empty tables give no rows. Extra columns never enter.
@@ -31,13 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import exchange, scratch
-from textmill.llm.words import U, Words, chunks, mix
+from textmill.llm.words import U, mix
 
-BITS = (64, 48, 48)
 DELETED = 10
 BUCKETS = 32
-STEPS = 1
-NONE = 127
+ROUNDS, TOLERANCE = 40, 2e-5
 _END, _START = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 _P, _Q = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 
@@ -45,15 +43,11 @@ _P, _Q = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 class Tokens:
     """A block's tokens in text order; token i of the block is in text owner[i]."""
 
-    def __init__(self, table: pa.Table):
-        hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for part in chunks(table.to_batches(), "t", 1 << 20):
-            w = Words(part.column("t"), lower=True)
-            hashes.append(w.hash)
-            counts.append(w.counts)
-        counts = np.concatenate(counts)
-        now = np.insert(np.concatenate(hashes), np.cumsum(counts), _END)
-        del hashes
+    def __init__(self, row: dict, bits: int):
+        words, counts = exchange.words_of(row)
+        now = np.insert(words, np.cumsum(counts), _END)
+        del words
+        self.bits = (64, bits, bits)
         self.n = counts + 1
         first = np.cumsum(self.n) - self.n
         self.owner = np.repeat(np.arange(len(counts), dtype=np.int32), self.n)
@@ -83,7 +77,7 @@ class Tokens:
             out *= _P
         out += self.now
         out = mix(out)
-        out >>= U(16)
+        out >>= U(64 - self.bits[order])
         return out
 
     def __len__(self) -> int:
@@ -123,10 +117,6 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(1 + np.floor(np.log2(np.maximum(context, 1))), BUCKETS - 1), 0).astype(np.int64)
 
 
-def _level(f: np.ndarray) -> np.ndarray:
-    return np.where(f > 0, np.minimum(np.round(-STEPS * np.log2(np.maximum(f, 1e-30))), NONE - 1), NONE).astype(np.int64)
-
-
 class Weights:
     def __init__(self):
         self.one = 0.9
@@ -138,94 +128,120 @@ class Weights:
         p2 = self.two[k1] * f2 + (1 - self.two[k1]) * p1
         return self.three[k2] * f3 + (1 - self.three[k2]) * p2
 
+    def expected(self, f1, f2, f3, k1, k2, unseen: float) -> np.ndarray:
+        """Sums over tokens: for each bucket the trigram's share, all, the bigram's share, what it was asked
+        for; then the unigram's share, the logarithm of the likelihood, and the tokens."""
+        a3 = self.three[k2] * f3
+        a2 = (1 - self.three[k2]) * self.two[k1] * f2
+        rest = (1 - self.three[k2]) * (1 - self.two[k1])
+        a1, a0 = rest * self.one * f1, rest * (1 - self.one) * unseen
+        every = a3 + a2 + a1 + a0
+        a3, a2, a1, a0 = a3 / every, a2 / every, a1 / every, a0 / every
+        of = lambda k, w=None: np.bincount(k, w, BUCKETS)
+        return np.concatenate([of(k2, a3), of(k2), of(k1, a2), of(k1, a2 + a1 + a0), [a1.sum(), np.log(every).sum(), len(k1)]])
+
+    def step(self, sums: np.ndarray) -> None:
+        """The maximisation step."""
+        hit3, all3, hit2, all2 = np.split(sums[: 4 * BUCKETS], 4)
+        for w, hit, every in ((self.three, hit3, all3), (self.two, hit2, all2)):
+            w[:] = np.where(every > 0, np.clip(hit / np.maximum(every, 1e-300), 0.0, 0.9999), w)
+            w[0] = 0.0
+        low = (all2 - hit2).sum()
+        if low > 0:
+            self.one = float(np.clip(sums[4 * BUCKETS] / low, 1e-4, 0.9999))
+
     @classmethod
-    def learn(cls, cells: np.ndarray, n: np.ndarray, unseen: float, rounds: int = 60) -> Weights:
-        """Expectation-maximisation over cells of held-out tokens and their counts."""
-        self = cls()
-        if not len(cells) or not n.sum():
-            return self
-        parts = [(cells >> s) & 127 for s in (0, 7, 14)]
-        f1, f2, f3 = (np.where(q == NONE, 0.0, 2.0 ** (-q / STEPS)) for q in parts)
-        k1, k2 = (cells >> 21) & 31, (cells >> 26) & 31
-        for _ in range(rounds):
-            a3 = self.three[k2] * f3
-            a2 = (1 - self.three[k2]) * self.two[k1] * f2
-            rest = (1 - self.three[k2]) * (1 - self.two[k1])
-            a1, a0 = rest * self.one * f1, rest * (1 - self.one) * unseen
-            scale = n / (a3 + a2 + a1 + a0)
-            a3, a2, a1, a0 = a3 * scale, a2 * scale, a1 * scale, a0 * scale
-            low = a1 + a0
-            for w, k, hit, every in ((self.three, k2, a3, n), (self.two, k1, a2, a2 + low)):
-                got, total = np.bincount(k, hit, BUCKETS), np.bincount(k, every, BUCKETS)
-                w[:] = np.where(total > 0, np.clip(got / np.maximum(total, 1e-300), 0.0, 0.9999), w)
-                w[0] = 0.0
-            self.one = float(np.clip(a1.sum() / low.sum(), 1e-4, 0.9999)) if low.sum() else self.one
+    def learn(cls, estimates: DataFrame, unseen: float) -> Weights:
+        """Expectation-maximisation over a table of estimates: a step is one aggregation over it."""
+        self, last = cls(), None
+        spark = estimates.sparkSession
+        for _ in range(ROUNDS):
+            held = spark.sparkContext.broadcast((self.one, self.two.copy(), self.three.copy()))
+
+            def run(batches, held=held):
+                now = cls()
+                now.one, now.two, now.three = held.value
+                total = np.zeros(4 * BUCKETS + 3)
+                for part in batches:
+                    for row in part.to_pylist():
+                        f1, f2, f3 = (np.frombuffer(row[c], np.float64) for c in ("f1", "f2", "f3"))
+                        k1, k2 = (np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("k1", "k2"))
+                        total += now.expected(f1, f2, f3, k1, k2, unseen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["slot", "v"])
+
+            got = estimates.mapInArrow(run, "slot long, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect()
+            held.destroy()
+            sums = np.zeros(4 * BUCKETS + 3)
+            for r in got:
+                sums[r.slot] = r.v
+            n = sums[-1]
+            if not n:
+                break
+            self.step(sums)
+            if last is not None and sums[-2] / n - last < TOLERANCE:
+                break
+            last = sums[-2] / n
         return self
 
 
-def _asked(docs: DataFrame, buckets: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        tokens = Tokens(table)
-        block = table.column("block")[0].as_py()
-        train = table.column("train").to_numpy().astype(np.float64)
-        gone = train * (block % DELETED == 0)
-        out = []
-        for space in range(3):
-            keys, counts = tokens.table(space, [train, gone])
-            at = exchange.slices(keys, buckets, BITS[space])
-            out += [(space, block, b, exchange.pack_sorted(keys[s:e]), *(exchange.pack(c[s:e]) for c in counts)) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-        names = ["space", "block", "bucket", "keys", "c0", "c1"]
-        exchange.tidy()
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+def _asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
+    def run(batches):
+        for part in batches:
+            for row in (part.slice(i, 1).to_pylist()[0] for i in range(part.num_rows)):
+                tokens = Tokens(row, bits)
+                train = np.array(row["train"], dtype=np.float64)
+                for space in range(3):
+                    keys, counts = tokens.table(space, [train, train * row["lane"]])
+                    yield exchange.messages(row["block"], space, keys, counts, buckets, tokens.bits[space])
+                del tokens
+                exchange.tidy()
 
-    return docs.groupBy("block").applyInArrow(run, "space int, block int, bucket int, keys binary, c0 binary, c1 binary")
+    return blocks.mapInArrow(run, exchange.message_schema(2))
 
 
-def _cells(docs: DataFrame, answers: DataFrame, n_tokens: int, n_texts: int) -> DataFrame:
-    """Sums of the deleted tokens: cell (buckets and estimates, packed) and n."""
+def _estimates(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_texts: int, bits: int) -> DataFrame:
+    """The deleted training tokens' estimates and buckets of contexts, many to a row, against the counts without them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = Tokens(left)
+        row = left.to_pylist()[0]
+        tokens = Tokens(row, bits)
         kept = [exchange.answered(right, s, "a0") - exchange.answered(right, s, "a1") for s in range(3)]
-        train = left.column("train").to_numpy()
-        cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        train = np.array(row["train"], dtype=bool)
+        rows = []
         for part, _, f1, f2, f3, k1, k2 in tokens.estimates(kept, n_tokens, n_texts):
-            cell = _level(f1) | _level(f2) << 7 | _level(f3) << 14 | k1 << 21 | k2 << 26
-            each, n = np.unique(cell[train[tokens.owner[part]]], return_counts=True)
-            cells.append(each)
-            counts.append(n)
+            here = train[tokens.owner[part]]
+            rows.append([f[here].tobytes() for f in (f1, f2, f3)] + [k[here].astype(np.uint8).tobytes() for k in (k1, k2)])
         exchange.tidy()
-        return pa.Table.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(counts))], ["cell", "n"])
+        return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["f1", "f2", "f3", "k1", "k2"])
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    made = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "f1 binary, f2 binary, f3 binary, k1 binary, k2 binary")
+    return scratch.table(made, "held-out-estimates")
 
 
 def score(docs: DataFrame, learned_from: Column, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     learned_from and held_out are boolean columns over docs; a null learned_from is false."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.coalesce(learned_from, F.lit(False)).alias("train"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    n_blocks = max(DELETED, exchange.blocks_of(narrow))
-    blocks = exchange.with_block(narrow, n_blocks)
-    answers = exchange.totals(_asked(blocks, n_blocks), 2, "gram-counts")
-    scratch.release(spark)
+    gone = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("deleted")), F.lit(DELETED)) == 0
+    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), gone.alias("lane"), F.coalesce(learned_from, F.lit(False)).alias("train"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    blocks = exchange.blocks(narrow, "word-blocks", kind, ("train", "held"))
+    buckets, size = exchange.buckets_of(blocks)
+    bits = exchange.key_bits(size // 4)
+    answers = exchange.totals(_asked(blocks, buckets, bits), 2, "gram-counts")
     seen = answers.where("space = 0").agg(F.sum("distinct"), F.sum("occurrences"), F.sum("others")).first()
     vocabulary, n_train, n_deleted = (int(x or 0) for x in seen)
-    texts = blocks.select("train", (F.col("block") % DELETED == 0).alias("gone")).where("train").groupBy("gone").count().collect()
-    n_texts = sum(r["count"] for r in texts)
-    deleted = blocks.where(F.col("block") % DELETED == 0)
-    replies = answers.select("block", "space", "bucket", "a0", "a1")
+    texts = blocks.select("lane", F.size(F.filter("train", lambda x: x)).alias("n")).groupBy("lane").agg(F.sum("n").alias("n")).collect()
+    n_texts, kept_texts = sum(r.n for r in texts), sum(r.n for r in texts if not r.lane)
     unseen = 1.0 / (vocabulary + 1)
-    kept_texts = sum(r["count"] for r in texts if not r["gone"])
-    table = _cells(deleted, replies.where(F.col("block") % DELETED == 0), n_train - n_deleted, kept_texts).toArrow()
-    weights = Weights.learn(table.column("cell").to_numpy(), table.column("n").to_numpy().astype(np.float64), unseen)
-    scratch.release(spark)
+    replies = answers.select("block", "space", "bucket", "a0", "a1")
+    deleted = blocks.where("lane")
+    estimates = _estimates(deleted, replies.where("block % 2 = 1"), n_train - n_deleted, kept_texts, bits)
+    weights = Weights.learn(estimates, unseen)
+    scratch.done_with(estimates)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = Tokens(left)
+        tokens = Tokens(left.to_pylist()[0], bits)
         counts = [exchange.answered(right, s, "a0") for s in range(3)]
         texts_here = len(tokens.n)
         base, said, known = (np.zeros(texts_here) for _ in range(3))
@@ -236,7 +252,7 @@ def score(docs: DataFrame, learned_from: Column, held_out: Column, key: str = "d
             known += np.bincount(owner, c > 0, texts_here)
         known = known.astype(np.int64)
         exchange.tidy()
-        columns = [left.column("k").combine_chunks(), left.column("held").combine_chunks(), pa.array(tokens.n), pa.array(known), pa.array(np.full(texts_here, n_train, np.int64)), pa.array(base), pa.array(said)]
+        columns = [left.column("k").combine_chunks().flatten(), left.column("held").combine_chunks().flatten(), pa.array(tokens.n), pa.array(known), pa.array(np.full(texts_here, n_train, np.int64)), pa.array(base), pa.array(said)]
         return pa.Table.from_arrays(columns, ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = blocks.groupBy("block").cogroup(replies.select("block", "space", "bucket", "a0").groupBy("block"))

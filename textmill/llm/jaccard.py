@@ -10,12 +10,14 @@ link when 100 * |intersection| >= 80 * |union|.
    token under every order. Tokens of one document only cannot be shared and are left out, so
    only sets that are mostly shared have any prefix tokens at all.
 3. Equal sets are one class. Candidates share a prefix token of the first order, have compatible
-   sizes and places of that token, and intersect under the other orders; those are tested on 64-bit summaries of the
-   prefixes, which never reject a sharing pair.
+   sizes and places of that token, and prefixes that intersect under each other order: a pair is first
+   tested on 64-bit summaries of these, which never reject a sharing pair, and before its sets are
+   verified on the prefixes themselves.
 4. Each token's members are first tied to the least of them. Verified links form components. Then
    all remaining pairs of one token whose members are in different components are verified, so a
    pair is skipped only when it is already connected: no group is expanded into all its pairs
-   and no link between components is lost.
+   and no link between components is lost. A token with many members is dealt out in parts of at most
+   about PART of them, each of which meets the token's other members in a task of its own.
 5. Verification intersects the exact sets (64-bit hashes).
 
 Null and empty texts: an empty set, a component of their own. Repeated ids count as one document
@@ -30,25 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import exchange, graph, scratch
-from textmill.llm.words import U, Words, chunks, mix, shingle_sets
+from textmill.llm.words import U, mix, sets_of
 
 SHINGLE = 5
-#: Bits of a shingle hash that frequencies are counted by; a collision only makes a frequency too high.
-COUNT_BITS = 40
+#: Members of a token that one task compares with the others.
+PART = 256
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _sets(column) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_sets(Words(column, lower=True), SHINGLE)
-
-
-def _block_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All sets of a block, in the order of its rows."""
-    values, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for part in chunks(table.to_batches(), "t", 1 << 20):
-        v, o = _sets(part.column("t"))
+def _block_sets(row: dict, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """All sets of a block, in the order of its rows; made for about `step` words at a time."""
+    words, counts = exchange.words_of(row)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    values, sizes, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + step, side="right")) - 1)
+        v, o = sets_of(words[first[at] : first[to]], first[at : to + 1] - first[at], SHINGLE)
         values.append(v)
         sizes.append(np.diff(o))
+        at = to
     return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
@@ -57,28 +59,23 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
     return np.where(df <= 1, 0, 1 + np.floor(np.log2(np.maximum(df.astype(np.float64), 1)))).astype(U)
 
 
-def _asked(docs: DataFrame, buckets: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        values, _ = _block_sets(table)
-        keys, counts = np.unique(values >> U(64 - COUNT_BITS), return_counts=True)
-        at = exchange.slices(keys, buckets, COUNT_BITS)
-        rows = [(b, at[b], at[b + 1]) for b in range(buckets) if at[b + 1] > at[b]]
-        exchange.tidy()
-        block = table.column("block")[0].as_py()
-        columns = [
-            pa.array([0] * len(rows), pa.int32()),
-            pa.array([block] * len(rows), pa.int32()),
-            pa.array([b for b, _, _ in rows], pa.int32()),
-            pa.array([exchange.pack_sorted(keys[s:e]) for _, s, e in rows], pa.binary()),
-            pa.array([exchange.pack(counts[s:e]) for _, s, e in rows], pa.binary()),
-        ]
-        return pa.Table.from_arrays(columns, ["space", "block", "bucket", "keys", "c0"])
+def _asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
+    def run(batches):
+        for part in batches:
+            for i in range(part.num_rows):
+                row = part.slice(i, 1).to_pylist()[0]
+                values, _ = _block_sets(row)
+                keys, counts = np.unique(values >> U(64 - bits), return_counts=True)
+                del values
+                yield exchange.messages(row["block"], 0, keys, [counts], buckets, bits)
+                exchange.tidy()
 
-    return docs.groupBy("block").applyInArrow(run, "space int, block int, bucket int, keys binary, c0 binary")
+    return blocks.mapInArrow(run, exchange.message_schema(1))
 
 
 def _prefixes(values: np.ndarray, rank: np.ndarray, offsets: np.ndarray, per_cent: int):
-    """For each set: prefix tokens of the first order that are shared, and summaries of the other orders' ones."""
+    """For each set: prefix tokens of the first order that are shared, the other orders' ones (places in values, set
+    by set and each in order of its value), and summaries of these."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     length = np.where(sizes > 0, sizes - -(-per_cent * sizes // 100) + 1, 0)
@@ -91,7 +88,7 @@ def _prefixes(values: np.ndarray, rank: np.ndarray, offsets: np.ndarray, per_cen
     held = np.bincount(o, minlength=n)
     inside = np.arange(len(some)) - np.repeat(np.cumsum(held) - held, held)
     chosen_here = inside < left[o]
-    out, masks = None, []
+    out, masks, others = None, [], []
     for salt in ORDERS:
         h = v if not salt else mix(v ^ U(salt))
         chosen = np.lexsort((h, r, o))[chosen_here]
@@ -101,31 +98,39 @@ def _prefixes(values: np.ndarray, rank: np.ndarray, offsets: np.ndarray, per_cen
             mask = np.zeros(n, dtype=U)
             np.bitwise_or.at(mask, o[chosen], U(1) << (h[chosen] & U(63)))
             masks.append(mask)
-    return out, owner, shared, masks
+            others.append(some[np.sort(chosen)])  # the values of a set are sorted
+    return out, owner, shared, masks, others
 
 
-def _described(docs: DataFrame, answers: DataFrame, per_cent: int) -> DataFrame:
+def _described(blocks: DataFrame, answers: DataFrame, per_cent: int, bits: int) -> DataFrame:
     """doc, n, a, b (two sums that name the set), alone (tokens of this document only), prefix array<long>, m1, m2,
-    body binary (the shared shingles)."""
+    p1, p2 binary (the other orders' prefixes, sorted), body binary (the shared shingles)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        values, offsets = _block_sets(left)
-        _, place = np.unique(values >> U(64 - COUNT_BITS), return_inverse=True)
+        values, offsets = _block_sets(left.select(["counts", "distinct", "codes"]).to_pylist()[0])
+        _, place = np.unique(values >> U(64 - bits), return_inverse=True)
         rank = exchange.answered(right, 0, "a0")[place] if len(values) else np.zeros(0, U)
+        del place
         total = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
         other = np.concatenate([np.zeros(1, U), np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), dtype=U)])
         a, b = total[offsets[1:]] - total[offsets[:-1]], other[offsets[1:]] - other[offsets[:-1]]
-        prefix, owner, shared, masks = _prefixes(values, rank, offsets, per_cent)
-        many = np.bincount(owner[prefix], minlength=len(offsets) - 1) if len(values) else np.zeros(len(offsets) - 1, np.int64)
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(values[prefix].view(np.int64)))
-        bodies = [values[offsets[i] : offsets[i + 1]][shared[offsets[i] : offsets[i + 1]]].tobytes() if many[i] else None for i in range(len(many))]
+        del total, other
+        prefix, owner, shared, masks, others = _prefixes(values, rank, offsets, per_cent)
+        n = len(offsets) - 1
+        many = np.bincount(owner[prefix], minlength=n) if len(values) else np.zeros(n, np.int64)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values[prefix].view(np.int64)))
+        bodies = [values[offsets[i] : offsets[i + 1]][shared[offsets[i] : offsets[i + 1]]].tobytes() if many[i] else None for i in range(n)]
+        sides = [[values[o[ends[i] : ends[i + 1]]].tobytes() if many[i] else None for i in range(n)] for o in others]
         signed = lambda x: pa.array(x.view(np.int64))
+        alone = np.bincount(owner[~shared], minlength=n)
+        columns = [left.column("k").combine_chunks().flatten(), pa.array(np.diff(offsets)), signed(a), signed(b), pa.array(alone), lists, signed(masks[0]), signed(masks[1]), *(pa.array(x, pa.binary()) for x in [*sides, bodies])]
+        del values, rank, bodies, sides
         exchange.tidy()
-        alone = np.bincount(owner[~shared], minlength=len(offsets) - 1)
-        return pa.Table.from_arrays([left.column("k").combine_chunks(), pa.array(np.diff(offsets)), signed(a), signed(b), pa.array(alone), lists, signed(masks[0]), signed(masks[1]), pa.array(bodies, pa.binary())], ["doc", "n", "a", "b", "alone", "prefix", "m1", "m2", "body"])
+        return pa.Table.from_arrays(columns, ["doc", "n", "a", "b", "alone", "prefix", "m1", "m2", "p1", "p2", "body"])
 
-    out = docs.groupBy("block").cogroup(answers.groupBy("block"))
-    return out.applyInArrow(run, "doc long, n long, a long, b long, alone long, prefix array<long>, m1 long, m2 long, body binary")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    return out.applyInArrow(run, "doc long, n long, a long, b long, alone long, prefix array<long>, m1 long, m2 long, p1 binary, p2 binary, body binary")
 
 
 def _possible(pairs: DataFrame, per_cent: int) -> DataFrame:
@@ -140,36 +145,42 @@ def _possible(pairs: DataFrame, per_cent: int) -> DataFrame:
     return pairs.where(sizes & meet).select(F.col("u.doc").alias("u"), F.col("v.doc").alias("v")).where("u <> v").distinct()
 
 
+def _common(x, y) -> int:
+    """How many values two sorted sets share."""
+    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (u, v) whose exact sets link."""
-    side = lambda x: bodies.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("body").alias(f"b{x}"))
+    """Pairs (u, v) whose prefixes intersect under every order and whose exact sets link."""
+    held = ("n", "p1", "p2", "body")
+    side = lambda x: bodies.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}{x}") for c in held])
 
     def run(batches):
         for part in batches:
             u, v = part.column("nu").to_numpy(), part.column("nv").to_numpy()
             both = np.zeros(len(u), dtype=np.int64)
-            for i, (x, y) in enumerate(zip(part.column("bu"), part.column("bv"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                at = np.searchsorted(x, y)
-                both[i] = (x[np.minimum(at, len(x) - 1)] == y).sum()
-            fine = 100 * both >= per_cent * (u + v - both)
-            yield pa.RecordBatch.from_arrays([part.column("u").filter(pa.array(fine)), part.column("v").filter(pa.array(fine))], ["u", "v"])
+            sets = [(part.column(f"{c}u"), part.column(f"{c}v")) for c in held[1:]]
+            for i in range(len(u)):
+                if all(_common(x[i], y[i]) for x, y in sets[:2]):
+                    both[i] = _common(sets[2][0][i], sets[2][1][i])
+            fine = pa.array(100 * both >= per_cent * (u + v - both))
+            yield pa.RecordBatch.from_arrays([part.column("u").filter(fine), part.column("v").filter(fine)], ["u", "v"])
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", *[f"{c}{x}" for c in held for x in "uv"]).mapInArrow(run, "u long, v long")
 
 
 def join(docs: DataFrame, per_cent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the least key reachable by links)."""
     kind = dict(docs.dtypes)[key]
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
-    n = exchange.blocks_of(narrow)
-    blocks = exchange.with_block(narrow, n)
-    answers = exchange.totals(_asked(blocks, n), 1, "shingle-frequencies", _frequency_class)
-    scratch.release(spark)
-    sets = scratch.table(_described(blocks, answers.select("block", "space", "bucket", "a0"), per_cent), "shingle-sets")
-    scratch.done_with(answers)
-    scratch.release(spark)
+    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), F.lit(False).alias("lane"))
+    blocks = exchange.blocks(narrow, "word-blocks", "long")
+    buckets, size = exchange.buckets_of(blocks)
+    bits = exchange.key_bits(size // 4)
+    answers = exchange.totals(_asked(blocks, buckets, bits), 1, "shingle-frequencies", _frequency_class)
+    sets = scratch.table(_described(blocks.select("block", "k", "counts", "distinct", "codes"), answers.select("block", "space", "bucket", "a0"), per_cent, bits), "shingle-sets")
+    scratch.done_with(answers, blocks)
 
     classes = scratch.table(sets.where("doc IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep")), "set-classes")
     bodies = sets.where("body IS NOT NULL").join(classes.select("n", "a", "b", F.col("rep").alias("doc")), ["n", "a", "b", "doc"], "left_semi")
@@ -180,14 +191,15 @@ def join(docs: DataFrame, per_cent: int = 80, key: str = "doc_id", text: str = "
     stars = _possible(tokens.join(heads, "token").select("u", F.col("d").alias("v")), per_cent)
     links = _verified(stars, bodies, per_cent)
     first = graph.components(links)
-    scratch.release(spark)
 
     # pairs of one token across components
     placed = tokens.join(first, F.col("d.doc") == F.col("node"), "left").select("token", "d", F.coalesce("component", "d.doc").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    open_ = scratch.table(placed.join(mixed, "token", "left_semi"), "open-tokens")
-    left, right = (open_.select("token", F.col("d").alias(x), F.col("c").alias(f"c{x}")) for x in "uv")
-    across = _possible(left.join(right, "token").where("cu < cv").select("u", "v"), per_cent)
+    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low < high")
+    mixed = mixed.select("token", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
+    open_ = scratch.table(placed.join(mixed, "token"), "open-tokens")
+    left = open_.select("token", F.pmod(F.xxhash64("d.doc"), F.col("parts")).cast("int").alias("part"), F.col("d").alias("u"), F.col("c").alias("cu"))
+    right = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("d").alias("v"), F.col("c").alias("cv"))
+    across = _possible(left.join(right, ["token", "part"]).where("cu < cv").select("u", "v"), per_cent)
     more = _verified(across, bodies, per_cent)
     named = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     second = graph.components(named.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
@@ -200,7 +212,6 @@ def join(docs: DataFrame, per_cent: int = 80, key: str = "doc_id", text: str = "
     )
     out = sets.select("doc", "n", "a", "b").join(final, ["n", "a", "b"], "left")
     result = out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "doc")).otherwise(F.col("doc")).cast(kind).alias("component_id"))
-    scratch.release(spark)
     return result
 
 
