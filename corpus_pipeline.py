@@ -22,33 +22,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts: bounds what a Python worker holds
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     others = tuple(c for c in docs.columns if c != "doc_id")
     return rules.judge(docs, _read(spark, sf_dir, "labels"), columns=others).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     return jaccard.representatives(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     return substrings.removed(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     return decontaminate.clean(docs, _read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _bounded(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
@@ -66,6 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.done_with(before)
+        before = docs
     return docs
