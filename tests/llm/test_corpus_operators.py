@@ -112,7 +112,7 @@ def test_messages_grow_with_the_data(spark, monkeypatch):
         rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(80)), "", "", 0) for i in range(n)]
         blocks = exchange.blocks(table(spark, rows).selectExpr("doc_id AS k", "text AS t", "false AS lane").coalesce(2), "blocks", "long")
         buckets, size = exchange.buckets_of(blocks)
-        assert blocks.count() >= size // 3000 and buckets == -(-size // 6000)
+        assert blocks.count() >= size // 3000 and buckets == -(-size // 3000)
         asked = jaccard._asked(blocks, buckets, 40)
         keys = sum(len(exchange.unpack(r.keys)) for r in asked.collect())
         seen.append((asked.count(), keys))

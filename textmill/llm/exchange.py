@@ -30,7 +30,7 @@ from textmill.llm.words import U, Words, chunks
 
 BLOCK_BYTES = 8 << 20
 #: Blocks of text whose keys make one bucket.
-BUCKET_BLOCKS = 2
+BUCKET_BLOCKS = 1
 #: Spare bits of a key: of n keys one in 2 ** SPARE at most shares its bits with another.
 SPARE = 22
 _ZSTD = "zstd"
