@@ -12,9 +12,8 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from textmill.operators import index, match, rank
+from textmill.operators import index, rank
 from textmill.plans.query import parse
 from textmill.sources import workload
 
@@ -27,20 +26,16 @@ def main(n: int, folder: str) -> None:
     workload.chunks(spark, n).repartition(8, "file_id").write.parquet(f"{folder}/chunks")
     files, chunks = spark.read.parquet(f"{folder}/files").cache(), spark.read.parquet(f"{folder}/chunks")
     corpus = time.perf_counter() - start
-    start, stats = time.perf_counter(), {}
-    for lane in ("word", "cjk"):
-        index.write_postings(chunks, f"{folder}/index", lane)
-        stats[lane] = spark.createDataFrame([index.corpus_stats(index.tokenised(chunks, lane)).first()], "n_chunks long, avgdl double")
+    start = time.perf_counter()
+    held = {lane: index.write(chunks, f"{folder}/index-{lane}", lane) for lane in ("word", "cjk")}
     built = time.perf_counter() - start
-    posts = {lane: spark.read.parquet(f"{folder}/index/lane={lane}") for lane in ("word", "cjk")}
     want, took = workload.expected(n), {}
     for name, raw in workload.QUERIES.items():
         q, times = parse(raw), []
         for _ in range(4):
             start = time.perf_counter()
             if q.terms:
-                hits = match.index_scores(posts[q.lane], stats[q.lane], q.phrases).withColumnRenamed("score", "chunk_score")
-                found = rank.best_chunks(hits).join(files.where(rank.metadata(q.filters)), "file_id").withColumn("relevance_score", F.col("chunk_score") + rank.filename_boost(q.plain) + rank.evidence_boost())
+                found = rank.file_hits(held[q.lane], files, q)
             else:
                 found = files.where(rank.metadata(q.filters))
             found = found.cache()

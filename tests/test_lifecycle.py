@@ -80,7 +80,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     live = sorted((r.first_ts, tuple(r.paths)) for r in spark.table("batches").collect())
     found = watch.changes(df).withColumn("root", F.lit("/a"))
-    rest = sorted((r.first_ts, tuple(r.paths)) for r in watch.flush(watch.sessions(found, "root"), ["session"]).collect())
+    rest = sorted((r.first_ts, tuple(r.paths)) for r in watch.flush(watch.sessions(found, "root"), ["root", "session"]).collect())
     assert live == rest[: len(live)] and len(live) >= 2
 
 

@@ -68,8 +68,9 @@ def test_engines_agree(data):
     window = names(rank.search_windowed(data[4], data[2], q))
     assert window == names(rank.search_prefiltered(data[4], data[2], q))
     assert {f for f, _ in window} == {r.file_id for r in rank.file_hits(data[4], data[2], q).collect()}
-    top, exhausted = rank.search_progressive(data[4], data[2], q, limit=5)
-    assert top.count() == 5 and not exhausted or exhausted
+    for most in (8, 32, 500):
+        top = rank.search_progressive(data[4], data[2], q, limit=5, multiplier=1, most=most).collect()
+        assert len({r.candidates_scanned for r in top}) == 1 and (len(top) == 5 or top[0].exhausted or most == 8)
 
 
 @pytest.mark.parametrize("sort", rank.SORTS)
@@ -80,6 +81,23 @@ def test_pages_have_no_gaps(data, sort):
     assert parts == whole and len(set(whole)) == len(whole) > 7
 
 
+def test_pages_of_the_stored_index_have_no_gaps(data, tmp_path):
+    held = index.write(data[3], f"{tmp_path}/p")
+    found = rank.file_hits(held, data[2], parse("the"))
+    whole = [r.file_id for r in rank.page(found, "relevance", 500).orderBy("rank").collect()]
+    parts = [r.file_id for at in range(0, len(whole) + 20, 20) for r in rank.page(found, "relevance", 20, at).orderBy("rank").collect()]
+    assert parts == whole and len(whole) > 20
+    assert rank.with_total(rank.page(found, "relevance", 20, 20), found).first().total_count == len(whole)
+
+
+def test_browse_counts_only_where_it_must(data):
+    files, q = data[2], parse("size:>=1010")
+    for limit, offset in ((10, 0), (100, 0), (100, 20), (10, 500), (25, 25)):
+        top, total = rank.browse(files, q, limit=limit, offset=offset)
+        assert total == 50 and top.count() == max(0, min(limit, 50 - offset))
+    assert rank.browse(files, parse("ext:none"))[1] == 0
+
+
 def test_unknown_sort():
     with pytest.raises(ValueError, match="unsupported"):
         rank.order_by("size")
@@ -124,11 +142,16 @@ def test_cjk(spark):
 
 
 def test_index_on_disk(data, tmp_path, spark):
-    index.write_postings(data[3], f"{tmp_path}/i")
-    posts = spark.read.parquet(f"{tmp_path}/i/lane=word")
-    q = parse('"alpha beta"')
-    a = {(r.chunk_id, round(r.score, 9)) for r in match.index_scores(posts, index.corpus_stats(data[4]), q.phrases).collect()}
-    assert a == {(r.chunk_id, round(r.score, 9)) for r in match.scan_scores(data[4], q.phrases).collect()} and a
+    held = index.write(data[3], f"{tmp_path}/i")
+    posts = held.postings
+    for raw in ('"alpha beta"', "the", "alpha report", '"of the" 42', '"the the" the', "nothing", "alpha !!!"):
+        q = parse(raw)
+        a = {(r.chunk_id, round(r.score, 9)) for r in match.scores(held, q.phrases).collect()}
+        assert a == {(r.chunk_id, round(r.score, 9)) for r in match.scan_scores(data[4], q.phrases).collect()}, raw
+        names = lambda df: sorted((r.file_id, round(r.relevance_score, 9), r.rank) for r in df.collect())
+        assert names(rank.page(rank.file_hits(held, data[2], q))) == names(rank.page(rank.file_hits(data[4], data[2], q)))
+        shown = lambda df: [(r.chunk_id, r.ordinal) for r in df.collect()]
+        assert shown(rank.document_hits(held, q, 3)) == shown(rank.document_hits(data[4], q, 3))
     plan = posts.where(F.col("term").isin("alpha"))._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [alpha])]" in plan or "EqualTo(term,alpha)" in plan
 

@@ -1,14 +1,27 @@
-"""The inverted index as DataFrames: tokenised chunks, postings and corpus statistics."""
+"""The inverted index as DataFrames: tokenised chunks, postings, corpus statistics, and both on disk.
+
+A posting is one row for a term in a chunk, with all its positions. File-name positions lie NAME below
+those of the content, so one list holds both and neither runs on into the other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import LANES
+from textmill.sources import views
+from textmill.sources.store import delete, shared_folder, stamp
 
 #: Weight of an occurrence in the file name and in the content.
 WEIGHTS = (5.0, 1.0)
+NAME = 1 << 30
+#: Bytes of a row group of postings: a query reads those that its terms' statistics do not rule out.
+ROW_GROUP = 4 << 20
 
 
 def tokenised(chunks: DataFrame, lane: str = "word") -> DataFrame:
@@ -19,16 +32,20 @@ def tokenised(chunks: DataFrame, lane: str = "word") -> DataFrame:
     return out.withColumn("dl", F.size("ft") + F.size("ct"))
 
 
-def postings(chunks: DataFrame, lane: str = "word") -> DataFrame:
-    """(chunk_id, file_id, ordinal, dl, col, pos, term), one row per occurrence; col 0 is the file name."""
-    entry = lambda col: lambda t, i: F.struct(F.lit(col).alias("col"), i.alias("pos"), t.alias("term"))
-    every = F.concat(F.transform("ft", entry(0)), F.transform("ct", entry(1)))
-    return tokenised(chunks, lane).select("chunk_id", "file_id", "ordinal", "dl", F.inline(every))
+def occurrences(tok: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, ordinal, location, dl, term, pos) of every token."""
+    entry = lambda shift: lambda t, i: F.struct(t.alias("term"), (i - shift).alias("pos"))
+    every = F.concat(F.transform("ft", entry(NAME)), F.transform("ct", entry(0)))
+    return tok.select("chunk_id", "file_id", "ordinal", "location", "dl", F.inline(every))
 
 
-def write_postings(chunks: DataFrame, path: str, lane: str = "word") -> None:
-    """The index on disk: sorted by term inside range partitions, so a term's row groups are few and skippable."""
-    postings(chunks, lane).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("errorifexists").parquet(f"{path}/lane={lane}")
+def grouped(found: DataFrame) -> DataFrame:
+    """occurrences as postings (term, chunk_id, file_id, ordinal, location, dl, pos array<int>)."""
+    return found.groupBy("term", "chunk_id", "file_id", "ordinal", "location", "dl").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+
+
+def postings(chunks: DataFrame, lane: str = "word") -> DataFrame:
+    return grouped(occurrences(tokenised(chunks, lane)))
 
 
 def corpus_stats(tok: DataFrame) -> DataFrame:
@@ -38,4 +55,72 @@ def corpus_stats(tok: DataFrame) -> DataFrame:
 
 def vocabulary(posts: DataFrame) -> DataFrame:
     """Per term: documents (chunks) and occurrences."""
-    return posts.groupBy("term").agg(F.countDistinct("chunk_id").alias("docs"), F.count("*").alias("occurrences"))
+    return posts.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("pos")).alias("occurrences"))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """An index on disk. Chunks are tokenised once, when it is built."""
+
+    spark: SparkSession
+    base: str
+    n_chunks: int
+    avgdl: float | None
+
+    @property
+    def postings(self) -> DataFrame:
+        """Sorted by term and chunk: a term's row groups are few and the others skipped."""
+        return self.spark.read.parquet(f"{self.base}/postings")
+
+    @property
+    def chunks(self) -> DataFrame:
+        """The chunks themselves, sorted by chunk_id, with dl."""
+        return self.spark.read.parquet(f"{self.base}/chunks")
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.spark.createDataFrame([(self.n_chunks, self.avgdl)], "n_chunks long, avgdl double")
+
+
+def write(chunks: DataFrame, base: str, lane: str = "word") -> Stored:
+    """Write the index of chunks (chunk_id, file_id, ordinal, filename, location, content): tokens once, then the
+    postings in ranges of (term, chunk), so that a frequent term is spread over as many files as it needs."""
+    spark = chunks.sparkSession
+    tokenised(chunks, lane).write.parquet(f"{base}/tokens")
+    tok = spark.read.parquet(f"{base}/tokens")
+    spread = occurrences(tok).repartitionByRange("term", "chunk_id")
+    grouped(spread).sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
+    tok.drop("ft", "ct").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/chunks")
+    n, mean = corpus_stats(tok).first()
+    delete(spark, f"{base}/tokens")
+    return Stored(spark, base, n, mean)
+
+
+def backfilled(held: Stored, chunks: DataFrame, lane: str = "word") -> tuple[Stored, bool]:
+    """The index as it is where it holds as many chunks as there are, else one written anew beside it; and which."""
+    if chunks.count() == held.n_chunks:
+        return held, False
+    return write(chunks, f"{held.base}-{uuid.uuid4().hex}", lane), True
+
+
+_built: dict[tuple, Stored] = {}
+
+
+def of_tables(spark: SparkSession, sf_dir: str, lane: str = "word") -> Stored:
+    """The index of a folder's search views, built at the first query that asks for it and kept, in the folder that
+    all executors share, until the driver ends. A changed table has another stamp and gets another index."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/documents.parquet"), lane)
+    if key not in _built:
+        if not _built:
+            atexit.register(_clear)
+        chunks = views.chunks(spark, sf_dir) if lane == "word" else views.cjk(spark, sf_dir)
+        _built[key] = write(chunks, f"{shared_folder(spark)}/textmill-index/{uuid.uuid4().hex}", lane)
+    return _built[key]
+
+
+def _clear() -> None:
+    for held in _built.values():
+        try:
+            delete(held.spark, held.base)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            return

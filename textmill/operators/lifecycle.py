@@ -2,6 +2,9 @@
 
 States: path, revision, status, updated_at, source_modified_time, source_size, failure_count,
 retry_after, owner (run id), started_at. All are joins and column rules over whole tables.
+
+What empties an index or a part of it takes and gives its four tables together: files (path, file_id, extension),
+chunks (file_id), state (path) and issues (path). Source files are never touched.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from textmill.functions import scalar
 from textmill.sources import formats
 
 QUARANTINE_AT = 3
+# Settings that make up an index's scope, and the time of its last full scan.
+SCOPE = ("index_roots", "index_root", "excluded_paths", "paused_index_roots", "file_exclusion_patterns")
+RECONCILED = "last_successful_reconcile_at"
 GRACE_SECONDS = 5.0
 
 
@@ -91,6 +97,76 @@ def recover(state: DataFrame, alive: DataFrame, now: float) -> DataFrame:
     return out.where(left).select("path", F.when(tries >= QUARANTINE_AT, "QUARANTINED").otherwise("INTERRUPTED").alias("status"), tries.alias("failure_count"))
 
 
+Tables = dict[str, DataFrame]
+
+
+def _without(tables: Tables, gone: Column, gone_issue: Column) -> Tables:
+    """The tables without the files that a condition over files names, and without issues of another."""
+    files = tables["files"].where(gone).select("path", "file_id")
+    return {
+        "files": tables["files"].where(~gone),
+        "chunks": tables["chunks"].join(files.select("file_id"), "file_id", "left_anti"),
+        "state": tables["state"].join(files.select("path"), "path", "left_anti"),
+        "issues": tables["issues"].where(~gone_issue),
+    }
+
+
+def purge_root(tables: Tables, root: str) -> Tables:
+    """Nothing below the root is left, issues of files that were never indexed included."""
+    below = formats.under(F.col("path"), F.lit(root))
+    return _without(tables, below, below)
+
+
+def disable_formats(tables: Tables, enabled: tuple[str, ...]) -> Tables:
+    """Files of formats that are not enabled go, whatever their root; issues only where the format is a known one."""
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    off = sorted(set(formats.FORMATS) - set(enabled))
+    return _without(tables, ~F.lower("extension").isin(*enabled), extension.isin(*off))
+
+
+def clear(tables: Tables, settings: DataFrame) -> tuple[Tables, DataFrame]:
+    """All tables empty; of the settings (key, value) only the time of the last scan goes."""
+    return {name: t.where(F.lit(False)) for name, t in tables.items()}, settings.where(F.col("key") != RECONCILED)
+
+
+def reset(tables: Tables, settings: DataFrame) -> tuple[Tables, DataFrame]:
+    """As clear, and the scope goes too; other preferences stay."""
+    empty, rest = clear(tables, settings)
+    return empty, rest.where(~F.col("key").isin(*SCOPE))
+
+
+def guard_sources(extracted: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """extracted: path, modified_time and size as they were when reading began. Those that a later listing shows
+    unchanged may be published; the others (changed or gone meanwhile) come back as PENDING states."""
+    now = listing.select("path", F.col("modified_time").alias("_time"), F.col("size").alias("_size"))
+    beside = extracted.join(now, "path", "left")
+    same = F.coalesce((F.col("_time") == F.col("modified_time")) & (F.col("_size") == F.col("size")), F.lit(False))
+    return beside.where(same).select(*extracted.columns), beside.where(~same).select("path", F.lit("PENDING").alias("status"))
+
+
+def cancel(state: DataFrame, issues: DataFrame, paths: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """A stopped job: the given paths that are EXTRACTING are PENDING again, without a failure or a wait, and their
+    issues go. States of other paths and other statuses stay as they are."""
+    asked = paths.select("path").distinct().withColumn("_asked", F.lit(True))
+    beside = state.join(asked, "path", "left")
+    hit = F.col("_asked").isNotNull() & (F.col("status") == "EXTRACTING")
+    new = {"status": F.lit("PENDING"), "updated_at": F.lit(now), "retry_after": F.lit(0.0), "owner": F.lit(None).cast("string"), "started_at": F.lit(None).cast("double")}
+    out = beside.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in state.columns])
+    return out, issues.join(beside.where(hit).select("path"), "path", "left_anti")
+
+
+def health(tables: Tables, settings: DataFrame) -> DataFrame:
+    """One row: files, their bytes, roots by state, issues and the last full scan, out of the tables and settings."""
+    held = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    lists = lambda key: F.coalesce(F.from_json(F.element_at("s", key), "array<string>"), F.array().cast("array<string>"))
+    roots = settings.agg(held.alias("s")).select(lists("index_roots").alias("roots"), lists("paused_index_roots").alias("paused"), F.element_at("s", RECONCILED).cast("double").alias("last_reconcile"))
+    counted = roots_state(roots).select(F.size("active").alias("active_roots"), F.size("paused").alias("paused_roots"))
+    files = tables["files"].agg(F.count("*").alias("indexed_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("storage_bytes"))
+    # one row each
+    out = files.crossJoin(F.broadcast(tables["issues"].agg(F.count("*").alias("issue_count")))).crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(roots.select("last_reconcile")))
+    return out.withColumn("total_roots", F.col("active_roots") + F.col("paused_roots"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "path", at: str = "updated_at") -> DataFrame:
     """The last row of each key by its time; new rows win ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -1,8 +1,9 @@
 """Phrase matching and BM25.
 
-Two forms with equal results. `scan_scores` counts phrases inside each chunk's token arrays: one
-scan for the corpus-wide figures, one for the hits, no shuffle. `index_scores` joins postings with
-the query's few tokens and groups by chunk: with postings on disk it reads only their row groups.
+`scores` answers out of an index on disk where it is given one, out of tokenised chunks otherwise, with
+equal results. `index_scores` reads the postings of the query's terms and nothing else: a query of one
+word takes its hits as they stand there, others bring a chunk's few postings together. `scan_scores`
+counts phrases inside each chunk's token arrays, without an index and without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators.index import WEIGHTS
+from textmill.operators.index import WEIGHTS, Stored
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -39,8 +40,14 @@ def bm25(f: Column, dl: Column, avgdl: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
-def scan_scores(tok: DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
+def scores(held: Stored | DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
     """(chunk_id, file_id, ordinal, carried columns, score) of chunks that hold every phrase; lower is better."""
+    if isinstance(held, Stored):
+        return index_scores(held.postings, held.stats, phrases, carry)
+    return scan_scores(held, phrases, carry)
+
+
+def scan_scores(tok: DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
     keep = ["chunk_id", "file_id", "ordinal", *carry]
     if not phrases or not all(phrases):
         return tok.select(*keep, F.lit(0.0).alias("score")).where(F.lit(False))
@@ -49,9 +56,15 @@ def scan_scores(tok: DataFrame, phrases: list[list[str]], carry: tuple[str, ...]
     return counted_scores(counted, names, keep)
 
 
-def counted_scores(counted: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
-    """`keep` and score of the rows in which no weighted number of occurrences is 0, out of these and dl."""
-    stats = counted.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
+def counted_scores(counted: DataFrame, names: list[str], keep: list[str], corpus: DataFrame | None = None) -> DataFrame:
+    """`keep` and score of the rows in which no weighted number of occurrences is 0, out of these and dl.
+
+    corpus: n_chunks and avgdl; without it counted holds every chunk."""
+    with_n = [F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names]
+    if corpus is None:
+        stats = counted.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"), *with_n)
+    else:
+        stats = counted.agg(*with_n).crossJoin(F.broadcast(corpus))  # one row each
     hits = counted.where(functools.reduce(operator.and_, [F.col(n) > 0 for n in names]))
     # one row of corpus figures beside every hit
     scored = hits.crossJoin(F.broadcast(stats))
@@ -59,28 +72,34 @@ def counted_scores(counted: DataFrame, names: list[str], keep: list[str]) -> Dat
     return scored.select(*keep, (-score).alias("score"))
 
 
-def phrase_table(spark, phrases: list[list[str]]) -> DataFrame:
-    """(p, n, i, term): the tokens of each phrase; a query's size."""
-    return spark.createDataFrame([(p, len(phrase), i, t) for p, phrase in enumerate(phrases) for i, t in enumerate(phrase)], "p int, n int, i int, term string")
+def _weighted(places: Column) -> Column:
+    """Occurrences by their column's weight; file-name places are negative."""
+    return WEIGHTS[0] * F.size(F.filter(places, lambda x: x < 0)) + WEIGHTS[1] * F.size(F.filter(places, lambda x: x >= 0))
 
 
-def phrase_hits(posts: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(p, chunk_id, file_id, ordinal, dl, f): weighted occurrences of each phrase in each chunk that has it."""
+def phrase_counts(posts: DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """chunk_id, file_id, ordinal, carried columns, dl and f0, f1, ...: each phrase's weighted occurrences in the
+    chunks that have any term of the query; and the names of these."""
+    keep, names = ["chunk_id", "file_id", "ordinal", *carry, "dl"], [f"f{i}" for i in range(len(phrases))]
     terms = sorted({t for p in phrases for t in p})
-    q = F.broadcast(phrase_table(posts.sparkSession, phrases))  # a query's tokens
-    found = posts.where(F.col("term").isin(terms)).join(q, "term")
-    starts = found.groupBy("p", "n", "chunk_id", "file_id", "ordinal", "dl", "col", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).where("c = n")
-    return starts.groupBy("p", "chunk_id", "file_id", "ordinal", "dl").agg(F.sum(F.when(F.col("col") == 0, WEIGHTS[0]).otherwise(WEIGHTS[1])).alias("f"))
+    found = posts.where(F.col("term").isin(terms))
+    if len(terms) == 1 and phrases == [terms]:
+        return found.select(*keep, _weighted(F.col("pos")).alias("f0")), names
+    places = {t: f"p{i}" for i, t in enumerate(terms)}
+    none = F.array().cast("array<int>")
+    beside = found.groupBy(*keep).agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("pos"))), none).alias(c) for t, c in places.items()])
 
+    def starts(phrase):
+        shifted = lambda k: lambda x: x - k
+        return functools.reduce(F.array_intersect, [F.transform(places[t], shifted(k)) for k, t in enumerate(phrase)])
 
-def index_scores(posts: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    return beside.select(*keep, *[_weighted(starts(p)).alias(n) for p, n in zip(phrases, names, strict=True)]), names
+
+
+def index_scores(posts: DataFrame, stats: DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
     """As scan_scores, out of postings and corpus_stats."""
+    keep = ["chunk_id", "file_id", "ordinal", *carry]
     if not phrases or not all(phrases):
-        return posts.select("chunk_id", "file_id", "ordinal", F.lit(0.0).alias("score")).where(F.lit(False))
-    hits = phrase_hits(posts, phrases)
-    with_n = hits.groupBy("p").agg(F.count("*").alias("n_with"))
-    scored = hits.join(F.broadcast(with_n), "p").crossJoin(F.broadcast(stats))  # a row per phrase, and one row
-    part = idf(F.col("n_chunks"), F.col("n_with")) * bm25(F.col("f"), F.col("dl"), F.col("avgdl"))
-    whole = scored.groupBy("chunk_id", "file_id", "ordinal").agg(F.count("*").alias("phrases"), (-F.sum(part)).alias("score"))
-    return whole.where(F.col("phrases") == len(phrases)).drop("phrases")
-
+        return posts.select(*keep, F.lit(0.0).alias("score")).where(F.lit(False))
+    counted, names = phrase_counts(posts, phrases, carry)
+    return counted_scores(counted, names, keep, stats)

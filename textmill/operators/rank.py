@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.tokens import ascii_lower
 from textmill.operators import match
+from textmill.operators.index import Stored
 from textmill.plans.query import Filters, Hints, Query
 
 SORTS = ("relevance", "modified", "filename")
@@ -111,9 +112,9 @@ def evidence_boost(hits: Column | str = "hit_count") -> Column:
     return F.when(n >= 3, -0.24).when(n == 2, -0.12).otherwise(0.0)
 
 
-def chunk_hits(tok: DataFrame, q: Query) -> DataFrame:
+def chunk_hits(tok: Stored | DataFrame, q: Query) -> DataFrame:
     """Matching chunks with chunk_score: BM25, structure hints and location."""
-    hits = match.scan_scores(tok, q.phrases)
+    hits = match.scores(tok, q.phrases)
     return hits.withColumn("chunk_score", F.col("score") + structure_boost(q.hints) + location_boost(q.plain)).drop("score")
 
 
@@ -129,7 +130,7 @@ def best_chunks_window(hits: DataFrame, order: list[Column]) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def file_hits(tok: DataFrame, files: DataFrame, q: Query) -> DataFrame:
+def file_hits(tok: Stored | DataFrame, files: DataFrame, q: Query) -> DataFrame:
     """Files that match, with relevance_score. Collapsed by file before file metadata is joined."""
     winners = best_chunks(chunk_hits(tok, q))
     joined = winners.join(files.where(metadata(q.filters)), "file_id")
@@ -164,47 +165,74 @@ def with_total(top: DataFrame, found: DataFrame) -> DataFrame:
     return top.crossJoin(F.broadcast(found.agg(F.count("*").alias("total_count"))))
 
 
-def search(tok: DataFrame, files: DataFrame, chunks: DataFrame, q: Query, sort: str = "relevance", limit: int = 100, offset: int = 0) -> DataFrame:
+def search(tok, files: DataFrame, chunks: DataFrame, q: Query, sort: str = "relevance", limit: int = 100, offset: int = 0) -> DataFrame:
     """A ranked page: rank, file columns, best chunk's location and content, score and total."""
     found = file_hits(tok, files, q)
     top = with_total(page(found, sort, limit, offset), found)
     content = chunks.select("chunk_id", "location", "content")
-    return F.broadcast(top).join(content, "chunk_id")
+    return F.broadcast(top).join(content, "chunk_id")  # at most a page of rows
 
 
-def search_windowed(tok: DataFrame, files: DataFrame, q: Query) -> DataFrame:
+def browse(files: DataFrame, q: Query, sort: str = "relevance", limit: int = 100, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page of a query without terms, and the total: a page that is not full tells it, and so does an empty
+    first one; only then are all files counted."""
+    found = files.where(metadata(q.filters))
+    top = page(found, sort, limit, offset, keyword=False)
+    here, offset = top.count(), max(0, offset)
+    if 0 < here < max(1, limit) or not here and not offset:
+        return top, offset + here
+    return top, found.count()
+
+
+def search_windowed(tok: Stored | DataFrame, files: DataFrame, q: Query) -> DataFrame:
     """The older engine: metadata first, file name inside the chunk's score, a row number per file, no structure."""
     kept = files.where(metadata(q.filters))
-    hits = match.scan_scores(tok, q.phrases, ()).join(kept, "file_id")
+    hits = match.scores(tok, q.phrases, ()).join(kept, "file_id")
     hits = hits.withColumn("relevance_score", F.col("score") + filename_boost(q.plain))
     return best_chunks_window(hits, [F.round("relevance_score", 9), F.col("ordinal")]).drop("score")
 
 
-def search_prefiltered(tok: DataFrame, files: DataFrame, q: Query) -> DataFrame:
+def search_prefiltered(tok: Stored | DataFrame, files: DataFrame, q: Query) -> DataFrame:
     """Eligible files first, then the match; corpus figures still come from every chunk."""
     kept = files.where(metadata(q.filters))
-    hits = match.scan_scores(tok, q.phrases, ()).join(kept.select("file_id"), "file_id", "left_semi").join(kept, "file_id")
+    hits = match.scores(tok, q.phrases, ()).join(kept.select("file_id"), "file_id", "left_semi").join(kept, "file_id")
     hits = hits.withColumn("relevance_score", F.col("score") + filename_boost(q.plain))
     return best_chunks_window(hits, [F.round("relevance_score", 9), F.col("ordinal")]).drop("score")
 
 
-def search_progressive(tok: DataFrame, files: DataFrame, q: Query, limit: int = 100, multiplier: int = 8, most: int = 32_768) -> tuple[DataFrame, bool]:
-    """Top files out of the best chunks, whose number doubles until `limit` files are found or all
-    chunks are in. Ranks may miss files whose name would lift them; an approximation by contract."""
-    scored = match.scan_scores(tok, q.phrases, ()).join(files.where(metadata(q.filters)), "file_id")
-    candidates = min(limit * multiplier, max(limit, most))
-    while True:
-        part = scored.orderBy("score", "chunk_id").limit(candidates)
-        part = part.withColumn("relevance_score", F.col("score") + filename_boost(q.plain))
-        best = best_chunks_window(part, [F.round("relevance_score", 9), F.col("ordinal")])
-        figures = part.agg(F.count("*"), F.countDistinct("file_id")).first()
-        exhausted = figures[0] < candidates
-        if figures[1] >= limit or exhausted or candidates >= most:
-            return page(best.drop("score"), "relevance", limit), exhausted
-        candidates = min(most, candidates * 2)
-
-
-def document_hits(tok: DataFrame, q: Query, file_id: int, limit: int = 30, offset: int = 0) -> DataFrame:
-    """Matching chunks of one file in reading order, one more than asked for to tell whether there are more."""
+def search_progressive(tok, files: DataFrame, q: Query, limit: int = 100, multiplier: int = 8, most: int = 32_768) -> DataFrame:
+    """Top files out of the best chunks, as many as candidates_scanned says: limit * multiplier, doubled until
+    `limit` files are among them or all chunks are in (exhausted). Ranks may miss files whose name would
+    lift them; an approximation by contract. Chunks are scored once: the best `most` of them, numbered,
+    tell at which number the limit-th file comes, and so how far doubling would have gone."""
+    scored = match.scores(tok, q.phrases, ()).join(files.where(metadata(q.filters)), "file_id")
+    first = min(limit * multiplier, max(limit, most))
+    # at most `most` + 1 rows, so one partition is right
+    numbered = scored.orderBy("score", "chunk_id").limit(most + 1).withColumn("n", F.row_number().over(Window.orderBy("score", "chunk_id")))
+    files_at = numbered.groupBy("file_id").agg(F.min("n").alias("n")).withColumn("files", F.row_number().over(Window.orderBy("n")))
+    enough = files_at.agg(F.min(F.when(F.col("files") >= limit, F.col("n"))).alias("enough")).crossJoin(numbered.agg(F.count("*").alias("all")))
+    steps = F.greatest(F.lit(0), F.ceil(F.log2(F.least("enough", "all") / F.lit(float(first)))))
+    steps = F.when(F.col("enough").isNull(), F.greatest(F.lit(0), F.ceil(F.log2((F.col("all") + 1) / F.lit(float(first)))))).otherwise(steps)
+    cut = F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), steps).cast("long"))
+    figures = enough.select(cut.alias("cut"), "all").select("cut", F.least("cut", "all").alias("candidates_scanned"), (F.col("all") < F.col("cut")).alias("exhausted"))
+    part = numbered.crossJoin(F.broadcast(figures)).where("n <= cut").withColumn("relevance_score", F.col("score") + filename_boost(q.plain))
+    best = best_chunks_window(part, [F.round("relevance_score", 9), F.col("ordinal")])
+    return page(best.drop("score", "n", "cut"), "relevance", limit)
+
+
+def document_hits(tok, q: Query, file_id: int, limit: int = 30, offset: int = 0, chunks: DataFrame | None = None) -> DataFrame:
+    """Matching chunks of one file in reading order, one more than asked for to tell whether there are more. Only
+    the file's own rows are matched: no figure of the corpus takes part. Content comes from `chunks`, if given."""
     limit = max(1, min(50, int(limit)))
-    return match.scan_scores(tok, q.phrases, ("location", "content")).where(F.col("file_id") == file_id).orderBy("ordinal", "chunk_id").offset(max(0, offset)).limit(limit + 1)
+    mine = F.col("file_id") == file_id
+    if not q.phrases or not all(q.phrases):
+        hits = match.scores(tok, q.phrases)
+    elif isinstance(tok, Stored):
+        counted, names = match.phrase_counts(tok.postings.where(mine), q.phrases, ("location",))
+        hits = counted.where(functools.reduce(operator.and_, [F.col(n) > 0 for n in names]))
+    else:
+        hits = match.scan_scores(tok.where(mine), q.phrases)
+    top = hits.select("chunk_id", "file_id", "ordinal", "location").orderBy("ordinal", "chunk_id").offset(max(0, offset)).limit(limit + 1)
+    if chunks is None:
+        return top
+    return F.broadcast(top).join(chunks.where(mine).select("chunk_id", "content"), "chunk_id")  # at most 51 rows

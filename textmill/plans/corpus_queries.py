@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
@@ -9,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textmill.functions import scalar
-from textmill.operators import lifecycle, metrics
+from textmill.functions import codec, scalar
+from textmill.operators import index, lifecycle, metrics
+from textmill.plans import sql
 from textmill.plans.registry import Registry
 from textmill.plans.sql import quote
-from textmill.sources import extract, formats, views
+from textmill.sources import extract, formats, isolate, views
 from textmill.sources.store import Store, shared_folder
-from textmill.sources.views import CHUNKS_SQL, FILES_SQL
+from textmill.sources.views import CHUNKS_SQL, CJK_SQL, FILES_SQL
 from textmill.streaming import watch
 
 R = Registry()
@@ -168,10 +170,10 @@ def adapter_registry(spark, d):
     return views.files(spark, d).select("path", formats.adapter("extension", F.expr(_HEAD)).alias("adapter"))
 
 
-@R.add("scan_walk")
+@R.add("scan_walk", "SELECT * FROM (VALUES " + ", ".join(f"('{n}.parquet')" for n in sorted("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())) + ") AS t(name)")
 def scan_walk(spark, d):
     """The files below the table folder, by name."""
-    return extract.scan(spark, d, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "size")
+    return extract.scan(spark, d, "*.parquet").where("size > 0").select(F.substring_index("path", "/", -1).alias("name"))
 
 
 @R.add("scan_progress", f"WITH {_RAW_SQL}, n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM raw) SELECT count(*) AS files_seen, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS directories_seen, count(*) FILTER (WHERE lower(regexp_extract(name, '(\\.[^.]*)$', 1)) IN {_in(formats.DEFAULT_ENABLED)} AND name NOT LIKE '~$%' AND name NOT LIKE '%.tmp') AS discovered FROM n")
@@ -192,17 +194,36 @@ def src_html(spark, d):
     return extract.extract(_as_files(views.table(spark, d, "pages"), "page_id", "html", ".html"))
 
 
-@R.add("src_xml")
+_TEXT = "coalesce(text, '')"
+_SPLIT = r"string_split(regexp_replace(regexp_replace({}, '\r\n', chr(10), 'g'), '\r', chr(10), 'g'), chr(10))"
+
+
+@R.add(
+    "src_xml",
+    rf"""WITH x AS (SELECT doc_id, doc_id || ' ' || lang AS a, source, {sql.stripped("regexp_replace(translate(" + _TEXT + ", '&<>', '   '), '\\s+', ' ', 'g')")} AS t FROM documents)
+SELECT '/t/' || doc_id || '.xml' AS path, 0 AS ordinal, 'XML 内容 1 · 元素 ' || CASE WHEN t = '' THEN 'source' ELSE 'body' END AS location, concat_ws(chr(10), a, source, nullif(t, '')) AS content, NULL::VARCHAR AS error_code FROM x""",
+)
 def src_xml(spark, d):
-    return extract.extract(_as_files(views.table(spark, d, "pages"), "page_id", "html", ".xml"))
+    """Documents as XML records."""
+    plain = F.translate(F.coalesce("text", F.lit("")), "&<>", "   ")
+    record = F.concat(F.lit('<?xml version="1.0"?><doc id="'), F.col("doc_id").cast("string"), F.lit('" lang="'), "lang", F.lit('"><source>'), "source", F.lit("</source>\n<x:body>"), plain, F.lit("</x:body></doc>"))
+    return extract.extract(_as_files(views.table(spark, d, "documents").withColumn("record", record), "doc_id", "record", ".xml"))
+
 
+_LINES_SQL = f"""lines AS (SELECT doc_id AS id, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS l FROM (SELECT doc_id, {_SPLIT.format(_TEXT)} AS l FROM documents)),
+{sql.folded("SELECT id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x, length(unnest(l)) + 1 AS w FROM lines", extract.TARGET)},
+text_chunks AS (SELECT '/t/' || id || '.txt' AS path, (row_number() OVER (PARTITION BY id ORDER BY c) - 1)::INTEGER AS ordinal, first, last, '行 ' || first || '-' || last AS location, body AS content FROM (SELECT id, c, first, last, {sql.stripped("body")} AS body FROM runs) WHERE body <> '')"""
 
-@R.add("src_text")
+
+@R.add("src_text", f"WITH RECURSIVE {_LINES_SQL} SELECT path, ordinal, location, content, NULL::VARCHAR AS error_code FROM text_chunks")
 def src_text(spark, d):
     return extract.extract(_as_files(views.table(spark, d, "documents"), "doc_id", "text", ".txt"))
 
 
-R.queries["fn_chunk_lines"] = src_text
+@R.add("fn_chunk_lines", f"WITH RECURSIVE {_LINES_SQL} SELECT path, count(*) AS n_chunks, max(last) AS last_line, sum(length(content))::BIGINT AS n_chars FROM text_chunks GROUP BY path")
+def fn_chunk_lines(spark, d):
+    """How many line chunks a file has, where the last one ends, and their characters."""
+    return src_text(spark, d).groupBy("path").agg(F.count("*").alias("n_chunks"), F.max(F.regexp_extract("location", r"-(\d+)$", 1).cast("int")).alias("last_line"), F.sum(F.length("content")).alias("n_chars"))
 
 
 def _packaged(spark, d, ext: str, build):
@@ -216,67 +237,171 @@ def _packaged(spark, d, ext: str, build):
     return extract.extract(docs.mapInPandas(pack, "path string, content binary"))
 
 
-@R.add("src_docx")
+_PARAGRAPHS = f"SELECT doc_id AS id, list_filter(list_transform(list_prepend(source, string_split({_TEXT}, chr(10))), lambda x: {sql.stripped('x')}), lambda x: x <> '') AS l, source FROM documents"
+
+
+@R.add(
+    "src_docx",
+    f"""WITH RECURSIVE p AS ({_PARAGRAPHS}),
+{sql.folded("SELECT id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x, length(unnest(l)) AS w FROM p", extract.TARGET)}
+SELECT '/t/' || id || '.docx' AS path, c::INTEGER AS ordinal, '文档块 ' || first || '-' || last || ' · 标题 ' || source AS location, body AS content, NULL::VARCHAR AS error_code FROM runs JOIN p USING (id)""",
+)
 def src_docx(spark, d):
     from textmill.sources.samples import docx
 
     return _packaged(spark, d, ".docx", lambda s, t: docx([("Heading1", s), *(("", x) for x in t.split("\n"))]))
 
 
-@R.add("src_xlsx")
+def _sheets_sql(ext: str) -> str:
+    """Rows of words by tabs, 200 to a chunk, rows without any left out."""
+    return f"""WITH l AS (SELECT doc_id AS id, source, string_split({_TEXT}, chr(10)) AS l FROM documents),
+c AS (SELECT id, source, unnest(range(1, len(l) + 1)) AS n, regexp_replace(replace(unnest(l), ' ', chr(9)), '\\t+$', '') AS x FROM l),
+b AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY n) - 1) // 200 AS b FROM c WHERE x <> '')
+SELECT '/t/' || id || '{ext}' AS path, b::INTEGER AS ordinal, '工作表 ' || source || ' · 行 ' || min(n) || '-' || max(n) AS location, '工作表: ' || source || chr(10) || string_agg(x, chr(10) ORDER BY n) AS content, NULL::VARCHAR AS error_code FROM b GROUP BY id, source, b"""
+
+
+@R.add("src_xlsx", _sheets_sql(".xlsx"))
 def src_xlsx(spark, d):
     from textmill.sources.samples import xlsx
 
     return _packaged(spark, d, ".xlsx", lambda s, t: xlsx({s or "s": [x.split(" ") for x in t.split("\n")]}))
 
 
-@R.add("src_pptx")
+@R.add("src_calamine", _sheets_sql(".ods"))
+def src_calamine(spark, d):
+    """OpenDocument spreadsheets; binary workbooks are src_xlsb."""
+    from textmill.sources.samples import ods
+
+    return _packaged(spark, d, ".ods", lambda s, t: ods({s or "s": [x.split(" ") for x in t.split("\n")]}))
+
+
+@R.add("src_xlsb", _sheets_sql(".xlsb"))
+def src_xlsb(spark, d):
+    from textmill.sources.samples import xlsb
+
+    return _packaged(spark, d, ".xlsb", lambda s, t: xlsb({s or "s": [x.split(" ") for x in t.split("\n")]}))
+
+
+@R.add("src_pptx", f"SELECT '/t/' || doc_id || '.pptx' AS path, (n - 1)::INTEGER AS ordinal, '幻灯片 ' || n || ' · 标题 ' || source AS location, {sql.stripped('concat_ws(chr(10), source, nullif(x, ' + quote('') + '))')} AS content, NULL::VARCHAR AS error_code FROM (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM (SELECT doc_id, source, string_split({_TEXT}, chr(10)) AS l FROM documents))")
 def src_pptx(spark, d):
     from textmill.sources.samples import pptx
 
     return _packaged(spark, d, ".pptx", lambda s, t: pptx([(s, x) for x in t.split("\n")]))
 
 
-@R.add("src_tika_flat")
+@R.add("fn_preview_rows", f"""WITH l AS (SELECT doc_id, string_split({_TEXT}, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, n, string_split(coalesce(l[n], ''), ' ')[1:50] AS c FROM l, (VALUES (1), (2), (3), (4)) AS v(n))
+SELECT doc_id, n::INTEGER AS row_number, regexp_replace(array_to_string(list_transform(c, lambda x: x[1 : CASE WHEN n = 1 THEN 100 ELSE 1000 END]), chr(9)), '\\t+$', '') AS cells FROM r""")
+def fn_preview_rows(spark, d):
+    """Rows 2 to 4 of each document's sheet, below its first row for context."""
+    from textmill.sources.samples import xlsx
+
+    def show(batches):
+        for part in batches:
+            rows = [(i, n, "\t".join(cells)) for i, t in zip(part["doc_id"], part["text"], strict=True) for n, cells in extract.preview(xlsx({"s": [x.split(" ") for x in (t or "").split("\n")]}), "工作表 s · 行 2-4")]
+            yield pd.DataFrame(rows, columns=["doc_id", "row_number", "cells"])
+
+    return views.table(spark, d, "documents").select("doc_id", "text").mapInPandas(show, "doc_id long, row_number int, cells string")
+
+
+_FLAT = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]'"
+
+
+def _flat_sql(rows: str, ext: str) -> str:
+    """rows: id and text."""
+    return f"""WITH RECURSIVE p AS (SELECT id, list_filter(list_transform(regexp_split_to_array(text, {_FLAT}), lambda x: {sql.stripped('x')}), lambda x: x <> '') AS l FROM ({rows})),
+{sql.folded("SELECT id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x, length(unnest(l)) AS w FROM p", extract.TARGET)}
+SELECT '/t/' || id || '{ext}' AS path, c::INTEGER AS ordinal, '内容块 ' || (c + 1) AS location, body AS content, NULL::VARCHAR AS error_code FROM runs"""
+
+
+@R.add("src_tika_flat", _flat_sql(f"SELECT doc_id AS id, {_TEXT} AS text FROM documents", ".doc"))
 def src_tika_flat(spark, d):
     more = {".doc": lambda data: extract.flat(extract.decode(data))}
     return extract.extract(_as_files(views.table(spark, d, "documents"), "doc_id", "text", ".doc"), more)
 
 
-R.queries["fn_chunk_flat"] = src_tika_flat
+@R.add("fn_chunk_flat", f"SELECT path, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars FROM ({_flat_sql('SELECT doc_id AS id, ' + _TEXT + ' AS text FROM documents', '.doc')}) GROUP BY path")
+def fn_chunk_flat(spark, d):
+    return src_tika_flat(spark, d).groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+
+
+def _broken(data):
+    raise ValueError("not this format")
+
+
+@R.add("isolation_cascade", _flat_sql("SELECT item_id AS id, coalesce(text, '') AS text FROM benchmark", ".doc"))
+def isolation_cascade(spark, d):
+    """Each file in a child process; the first reader fails on every one, so the second takes over."""
+    more = {".doc": [_broken, lambda data: extract.flat(extract.decode(data))]}
+    return extract.extract(_as_files(views.table(spark, d, "benchmark"), "item_id", "text", ".doc"), more, isolate.Limits(60, 30))
 
 
-@R.add("fn_decode")
+@R.add("fn_decode", f"SELECT doc_id, md5({_TEXT}) AS text_md5 FROM documents")
 def fn_decode(spark, d):
     """Texts encoded as GB18030 every other row, read back."""
     docs = views.table(spark, d, "documents").select("doc_id", "text")
 
     def pack(batches):
         for part in batches:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "same": [extract.decode((t or "").encode("gb18030" if i % 2 else "utf-8")) == (t or "") for i, t in zip(part["doc_id"], part["text"], strict=True)]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text": [extract.decode((t or "").encode("gb18030" if i % 2 else "utf-8")) for i, t in zip(part["doc_id"], part["text"], strict=True)]})
 
-    return docs.mapInPandas(pack, "doc_id long, same boolean")
+    return docs.mapInPandas(pack, "doc_id long, text string").select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@R.add("fn_extract_text")
+@R.add("fn_codec", f"SELECT doc_id, '44535A31' AS mark, md5({_TEXT}) AS text_md5 FROM documents")
+def fn_codec(spark, d):
+    """Texts packed and unpacked again; the mark comes first."""
+    packed = views.table(spark, d, "documents").select("doc_id", codec.packed("text").alias("p"))
+    return packed.select("doc_id", F.hex(F.substring("p", 1, 4)).alias("mark"), F.md5(codec.unpacked("p").text).alias("text_md5"))
+
+
+@R.add("fn_extract_text", f"WITH RECURSIVE {_LINES_SQL} SELECT path, md5(string_agg(content, chr(10) ORDER BY ordinal)) AS text_md5 FROM text_chunks GROUP BY path")
 def fn_extract_text(spark, d):
-    return extract.whole_text(src_html(spark, d))
+    return extract.whole_text(src_text(spark, d)).select("path", F.md5("text").alias("text_md5"))
 
 
-@R.add("iter_blocks")
+@R.add("iter_blocks", f"WITH RECURSIVE {_LINES_SQL} SELECT path, ordinal, 'text' AS family, 'text_range' AS kind, first::INTEGER AS line_start, last::INTEGER AS line_end FROM text_chunks")
 def iter_blocks(spark, d):
     chunks = src_text(spark, d)
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    return chunks.select("path", "ordinal", formats.family(ext).alias("family"), scalar.locator(formats.family(ext), "location").alias("l")).select("path", "ordinal", "family", "l.*")
+    return chunks.select("path", "ordinal", formats.family(ext).alias("family"), scalar.locator(formats.family(ext), "location").alias("l")).select("path", "ordinal", "family", "l.kind", "l.line_start", "l.line_end")
 
 
-@R.add("backup_restore", f"WITH {FILES_SQL} SELECT file_id, path, size FROM files")
-def backup_restore(spark, d):
-    """Publish a version, back it up beside it, and read the copy."""
+def _store(spark, d) -> tuple[str, Store]:
+    """A store of files and chunks, by file, in a folder of its own."""
     base = f"{shared_folder(spark)}/textmill-store-{uuid.uuid4().hex}"
     made = Store(spark, f"{base}/index")
-    made.publish({"files": views.files(spark, d)})
-    return made.copy_to(f"{base}/backup").read("files").select("file_id", "path", "size")
+    made.publish({"files": views.files(spark, d), "chunks": views.chunks(spark, d).select("file_id", "chunk_id", "ordinal", "content")})
+    return base, made
+
+
+@R.add("backup_restore", f"WITH {FILES_SQL} SELECT file_id, path, size FROM files")
+def backup_restore(spark, d):
+    """Back a version up, lose it, and publish the backup again."""
+    base, made = _store(spark, d)
+    kept = made.copy_to(f"{base}/backup")
+    made.publish({"files": views.files(spark, d).where("file_id < 0")})
+    made.restore(kept)
+    return made.read("files").select("file_id", "path", "size")
+
+
+@R.add("storage_move", f"WITH {FILES_SQL} SELECT file_id, path, size FROM files")
+def storage_move(spark, d):
+    """The store at the old place reads at the new one."""
+    base, made = _store(spark, d)
+    made.move(f"{base}/elsewhere")
+    return Store(spark, f"{base}/index").read("files").select("file_id", "path", "size")
+
+
+@R.add("sink_batch_writer", f"WITH {FILES_SQL}, {CHUNKS_SQL} SELECT chunk_id, md5(CASE WHEN file_id % 100 = 3 THEN upper(content[1:10]) ELSE content END) AS content_md5 FROM chunks WHERE file_id % 100 NOT IN (3, 4) OR file_id % 100 = 3 AND ordinal = 0")
+def sink_batch_writer(spark, d):
+    """A batch of changed and one of removed documents; only the parts that hold them are written anew."""
+    _, made = _store(spark, d)
+    chunks = made.read("chunks")
+    new = chunks.where("file_id % 100 = 3 AND ordinal = 0").withColumn("content", F.upper(F.substring("content", 1, 10)))
+    made.apply({"chunks": new, "files": made.read("files").where("file_id % 100 = 3")}, chunks.where("file_id % 100 = 3").select("file_id").distinct())
+    made.apply({}, chunks.where("file_id % 100 = 4").select("file_id").distinct())
+    return made.read("chunks").select("chunk_id", F.md5("content").alias("content_md5"))
 
 
 # -- scalar functions
@@ -345,13 +470,18 @@ def fn_preview_location(spark, d):
     return _structure(spark, d).select("chunk_id", scalar.preview_location("extension", F.col("s"), "location").alias("label"))
 
 
-for _name in ("join_left_structure", "project_structure"):
+@R.add("join_left_structure", f"WITH {_STRUCTURE_SQL}, page AS (SELECT chunk_id, location FROM chunks WHERE ordinal = 0), side AS (SELECT * FROM structure WHERE chunk_id % 3 <> 0) SELECT p.chunk_id, p.location, s.kind, s.title, s.page, s.slide, s.sheet FROM page AS p LEFT JOIN side AS s USING (chunk_id)")
+def join_left_structure(spark, d):
+    side = _structure(spark, d).where("chunk_id % 3 <> 0").select("chunk_id", "s.*")
+    page = views.chunks(spark, d).where("ordinal = 0").select("chunk_id", "location")
+    return page.join(side, "chunk_id", "left").select("chunk_id", "location", "kind", "title", "page", "slide", "sheet")
+
 
-    @R.add(_name, f"WITH {_STRUCTURE_SQL}, page AS (SELECT chunk_id, location FROM chunks WHERE ordinal = 0), side AS (SELECT * FROM structure WHERE chunk_id % 3 <> 0) SELECT p.chunk_id, p.location, s.kind, s.title, s.page, s.slide, s.sheet FROM page AS p LEFT JOIN side AS s USING (chunk_id)")
-    def _left_structure(spark, d):
-        side = _structure(spark, d).where("chunk_id % 3 <> 0").select("chunk_id", "s.*")
-        page = views.chunks(spark, d).where("ordinal = 0").select("chunk_id", "location")
-        return page.join(side, "chunk_id", "left").select("chunk_id", "location", "kind", "title", "page", "slide", "sheet")
+@R.add("project_structure", f"WITH {_STRUCTURE_SQL}, top AS (SELECT chunk_id FROM chunks ORDER BY length(content) DESC, chunk_id LIMIT 100) SELECT chunk_id, kind, title, page, slide, sheet, row_start, row_end, line_start, line_end, block_start, block_end FROM top JOIN structure USING (chunk_id)")
+def project_structure(spark, d):
+    """All locator columns, for the rows of a page only."""
+    top = views.chunks(spark, d).select("chunk_id", "extension", "location", F.length("content").alias("n")).orderBy(F.col("n").desc(), "chunk_id").limit(100)
+    return top.select("chunk_id", scalar.locator(formats.family("extension"), "location").alias("s")).select("chunk_id", "s.*")
 
 
 _EXT_FORMS = (" PDF ", ".Docx", "", "zip", "ET", ".htm")
@@ -363,7 +493,9 @@ def fn_family(spark, d):
     return views.table(spark, d, "documents").select("doc_id", formats.normalise(raw).alias("normal"), formats.family(raw).alias("family"))
 
 
-R.queries["fn_normalize_ext"], R.sql["fn_normalize_ext"] = R.queries["fn_family"], R.sql["fn_family"]
+@R.add("fn_normalize_ext", "SELECT doc_id, '.' || lower(lang) AS normal, '.' || lower(source) AS other FROM documents")
+def fn_normalize_ext(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", formats.normalise(F.concat(F.lit(" "), F.upper("lang"))).alias("normal"), formats.normalise(F.concat(F.lit("."), "source", F.lit(" "))).alias("other"))
 
 
 @R.add("fn_retry_delay", f"WITH {_STATE_SQL} SELECT path, CASE WHEN status IN ('FAILED', 'TIMEOUT') THEN least(CASE WHEN status = 'TIMEOUT' THEN 1800.0 ELSE 300.0 END * pow(2, greatest(0, least(failure_count * 3 - 1, 8))), 86400.0)::DOUBLE ELSE 0.0::DOUBLE END AS delay FROM state")
@@ -379,13 +511,22 @@ def fn_status_result(spark, d):
 _CODES = ("LegacyExtractionTimeout", "ParserInterrupted", "ParserCancelled", "BadZipFile", "unknown")
 
 
-@R.add("fn_status_error", f"SELECT doc_id, c AS code, coalesce(({_map(scalar.ERROR_STATUS.items())})[c], 'FAILED') AS status, coalesce(({_map(scalar.ERROR_LABELS.items())})[c], c) AS label FROM (SELECT doc_id, ({_list(_CODES)})[doc_id % 5 + 1] AS c FROM documents)")
-def fn_status_error(spark, d):
+_CODED_SQL = f"(SELECT doc_id, ({_list(_CODES)})[doc_id % 5 + 1] AS c FROM documents)"
+
+
+def _coded(spark, d):
     code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("doc_id") % 5 + 1).cast("int")).alias("code")
-    return views.table(spark, d, "documents").select("doc_id", code).select("doc_id", "code", scalar.status_of_error("code").alias("status"), scalar.error_label("code").alias("label"))
+    return views.table(spark, d, "documents").select("doc_id", code)
 
 
-R.queries["fn_error_label"], R.sql["fn_error_label"] = R.queries["fn_status_error"], R.sql["fn_status_error"]
+@R.add("fn_status_error", f"SELECT doc_id, c AS code, coalesce(({_map(scalar.ERROR_STATUS.items())})[c], 'FAILED') AS status FROM {_CODED_SQL}")
+def fn_status_error(spark, d):
+    return _coded(spark, d).select("doc_id", "code", scalar.status_of_error("code").alias("status"))
+
+
+@R.add("fn_error_label", f"SELECT doc_id, c AS code, coalesce(({_map(scalar.ERROR_LABELS.items())})[c], c) AS label FROM {_CODED_SQL}")
+def fn_error_label(spark, d):
+    return _coded(spark, d).select("doc_id", "code", scalar.error_label("code").alias("label"))
 
 
 @R.add("fn_format_size", "SELECT l_orderkey, l_linenumber, CASE WHEN v < 1024 THEN v::BIGINT || ' B' WHEN v < 1048576 THEN printf('%.1f KB', round(v / 1024, 1)) WHEN v < 1073741824 THEN printf('%.1f MB', round(v / 1048576, 1)) ELSE printf('%.1f GB', round(v / 1073741824, 1)) END AS size_text FROM (SELECT l_orderkey, l_linenumber, (l_partkey::BIGINT * l_partkey * l_suppkey)::DOUBLE AS v FROM lineitem)")
@@ -497,27 +638,92 @@ def revision_refresh(spark, d):
     return _tables(spark, d)[2].where(F.col("revision") < now).select("path", "revision", now.alias("current"))
 
 
-@R.add("disable_ext_cleanup", f"WITH {FILES_SQL} SELECT path FROM files WHERE lower(extension) IN ('.pdf', '.docx')")
+_FOUR_SQL = f"""{_STATE_SQL}, {CHUNKS_SQL},
+issues AS (SELECT path, (['file_too_large', 'permission_denied', 'os_error', 'BadZipFile', 'SomethingNew'])[file_id % 5 + 1] AS error_code, 1739000000.0::DOUBLE + file_id % 50 AS updated_at, file_id FROM files WHERE file_id % 3 = 0),
+settings(key, value) AS (
+  SELECT 'index_roots', (SELECT to_json(list_sort(list(DISTINCT '/corpus/' || source)))::VARCHAR FROM documents) UNION ALL
+  SELECT 'paused_index_roots', (SELECT to_json(list_sort(list(DISTINCT '/corpus/' || source)))::VARCHAR FROM documents WHERE source LIKE '%1') UNION ALL
+  SELECT 'last_successful_reconcile_at', (SELECT max(updated_at)::VARCHAR FROM issues) UNION ALL SELECT 'theme', (SELECT min(lang) FROM documents)
+)"""
+
+
+def _four(spark, d):
+    """files, chunks, state and issues."""
+    return {"files": views.files(spark, d), "chunks": views.chunks(spark, d).select("chunk_id", "file_id"), "state": _tables(spark, d)[2], "issues": _issues(spark, d).drop("file_id")}
+
+
+def _settings(spark, d):
+    docs = views.table(spark, d, "documents")
+    roots = lambda only: docs.where(only).agg(F.to_json(F.array_sort(F.collect_set(F.concat(F.lit("/corpus/"), "source")))).alias("value"))
+    rows = [
+        roots("true").select(F.lit("index_roots").alias("key"), "value"),
+        roots("source LIKE '%1'").select(F.lit("paused_index_roots"), "value"),
+        _issues(spark, d).agg(F.max("updated_at").cast("decimal(20,1)").cast("string").alias("value")).select(F.lit("last_successful_reconcile_at"), "value"),
+        docs.agg(F.min("lang").alias("value")).select(F.lit("theme"), "value"),
+    ]
+    return functools.reduce(lambda a, b: a.union(b), rows)
+
+
+def _rows_of(tables, settings=None):
+    """Every row that is left: (in_table, key)."""
+    keys = {"files": "path", "chunks": "chunk_id", "state": "path", "issues": "path"}
+    parts = [t.select(F.lit(name).alias("in_table"), F.col(keys[name]).cast("string").alias("key")) for name, t in tables.items()]
+    if settings is not None:
+        parts.append(settings.select(F.lit("settings").alias("in_table"), "key"))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _left_sql(keep: str, keep_issue: str) -> str:
+    return f"""WITH {_FOUR_SQL}
+SELECT 'files' AS in_table, path AS key FROM files WHERE {keep} UNION ALL SELECT 'chunks', chunk_id::VARCHAR FROM chunks WHERE file_id IN (SELECT file_id FROM files WHERE {keep})
+UNION ALL SELECT 'state', path FROM state WHERE {keep} UNION ALL SELECT 'issues', path FROM issues WHERE {keep_issue}"""
+
+
+@R.add("disable_ext_cleanup", _left_sql(r"lower(regexp_extract(path, '(\.[^./]*)$', 1)) IN ('.pdf', '.docx')", r"lower(regexp_extract(path, '(\.[^./]*)$', 1)) IN ('.pdf', '.docx')"))
 def disable_ext_cleanup(spark, d):
-    enabled = spark.createDataFrame([(".pdf",), (".docx",)], "enabled string")
-    files = views.files(spark, d)
-    return files.join(F.broadcast(enabled), F.lower("extension") == F.col("enabled"), "left_semi").select("path")
+    return _rows_of(lifecycle.disable_formats(_four(spark, d), (".pdf", ".docx")))
 
 
-@R.add("purge_root", f"WITH {FILES_SQL} SELECT path FROM files WHERE path NOT LIKE '/corpus/src1/%'")
+@R.add("purge_root", _left_sql("path NOT LIKE '/corpus/src1/%'", "path NOT LIKE '/corpus/src1/%'"))
 def purge_root(spark, d):
-    return views.files(spark, d).where(~formats.under(F.col("path"), F.lit("/corpus/src1"))).select("path")
+    return _rows_of(lifecycle.purge_root(_four(spark, d), "/corpus/src1"))
 
 
-@R.add("clear_index", f"WITH {FILES_SQL} SELECT count(*) AS n FROM files WHERE false")
+@R.add("clear_index", f"WITH {_FOUR_SQL} SELECT 'settings' AS in_table, key FROM settings WHERE key NOT LIKE 'last%'")
 def clear_index(spark, d):
-    return views.files(spark, d).where(F.lit(False)).agg(F.count("*").alias("n"))
+    return _rows_of(*lifecycle.clear(_four(spark, d), _settings(spark, d)))
 
 
-@R.add("reset_scope", "SELECT 'roots' AS key, '[]' AS value UNION ALL SELECT 'excluded', '[]' UNION ALL SELECT 'history', 'kept'")
+@R.add("reset_scope", f"WITH {_FOUR_SQL} SELECT 'settings' AS in_table, key FROM settings WHERE key NOT LIKE 'last%' AND key NOT LIKE '%index_roots'")
 def reset_scope(spark, d):
-    settings = spark.createDataFrame([("roots", '["/a"]'), ("excluded", '["/b"]'), ("history", "kept")], "key string, value string")
-    return settings.withColumn("value", F.when(F.col("key").isin("roots", "excluded"), "[]").otherwise(F.col("value")))
+    return _rows_of(*lifecycle.reset(_four(spark, d), _settings(spark, d)))
+
+
+@R.add("source_guard", f"WITH {FILES_SQL} SELECT path, CASE WHEN file_id % 7 = 0 OR file_id % 11 = 0 THEN 'PENDING' ELSE 'publish' END AS outcome FROM files")
+def source_guard(spark, d):
+    """Every seventh file has another time when it is looked at again, every eleventh is gone."""
+    files = views.files(spark, d)
+    later = files.where("file_id % 11 <> 0").withColumn("modified_time", F.col("modified_time") + F.when(F.col("file_id") % 7 == 0, 1.0).otherwise(0.0))
+    fine, changed = lifecycle.guard_sources(files.select("path", "modified_time", "size"), later)
+    return fine.select("path", F.lit("publish").alias("outcome")).unionByName(changed.select("path", F.col("status").alias("outcome")))
+
+
+@R.add("cancel_pending", f"WITH {_FOUR_SQL}, hit AS (SELECT path FROM state WHERE status = 'EXTRACTING' AND path LIKE '%.pdf') SELECT 'state' AS in_table, path, CASE WHEN path IN (SELECT path FROM hit) THEN 'PENDING' ELSE status END AS status, failure_count FROM state UNION ALL SELECT 'issues', path, error_code, NULL FROM issues WHERE path NOT IN (SELECT path FROM hit)")
+def cancel_pending(spark, d):
+    _, _, state, _ = _tables(spark, d)
+    paths = state.where("path LIKE '%.pdf'").select("path")
+    after, issues = lifecycle.cancel(state, _issues(spark, d), paths, NOW)
+    return after.select(F.lit("state").alias("in_table"), "path", "status", "failure_count").unionByName(issues.select(F.lit("issues").alias("in_table"), "path", F.col("error_code").alias("status"), F.lit(None).cast("int").alias("failure_count")))
+
+
+@R.add("backfill_aux", f"WITH {CJK_SQL} SELECT count(*) FILTER (WHERE file_id % 2 = 0) AS n_before, count(*) AS n_after, count(*) FILTER (WHERE file_id % 2 = 1) > 0 AS rebuilt, false AS again FROM chunks")
+def backfill_aux(spark, d):
+    """An index of half the chunks is found short and written anew; the new one stays."""
+    chunks = views.cjk(spark, d)
+    base = f"{shared_folder(spark)}/textmill-store-{uuid.uuid4().hex}"
+    half = index.write(chunks.where("file_id % 2 = 0"), f"{base}/half", "cjk")
+    whole, rebuilt = index.backfilled(half, chunks, "cjk")
+    return spark.createDataFrame([(half.n_chunks, whole.postings.select("chunk_id").distinct().count(), rebuilt, index.backfilled(whole, chunks, "cjk")[1])], "n_before long, n_after long, rebuilt boolean, again boolean")
 
 
 @R.add("sink_remove_document", f"WITH {FILES_SQL}, {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE file_id % 10 <> 3")
@@ -605,19 +811,19 @@ def history_presets(spark, d):
     return lifecycle.record_history(states).select("query", "extension", "rank")
 
 
-_HEALTH_SQL = f"WITH {_ISSUES_SQL} SELECT (SELECT count(*) FROM files) AS indexed_files, (SELECT sum(size) FROM files)::BIGINT AS storage_bytes, 3 AS total_roots, 2 AS active_roots, 1 AS paused_roots, (SELECT count(*) FROM issues) AS issue_count, (SELECT max(updated_at) FROM issues) AS last_reconcile"
+_HEALTH_SQL = f"""WITH {_FOUR_SQL} SELECT (SELECT count(*) FROM files) AS indexed_files, (SELECT sum(size) FROM files)::BIGINT AS storage_bytes,
+(SELECT count(DISTINCT source) FROM documents)::INTEGER AS total_roots, (SELECT count(DISTINCT source) FROM documents WHERE source NOT LIKE '%1')::INTEGER AS active_roots, (SELECT count(DISTINCT source) FROM documents WHERE source LIKE '%1')::INTEGER AS paused_roots,
+(SELECT count(*) FROM issues) AS issue_count, (SELECT max(updated_at) FROM issues) AS last_reconcile"""
 
 
 @R.add("health_snapshot", _HEALTH_SQL)
 def health_snapshot(spark, d):
-    files = views.files(spark, d).agg(F.count("*").alias("indexed_files"), F.sum("size").alias("storage_bytes"))
-    issues = _issues(spark, d).agg(F.count("*").alias("issue_count"), F.max("updated_at").alias("last_reconcile"))
-    return files.crossJoin(F.broadcast(issues)).withColumns({"total_roots": F.lit(3), "active_roots": F.lit(2), "paused_roots": F.lit(1)})
+    return lifecycle.health(_four(spark, d), _settings(spark, d))
 
 
-@R.add("sink_diagnostics_json", f"WITH h AS ({_HEALTH_SQL}) SELECT '{{\"indexed_files\":' || indexed_files || ',\"storage_bytes\":' || storage_bytes || ',\"issue_count\":' || issue_count || '}}' AS report FROM h")
+@R.add("sink_diagnostics_json", f"WITH h AS ({_HEALTH_SQL}) SELECT '{{\"indexed_files\":' || indexed_files || ',\"storage_bytes\":' || storage_bytes || ',\"issue_count\":' || issue_count || ',\"roots\":' || total_roots || '}}' AS report FROM h")
 def sink_diagnostics_json(spark, d):
-    return health_snapshot(spark, d).select(F.to_json(F.struct("indexed_files", "storage_bytes", "issue_count")).alias("report"))
+    return health_snapshot(spark, d).select(F.to_json(F.struct("indexed_files", "storage_bytes", "issue_count", F.col("total_roots").alias("roots"))).alias("report"))
 
 
 @R.add("beta_delta", f"WITH {_ISSUES_SQL}, b AS (SELECT error_code, count(*) AS n FROM issues WHERE file_id % 2 = 0 AND error_code <> 'os_error' GROUP BY 1), a AS (SELECT error_code, count(*) AS n FROM issues WHERE file_id % 5 <> 3 GROUP BY 1) SELECT coalesce(a.error_code, b.error_code) AS error_code, coalesce(b.n, 0) AS before_n, coalesce(a.n, 0) AS after_n, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta, coalesce(a.n, 0) > coalesce(b.n, 0) AS attention FROM a FULL JOIN b ON a.error_code = b.error_code WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
@@ -684,7 +890,7 @@ def watch_flush(spark, d):
 # -- quality figures: documents of a source ranked by length, graded by labels
 
 _RANKED_SQL = """ranked AS (SELECT source AS query_id, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-rel AS (SELECT d.source AS query_id, l.doc_id AS item, (l.quality * (1 + l.doc_id % 3))::DOUBLE AS gain FROM labels AS l JOIN documents AS d USING (doc_id) WHERE l.doc_id % 2 = 0)"""
+rel AS (SELECT d.source AS query_id, l.doc_id AS item, (l.quality * (1 + l.doc_id % 3))::DOUBLE AS gain FROM labels AS l JOIN documents AS d USING (doc_id))"""
 _WORTH = "CASE WHEN gain > 0 THEN (pow(2, gain) - 1) / log2({} + 1) ELSE 0 END"
 _METRICS_SQL = f"""{_RANKED_SQL},
 recall AS (SELECT query_id, count(k.item) / count(*)::DOUBLE AS recall FROM rel LEFT JOIN (SELECT * FROM ranked WHERE rank <= 20) AS k USING (query_id, item) GROUP BY query_id),
@@ -698,7 +904,7 @@ ndcg AS (SELECT query_id, CASE WHEN coalesce(ideal, 0) = 0 THEN 1.0::DOUBLE ELSE
 def _ranked(spark, d):
     docs = views.table(spark, d, "documents")
     ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
-    labels = views.table(spark, d, "labels").where("doc_id % 2 = 0").join(docs.select("doc_id", "source"), "doc_id")
+    labels = views.table(spark, d, "labels").join(docs.select("doc_id", "source"), "doc_id")
     return ranked, labels.select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), (F.col("quality") * (1 + F.col("doc_id") % 3)).cast("double").alias("gain"))
 
 

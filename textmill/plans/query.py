@@ -14,8 +14,9 @@ from datetime import UTC, datetime
 
 from textmill.functions import tokens
 
+# The grammar of a size filter.
 UNITS = {"B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3}
-_SIZE = re.compile(r"(>=|<=|>|<)?\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB)?", re.I)
+SIZE = re.compile(r"(>=|<=|>|<)?\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB)?", re.I)
 
 # Family selectors and their extensions.
 FAMILIES = {
@@ -113,7 +114,7 @@ def midnight(value: str) -> float | None:
 
 def size_bounds(value: str) -> tuple[int | None, int | None] | None:
     """The (least, most) bytes that a size filter admits, or None where it does not parse."""
-    found = _SIZE.fullmatch(value.strip())
+    found = SIZE.fullmatch(value.strip())
     if not found:
         return None
     n = int(float(found[2]) * UNITS[(found[3] or "B").upper()])
@@ -180,41 +181,56 @@ def format_date(at: float) -> str:
     return datetime.fromtimestamp(at, UTC).strftime("%Y-%m-%d")
 
 
+def _bounds(f: Filters, one: str, low: str, high: str, both: str, say) -> str | None:
+    """The size bounds in words: patterns for an exact size, a lower bound, an upper one, and two of them."""
+    least, most = (None if n is None else say(n) for n in (f.min_size, f.max_size))
+    pattern = both if least is not None and most is not None else low if least is not None else high
+    return (one if f.min_size == f.max_size else pattern).format(least, most)
+
+
+def _quoted(path: str) -> str:
+    return f'"{path}"' if any(map(str.isspace, path)) else path
+
+
+# Every filter in the order in which chips stand: its key, its fields, its label and its text in a query.
+CLAUSES = (
+    ("extension", ("extension",), lambda f: f"类型 · {f.extension.lstrip('.').upper()}", lambda f: f"ext:{f.extension.lstrip('.')}"),
+    ("path", ("path",), lambda f: f"路径 · {f.path}", lambda f: f"path:{_quoted(f.path)}"),
+    ("after", ("after",), lambda f: f"修改时间 ≥ {format_date(f.after)}", lambda f: f"after:{format_date(f.after)}"),
+    ("before", ("before",), lambda f: f"修改时间 < {format_date(f.before)}", lambda f: f"before:{format_date(f.before)}"),
+    ("size", ("min_size", "max_size"), lambda f: _bounds(f, "大小 · {0}", "大小 ≥ {0}", "大小 ≤ {1}", "大小 · {0} ～ {1}", format_size), lambda f: _bounds(f, "size:{0}B", "size:>={0}B", "size:<={1}B", "size:>={0}B size:<={1}B", str)),
+)
+
+
+def _stated(f: Filters):
+    """The clauses that a query's filters state."""
+    return (c for c in CLAUSES if any(getattr(f, field) is not None for field in c[1]))
+
+
 def chips(raw: str) -> list[tuple[str, str]]:
     """(key, label) of each effective filter; both size bounds are one."""
-    f, out = parse(raw).filters, []
-    if f.extension is not None:
-        out.append(("extension", f"类型 · {f.extension.lstrip('.').upper()}"))
-    if f.path is not None:
-        out.append(("path", f"路径 · {f.path}"))
-    if f.after is not None:
-        out.append(("after", f"修改时间 ≥ {format_date(f.after)}"))
-    if f.before is not None:
-        out.append(("before", f"修改时间 < {format_date(f.before)}"))
-    low, high = f.min_size, f.max_size
-    if low is not None and high is not None:
-        out.append(("size", f"大小 · {format_size(low)}" + ("" if low == high else f" ～ {format_size(high)}")))
-    elif low is not None:
-        out.append(("size", f"大小 ≥ {format_size(low)}"))
-    elif high is not None:
-        out.append(("size", f"大小 ≤ {format_size(high)}"))
-    return out
+    f = parse(raw).filters
+    return [(key, label(f)) for key, _, label, _ in _stated(f)]
 
 
 def without(raw: str, key: str) -> str:
     """The query in normal form without one filter."""
     q = parse(raw, structure=False)
-    f = q.filters
-    gone = {"extension": {"extension": None}, "path": {"path": None}, "after": {"after": None}, "before": {"before": None}, "size": {"min_size": None, "max_size": None}}
-    f = replace(f, **gone.get(key, {}))
-    parts = [render(Term(t.text) for t in q.terms)]
-    if f.extension is not None:
-        parts.append("ext:" + f.extension.lstrip("."))
-    if f.path is not None:
-        parts.append(f'path:"{f.path}"' if any(map(str.isspace, f.path)) else f"path:{f.path}")
-    parts += [f"{name}:{format_date(at)}" for name, at in (("after", f.after), ("before", f.before)) if at is not None]
-    if f.min_size is not None and f.min_size == f.max_size:
-        parts.append(f"size:{f.min_size}B")
-    else:
-        parts += [f"size:{sign}{n}B" for sign, n in ((">=", f.min_size), ("<=", f.max_size)) if n is not None]
-    return " ".join(p for p in parts if p)
+    terms = render(Term(t.text) for t in q.terms)
+    return " ".join(filter(None, [terms, *(text(q.filters) for name, _, _, text in _stated(q.filters) if name != key)]))
+
+
+# How a search is named in a history.
+ALL, FAMILY_NAMES, SORT_NAMES = "全部内容", {"@writer": "文字文档", "@sheet": "电子表格", "@slides": "演示文稿"}, {"modified": "最近修改", "filename": "文件名排序"}
+
+
+def state_label(query: str, extension: str | None = None, sort: str = "relevance", most: int = 44) -> str:
+    """A search in one line: its text, cut to `most` characters, then its format and its order, if not the usual."""
+    if sort not in ("relevance", *SORT_NAMES):
+        raise ValueError(f"unsupported sort mode: {sort}")
+    query = query.strip() or ALL
+    short = query if len(query) <= most else query[: most - 1] + "…"
+    kind = (extension or "").strip().lower()
+    kind = FAMILY_NAMES.get(kind) or kind.lstrip(".").upper()
+    details = " · ".join(filter(None, [kind, SORT_NAMES.get(sort)]))
+    return f"{short}  ·  {details}" if details else short

@@ -24,10 +24,10 @@ def bigrams(c: str) -> str:
     return f"flatten(list_transform(regexp_extract_all({c}, '[㐀-䶿一-鿿]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: r[i : i + 1]) END))"
 
 
-def tokenised(lane: str, with_files: bool = True) -> str:
-    """CTEs files, chunks, tok (chunk columns with ft, ct, dl) and stats (n_chunks, avgdl)."""
+def tokenised(lane: str, source: str | None = None) -> str:
+    """CTEs files, chunks (or another `source` of them), tok (chunk columns with ft, ct, dl) and stats (n_chunks, avgdl)."""
     make = words if lane == "word" else bigrams
-    source = CHUNKS_SQL if lane == "word" else CJK_SQL
+    source = source or (CHUNKS_SQL if lane == "word" else CJK_SQL)
     return f"""WITH {FILES_SQL}, {source},
 tok AS MATERIALIZED (SELECT *, len(ft) + len(ct) AS dl FROM (SELECT *, {make('filename')} AS ft, {make('content')} AS ct FROM chunks)),
 stats AS (SELECT count(*) AS n_chunks, avg(dl) AS avgdl FROM tok),
@@ -37,11 +37,11 @@ posts AS MATERIALIZED (
 )"""
 
 
-def matched(q: Query) -> str:
+def matched(q: Query, source: str | None = None) -> str:
     """Further CTEs up to scored (chunk_id, file_id, ordinal, location, score)."""
     rows = ", ".join(f"({p}, {len(phrase)}, {i}, {quote(t)})" for p, phrase in enumerate(q.phrases) for i, t in enumerate(phrase))
     n = len(q.phrases)
-    return f"""{tokenised(q.lane)},
+    return f"""{tokenised(q.lane, source)},
 q(p, n, i, term) AS (VALUES {rows}),
 starts AS (SELECT p, chunk_id, file_id, ordinal, dl, col FROM posts JOIN q USING (term) GROUP BY p, n, chunk_id, file_id, ordinal, dl, col, pos - i HAVING count(*) = n),
 found AS (SELECT p, chunk_id, file_id, ordinal, dl, sum(CASE WHEN col = 0 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END) AS f FROM starts GROUP BY ALL),
@@ -115,3 +115,44 @@ ranked AS (
   SELECT f.*, chunk_id, ordinal, score + {filename_boost(q)} AS relevance_score FROM scored JOIN files AS f USING (file_id) WHERE {metadata(q)}
 ),
 file_hits AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY round(relevance_score, 9), ordinal) = 1)"""
+
+
+def progressive(q: Query, limit: int, multiplier: int, most: int) -> str:
+    """The top files of the best chunks, whose number doubles until it holds `limit` files, is all or `most`."""
+    first = min(limit * multiplier, max(limit, most))
+    return f"""{matched(q)},
+numbered AS (SELECT f.*, chunk_id, ordinal, score, row_number() OVER (ORDER BY score, chunk_id) AS n FROM scored JOIN files AS f USING (file_id) WHERE {metadata(q)}),
+tries AS (SELECT least({most}, {first} * (1 << unnest(range(16)))) AS c),
+judged AS (SELECT c, (SELECT count(*) FROM numbered) < c AS exhausted, (SELECT count(DISTINCT file_id) FROM numbered WHERE n <= c) AS files FROM tries),
+stop AS (SELECT min(c) AS c FROM judged WHERE exhausted OR files >= {limit} OR c >= {most}),
+part AS (SELECT *, score + {filename_boost(q)} AS relevance_score FROM numbered, stop WHERE n <= c),
+best AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY round(relevance_score, 9), ordinal) = 1)
+SELECT file_id, path, round(relevance_score, 6) AS score, row_number() OVER (ORDER BY {ORDER['relevance']})::INTEGER AS rank,
+  least(c, (SELECT count(*) FROM numbered)) AS candidates_scanned, (SELECT count(*) FROM numbered) < c AS exhausted
+FROM best ORDER BY {ORDER['relevance']} LIMIT {limit}"""
+
+
+def folded(rows: str, target: int) -> str:
+    """CTE runs (id, c, first, last, body) out of rows (id, i from 1, x, w): pieces gathered until their weights reach the
+    target. The text that begins with it needs WITH RECURSIVE."""
+    return f"""r AS MATERIALIZED ({rows}),
+f AS (
+  SELECT id, i, 0 AS c, w::BIGINT AS total FROM r WHERE i = 1
+  UNION ALL SELECT r.id, r.i, CASE WHEN f.total >= {target} THEN f.c + 1 ELSE f.c END, CASE WHEN f.total >= {target} THEN r.w ELSE f.total + r.w END FROM f JOIN r ON r.id = f.id AND r.i = f.i + 1
+),
+runs AS (SELECT id, c, min(i) AS first, max(i) AS last, string_agg(x, chr(10) ORDER BY i) AS body FROM f JOIN r USING (id, i) GROUP BY id, c)"""
+
+
+#: The white space that Python's strip() takes off, as far as texts have it.
+STRIP = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x85\xa0\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+|[\s\x0b\x1c-\x1f\x85\xa0\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '', 'g')"
+
+
+def stripped(c: str) -> str:
+    return STRIP.format(c)
+
+
+def whole_files(lane: str) -> str:
+    """Whole files as one chunk each, for the file-level search."""
+    if lane == "cjk":
+        return CJK_SQL
+    return "chunks AS (SELECT f.file_id AS chunk_id, f.file_id, 0 AS ordinal, f.filename, f.extension, '' AS location, coalesce(text, '') AS content FROM files AS f JOIN documents AS d ON d.doc_id = f.file_id)"

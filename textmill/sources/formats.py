@@ -9,34 +9,67 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions of each family by the modes that can read them, best first.
-_D, _C, _T, _W = "direct", "calamine", "tika-native", "wps-local"
+# Each extension with its family and the modes that can read it, best first.
 FORMATS: dict[str, tuple[str, tuple[str, ...]]] = {
-    ext: (family, modes)
-    for family, modes, names in (
-        ("text", (_D,), ".txt .md .log .csv"),
-        ("text", (_D, _T), ".tsv .html .htm .xhtml .xml"),
-        ("writer", (_D,), ".docx"),
-        ("writer", (_T, _W), ".doc .dot .rtf .wps"),
-        ("writer", (_T,), ".odt .epub .eml .msg .mbox .pst .pages"),
-        ("writer", (_W,), ".wpt"),
-        ("spreadsheet", (_D,), ".xlsx"),
-        ("spreadsheet", (_C, _T, _W), ".xls"),
-        ("spreadsheet", (_C, _T), ".xlsb .ods"),
-        ("spreadsheet", (_T,), ".numbers"),
-        ("spreadsheet", (_T, _W), ".et .ett .etx .ettx .xlt"),
-        ("presentation", (_D, _T, _W), ".pptx"),
-        ("presentation", (_T, _W), ".ppt .pps .dps"),
-        ("presentation", (_T,), ".odp .key"),
-        ("presentation", (_W,), ".dpt"),
-        ("pdf", (_D,), ".pdf"),
-    )
-    for ext in names.split()
+    ".txt": ("text", ("direct",)),
+    ".md": ("text", ("direct",)),
+    ".log": ("text", ("direct",)),
+    ".csv": ("text", ("direct",)),
+    ".tsv": ("text", ("direct", "tika-native",)),
+    ".html": ("text", ("direct", "tika-native",)),
+    ".htm": ("text", ("direct", "tika-native",)),
+    ".xhtml": ("text", ("direct", "tika-native",)),
+    ".xml": ("text", ("direct", "tika-native",)),
+    ".docx": ("writer", ("direct",)),
+    ".doc": ("writer", ("tika-native", "wps-local",)),
+    ".dot": ("writer", ("tika-native", "wps-local",)),
+    ".rtf": ("writer", ("tika-native", "wps-local",)),
+    ".wps": ("writer", ("tika-native", "wps-local",)),
+    ".odt": ("writer", ("tika-native",)),
+    ".epub": ("writer", ("tika-native",)),
+    ".eml": ("writer", ("tika-native",)),
+    ".msg": ("writer", ("tika-native",)),
+    ".mbox": ("writer", ("tika-native",)),
+    ".pst": ("writer", ("tika-native",)),
+    ".pages": ("writer", ("tika-native",)),
+    ".wpt": ("writer", ("wps-local",)),
+    ".xlsx": ("spreadsheet", ("direct",)),
+    ".xls": ("spreadsheet", ("calamine", "tika-native", "wps-local",)),
+    ".xlsb": ("spreadsheet", ("calamine", "tika-native",)),
+    ".ods": ("spreadsheet", ("calamine", "tika-native",)),
+    ".numbers": ("spreadsheet", ("tika-native",)),
+    ".et": ("spreadsheet", ("tika-native", "wps-local",)),
+    ".ett": ("spreadsheet", ("tika-native", "wps-local",)),
+    ".etx": ("spreadsheet", ("tika-native", "wps-local",)),
+    ".ettx": ("spreadsheet", ("tika-native", "wps-local",)),
+    ".xlt": ("spreadsheet", ("tika-native", "wps-local",)),
+    ".pptx": ("presentation", ("direct", "tika-native", "wps-local",)),
+    ".ppt": ("presentation", ("tika-native", "wps-local",)),
+    ".pps": ("presentation", ("tika-native", "wps-local",)),
+    ".dps": ("presentation", ("tika-native", "wps-local",)),
+    ".odp": ("presentation", ("tika-native",)),
+    ".key": ("presentation", ("tika-native",)),
+    ".dpt": ("presentation", ("wps-local",)),
+    ".pdf": ("pdf", ("direct",)),
 }
-DEFAULT_ENABLED = tuple(sorted(".doc .docx .dot .rtf .xls .xlsx .xlsb .xlt .ppt .pptx .pps .wps .wpt .et .ett .etx .ettx .dps .dpt .pdf .txt .md .log .csv .tsv .html .htm .xhtml".split()))
-MODERN = (".docx", ".xlsx", ".pptx", ".pdf")
-COMPATIBLE = tuple(".doc .dot .rtf .odt .ppt .pps .odp .xls .xlsb .ods .wps .wpt .et .ett .etx .ettx .xlt .dps .dpt".split())
-IGNORED_DIRS = (".git", ".svn", ".hg", ".idea", ".mypy_cache", ".pytest_cache", ".tox", ".venv", "__pycache__", "node_modules", "venv", "$recycle.bin", "system volume information")
+# The formats that a new index reads, those of the first and third priority lanes, folders that a
+# scan does not enter, and the extractor's revision where it is not 1.
+DEFAULT_ENABLED = (
+    ".csv", ".doc", ".docx", ".dot", ".dps", ".dpt", ".et", ".ett", ".ettx", ".etx",
+    ".htm", ".html", ".log", ".md", ".pdf", ".pps", ".ppt", ".pptx", ".rtf", ".tsv",
+    ".txt", ".wps", ".wpt", ".xhtml", ".xls", ".xlsb", ".xlsx", ".xlt",
+)
+MODERN = (
+    ".docx", ".xlsx", ".pptx", ".pdf",
+)
+COMPATIBLE = (
+    ".doc", ".dot", ".rtf", ".odt", ".ppt", ".pps", ".odp", ".xls", ".xlsb", ".ods",
+    ".wps", ".wpt", ".et", ".ett", ".etx", ".ettx", ".xlt", ".dps", ".dpt",
+)
+IGNORED_DIRS = (
+    ".git", ".svn", ".hg", ".idea", ".mypy_cache", ".pytest_cache", ".tox", ".venv", "__pycache__", "node_modules",
+    "venv", "$recycle.bin", "system volume information",
+)
 REVISIONS = {".docx": 3, ".pptx": 2, ".html": 2, ".htm": 2, ".xhtml": 2, ".xml": 3, ".tsv": 2}
 OLE_MAGIC = "D0CF11E0A1B11AE1"
 MAX_PATTERNS, MAX_PATTERN = 100, 120
@@ -73,7 +106,7 @@ def revision(ext: Column | str) -> Column:
 def lane(ext: Column | str) -> Column:
     """0 modern office, 1 other formats read directly, 2 office compatibility, 3 the rest."""
     e = normalise(ext)
-    direct = [x for x, (_, m) in FORMATS.items() if _D in m]
+    direct = [x for x, (_, m) in FORMATS.items() if "direct" in m]
     return F.when(e.isin(*MODERN), 0).when(e.isin(*direct), 1).when(e.isin(*COMPATIBLE), 2).otherwise(3)
 
 
@@ -164,3 +197,12 @@ def oversize(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     issues = files.where(F.col("size") > most).select("path", F.lit("file_too_large").alias("error_code"))
     return files.where(F.col("size") <= most), issues
 
+
+
+def scan_backend(name: str | None = None) -> str:
+    """The lister that an option names: auto (or nothing) and spark are Spark's parallel listing, python a walk on the
+    driver for file systems that Spark does not reach. Anything else is an error."""
+    chosen = (name or "").strip().casefold() or "auto"
+    if chosen not in ("auto", "spark", "python"):
+        raise ValueError("the scan backend must be one of 'auto', 'spark' or 'python'")
+    return "spark" if chosen == "auto" else chosen

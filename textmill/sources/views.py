@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".pdf", ".docx", ".xlsx", ".pptx", ".txt")
-DAY = 86400
-START = 1735689600.0
+HOUR = 3600
+START = 1733011200.0
 DIGITS, IDEOGRAPHS = "0123456789", "客户经理信贷业务管办"
 
 
@@ -40,7 +40,7 @@ def _with_file(docs: DataFrame) -> DataFrame:
     out = docs.select(F.col("doc_id").alias("file_id"), "source", "lang", _extension(i).alias("extension"), name.alias("filename"), *[c for c in docs.columns if c == "text"])
     out = out.withColumn("path", F.concat_ws("/", F.lit("/corpus"), "source", "lang", "filename"))
     f = F.col("file_id")
-    return out.withColumns({"modified_time": F.lit(START) + DAY * (f % 600), "size": (64 + f % 2048) * 1024})
+    return out.withColumns({"modified_time": F.lit(START) + HOUR * (f * 37 % 9001), "size": 4096 + f * 2741 % 2200003})
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +85,13 @@ def cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES_SQL = """files AS (
   SELECT doc_id AS file_id, '/corpus/' || source || '/' || lang || '/' || name || ext AS path, name || ext AS filename, ext AS extension,
-    1735689600.0::DOUBLE + 86400 * (doc_id % 600) AS modified_time, (64 + doc_id % 2048) * 1024 AS size, source
-  FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 100 = 0 THEN 'report_' ELSE 'doc_' END || lpad(doc_id::VARCHAR, 6, '0') AS name,
+    1733011200.0::DOUBLE + 3600 * (doc_id * 37 % 9001) AS modified_time, 4096 + doc_id * 2741 % 2200003 AS size, source
+  FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 100 = 0 THEN 'report_' ELSE 'doc_' END || lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR))::INTEGER, '0') AS name,
     (['.pdf', '.docx', '.xlsx', '.pptx', '.txt'])[doc_id % 5 + 1] AS ext FROM documents)
 )"""
 
 CHUNKS_SQL = """chunks AS (
-  SELECT file_id * 100000 + ordinal AS chunk_id, file_id, ordinal, filename, extension,
+  SELECT CASE WHEN ordinal < 100000 THEN file_id * 100000 + ordinal ELSE -(file_id * 2147483648 + ordinal) END AS chunk_id, file_id, ordinal, filename, extension,
     CASE extension WHEN '.pdf' THEN '第 ' || n || ' 页' WHEN '.docx' THEN '文档块 ' || n || '-' || n || ' · 标题 ' || source
       WHEN '.xlsx' THEN '工作表 ' || source || ' · 行 ' || n || '-' || n WHEN '.pptx' THEN '幻灯片 ' || n || ' · 标题 ' || source
       ELSE '行 ' || n || '-' || n END AS location, content
@@ -103,6 +103,6 @@ CHUNKS_SQL = """chunks AS (
 
 CJK_SQL = """chunks AS (
   SELECT doc_id AS chunk_id, doc_id AS file_id, 0 AS ordinal, 'doc_' || doc_id AS filename, '.txt' AS extension, '行 1-1' AS location,
-    CASE WHEN doc_id % 3 = 0 THEN w[1:2] || '，' || w[2:3] || '，' || w[3:6] ELSE '的 ' || w || '客户经理' END AS content
-  FROM (SELECT doc_id, translate(lpad(doc_id::VARCHAR, 6, '0'), '0123456789', '客户经理信贷业务管办') AS w FROM documents)
+    CASE WHEN doc_id % 3 = 0 THEN w[1:2] || '，' || w[2:3] || '，' || w[3:] ELSE '的 ' || w || '客户经理' END AS content
+  FROM (SELECT doc_id, translate(lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR))::INTEGER, '0'), '0123456789', '客户经理信贷业务管办') AS w FROM documents)
 )"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.sources.views import DAY, START
-
-# The corpus's names, words and queries.
+# The corpus's names, words and queries, the first day and the spacing of files, and (in files()
+# and expected()) the arithmetic of extensions, departments, days and sizes that gives the known hit counts.
+DAY, START = 86400, 1735689600.0
 EXTENSIONS = (".pdf", ".docx", ".xlsx", ".pptx")
 DEPARTMENTS = ("信贷管理", "客户服务", "风险合规", "综合办公", "产品运营")
 FILLER = " 本地办公资料 业务说明 操作规范 风险提示 服务记录 文档归档 "

@@ -7,10 +7,12 @@ streaming form with state of its own, and `stream_batches` a plain session windo
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.sources import formats
@@ -41,10 +43,9 @@ def changes(events: DataFrame, excluded: tuple[str, ...] = (), enabled: tuple[st
     return kept.select("ts", F.explode(entry).alias("c")).select("ts", "c.path", "c.rescan")
 
 
-def sessions(found: DataFrame, key: str | None = None, quiet: float = QUIET) -> DataFrame:
+def sessions(found: DataFrame, key: str, quiet: float = QUIET) -> DataFrame:
     """changes with a session number: a gap of `quiet` seconds or more ends one. `key` splits the stream, e.g. by root."""
-    parts = [key] if key else []
-    w = Window.partitionBy(*parts).orderBy("ts")
+    w = Window.partitionBy(key).orderBy("ts")
     gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w)
     return found.withColumn("session", F.sum(F.when(gap >= quiet, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -55,17 +56,25 @@ def flush(found: DataFrame, by: list[str]) -> DataFrame:
 
 
 def debounce(found: DataFrame, key: str, quiet: float = QUIET, cap: float = CAP) -> DataFrame:
-    """Batches of each key: flushed after `quiet` seconds without a change, or `cap` seconds after the batch's first."""
-    times = F.array_sort(F.collect_list(F.col("ts").cast("double"))).alias("t")
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("begins"))
+    """Batches of each key: flushed after `quiet` seconds without a change, or `cap` seconds after the batch's first.
+
+    Only sessions that last longer than the cap are walked change by change; distinct times of one session at a time."""
+    seconds = F.col("ts").cast("double")
+    placed = sessions(found, key, quiet)
+    ends = placed.groupBy(key, "session").agg(F.min(seconds).alias("from"), F.max(seconds).alias("to"))
+    short = placed.join(ends.where(F.col("to") - F.col("from") < cap), [key, "session"]).withColumn("batch", F.col("from"))
+    long = placed.join(ends.where(F.col("to") - F.col("from") >= cap), [key, "session"])
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<double>").alias("begins"))
 
     def step(acc, t):
-        new = acc["first"].isNull() | (t - acc["last"] >= quiet) | (t - acc["first"] >= cap)
-        return F.struct(F.when(new, t).otherwise(acc["first"]).alias("first"), t.alias("last"), F.when(new, F.concat(acc["begins"], F.array(t))).otherwise(acc["begins"]).alias("begins"))
+        new = acc["first"].isNull() | (t - acc["first"] >= cap)
+        return F.struct(F.when(new, t).otherwise(acc["first"]).alias("first"), F.when(new, F.concat(acc["begins"], F.array(t))).otherwise(acc["begins"]).alias("begins"))
 
-    marks = found.groupBy(key).agg(times).select(key, F.aggregate("t", start, step)["begins"].alias("begins"))
-    placed = found.join(marks, key).withColumn("batch", F.array_max(F.filter("begins", lambda b: b <= F.col("ts").cast("double"))))
-    return flush(placed, [key, "batch"])
+    times = long.groupBy(key, "session").agg(F.array_sort(F.collect_set(seconds)).alias("t"))
+    marks = times.select(key, "session", F.aggregate("t", start, step)["begins"].alias("begins"))
+    walked = long.join(marks, [key, "session"]).withColumn("batch", F.array_max(F.filter("begins", lambda b: b <= seconds)))
+    columns = [*found.columns, "batch"]
+    return flush(short.select(*columns).unionByName(walked.select(*columns)), [key, "batch"])
 
 
 def stream_batches(found: DataFrame, key: str, late: str = "30 seconds", quiet: str = "1200 milliseconds") -> DataFrame:
@@ -106,6 +115,51 @@ def stream_debounce(found: DataFrame, key: str, late: str = "30 seconds", quiet:
     return narrow.groupBy(key).applyInPandasWithState(step, out, "first double, last double, paths array<string>, rescan boolean", "append", "EventTimeTimeout")
 
 
+# Seconds between full scans, between health checks, and the least gap that casts doubt on what was seen.
+RECONCILE, HEALTH, RESUME = 3600.0, 60.0, 120.0
+
+
+def reconcile_every(spark: SparkSession, rescan: Callable[[], None], checkpoint: str, seconds: float = RECONCILE):
+    """A query of its own that scans all roots now and then every so many seconds, whatever events came."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: rescan()).trigger(processingTime=f"{max(1, round(seconds * 1000))} milliseconds").option("checkpointLocation", checkpoint).start()
+
+
+class Watcher:
+    """Keeps a change query alive. check() is to be called every HEALTH seconds: a query that has ended is started
+    anew, and after that, or after a gap between checks that tells of a suspended machine, everything is scanned
+    once, since changes may have been missed."""
+
+    def __init__(self, start: Callable[[], object], rescan: Callable[[], None], every: float = HEALTH, gap: float | None = None, clock: Callable[[], float] = time.monotonic):
+        self.start, self.rescan, self.every, self.clock = start, rescan, every, clock
+        self.gap = max(every, max(RESUME, 3 * every) if gap is None else gap)
+        self.query, self.last = start(), None
+
+    def alive(self) -> bool:
+        try:
+            return bool(self.query.isActive)
+        except Exception:  # noqa: BLE001  a query that cannot be asked is not alive
+            return False
+
+    def check(self) -> str:
+        """What was done: restarted, resumed or nothing."""
+        now, before = self.clock(), self.last
+        self.last = now
+        if not self.alive():
+            self.query = self.start()
+            self.rescan()
+            return "restarted"
+        if before is not None and now - before >= self.gap:
+            self.rescan()
+            return "resumed"
+        return "nothing"
+
+    def run(self, stopped: threading.Event) -> None:
+        """Check until stopped."""
+        while not stopped.wait(self.every):
+            self.check()
+
+
 def run(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands every micro-batch to `apply`, e.g. an update of the given paths."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").start()
