@@ -6,7 +6,6 @@ those of the content, so one list holds both and neither runs on into the other.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.tokens import LANES
 from textmill.sources import views
-from textmill.sources.store import delete, shared_folder, stamp
+from textmill.sources.store import delete, fresh, stamp
 
 #: Weight of an occurrence in the file name and in the content.
 WEIGHTS = (5.0, 1.0)
@@ -111,16 +110,7 @@ def of_tables(spark: SparkSession, sf_dir: str, lane: str = "word") -> Stored:
     all executors share, until the driver ends. A changed table has another stamp and gets another index."""
     key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/documents.parquet"), lane)
     if key not in _built:
-        if not _built:
-            atexit.register(_clear)
         chunks = views.chunks(spark, sf_dir) if lane == "word" else views.cjk(spark, sf_dir)
-        _built[key] = write(chunks, f"{shared_folder(spark)}/textmill-index/{uuid.uuid4().hex}", lane)
+        _built[key] = write(chunks, fresh(spark, "index"), lane)
     return _built[key]
 
-
-def _clear() -> None:
-    for held in _built.values():
-        try:
-            delete(held.spark, held.base)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.order import numbered
+
 
 def recall(ranked: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
     """Share of relevant items in the top k; nothing relevant: 1."""
@@ -35,8 +37,7 @@ def mean(per_query: DataFrame) -> DataFrame:
 
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
     """Median and the 95th percentile as the element at int(0.95 n) - 1 (the first for few samples)."""
-    order = Window.partitionBy(group).orderBy(value)
-    placed = samples.select(group, value, F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy(group)).alias("n"))
+    placed = numbered(samples.select(group, value), group, [F.col(value)], "i", "n")  # equal values may take each other's places
     at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
     middle = F.col("i").isin(F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.floor((F.col("n") + 2) / 2))
     return placed.groupBy(group).agg(F.avg(F.when(middle, F.col(value))).alias("p50"), F.max(F.when(F.col("i") == at, F.col(value))).alias("p95"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import codec, scalar
 from textmill.operators import index, lifecycle, metrics
+from textmill.operators.order import numbered
 from textmill.plans import sql
 from textmill.plans.registry import Registry
 from textmill.plans.sql import quote
@@ -159,7 +160,7 @@ _DIRECT = [e for e, (_, m) in formats.FORMATS.items() if "direct" in m]
 def priority_lanes(spark, d):
     """The order inside each lane is that of discovery; lanes follow each other, so no global number is needed."""
     raw = _raw(spark, d).withColumn("lane", formats.lane(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
-    return raw.select("path", "lane", F.row_number().over(Window.partitionBy("lane").orderBy("doc_id")).alias("place"))
+    return numbered(raw, "lane", [F.col("doc_id")], "place").select("path", "lane", F.col("place").cast("int").alias("place"))
 
 
 _HEAD = "CASE WHEN file_id % 3 = 0 THEN 'D0CF11E0A1B11AE1' ELSE '504B0304' END"

@@ -7,6 +7,7 @@ through Hadoop's file systems, so a store may lie wherever Spark reads.
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -46,6 +47,33 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(where)))
 
 
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that nothing has used; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/textmill-{name}/{uuid.uuid4().hex}"
+    if not _temporary:
+        atexit.register(_clear)
+    _temporary.append((spark, path))
+    return path
+
+
+def temporary(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read back."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    for spark, path in _temporary:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            return
+
+
 class NewerSchema(Exception):
     pass
 
