@@ -13,7 +13,8 @@ it. So no control string of a text survives, and reading back gives the exact tu
 Null text or role: empty. Null turn: first. A null conversation id is a conversation of its own.
 Ties and repeated rows are all kept, in the order of role and text. Empty tables give no rows.
 Extra columns are left out of the result, so their names cannot clash. A conversation is one
-output row, so its turns meet in one task; different conversations never do.
+output row, so its turns meet in one task; different conversations never do. Work and memory are linear
+in the turns of a conversation: places are running sums, not arrays that grow turn by turn.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,8 +57,16 @@ DEFAULT = Template()
 def format_chats(turns: DataFrame, template: Template = DEFAULT, loss_role: str = "assistant", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: the id, `formatted`, and `loss_spans` array<struct<start long, length long>>,
     the code-point spans (from 0) of the escaped texts of loss_role inside it."""
-    one = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    got = turns.select(F.col(f"`{conv}`").alias("conv"), one.alias("row")).groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    narrow = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    # where each escaped text stands: what the template puts before it, summed up along the conversation
+    along = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    last = F.lag("role").over(along)
+    head = F.length(template.escape(F.col("role"))) + len(template.turn) + len(template.text)
+    before = F.when(last.isNull(), head).when(last != F.col("role"), head + len(template.end)).otherwise(len(template.part))
+    sized = narrow.select("*", before.cast("long").alias("before"), F.length(template.escape(F.col("text"))).cast("long").alias("length"))
+    upto = F.sum(F.col("before") + F.col("length")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = sized.select("conv", F.struct("turn", "role", "text", (upto - F.col("length")).alias("start"), "length").alias("row"))
+    got = placed.groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     numbered = F.transform("rows", lambda r, i: F.struct(i.alias("at"), r.role.alias("role")))
     begins = F.filter(numbered, lambda r: (r.at == 0) | (r.role != F.element_at("rows", F.greatest(r.at, F.lit(1))).role))
     got = got.withColumn("begins", F.transform(begins, lambda r: r.at))
@@ -71,31 +80,8 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT, loss_role: str
     got = got.withColumn("messages", messages)
     piece = lambda m: F.concat(F.lit(template.turn), template.escape(m.role), F.lit(template.text), F.array_join(m.texts, template.part), F.lit(template.end))
     got = got.withColumn("pieces", F.transform("messages", piece))
-    # every text's place: what precedes it in its message, and that message's place
-    flat = F.flatten(
-        F.transform(
-            "messages",
-            lambda m: F.transform(
-                m.texts,
-                lambda t, i: F.struct(
-                    m.role.alias("role"),
-                    (F.when(i == 0, F.length(template.escape(m.role)) + len(template.turn) + len(template.text)).otherwise(F.lit(len(template.part)))).cast("long").alias("before"),
-                    F.length(t).cast("long").alias("length"),
-                    F.when(i + 1 == F.size(m.texts), F.lit(len(template.end))).otherwise(F.lit(0)).cast("long").alias("after"),
-                ),
-            ),
-        )
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    walk = F.aggregate(
-        flat,
-        empty,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + x["length"] + x["after"]).alias("at"),
-            F.when(x["role"] == loss_role, F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["before"]).alias("start"), x["length"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return got.select(F.col("conv").alias(conv), F.array_join("pieces", "").alias("formatted"), walk["spans"].alias("loss_spans"))
+    spans = F.transform(F.filter("rows", lambda r: r.role == loss_role), lambda r: F.struct(r.start.alias("start"), r.length.alias("length")))
+    return got.select(F.col("conv").alias(conv), F.array_join("pieces", "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT, conv: str = "conv_id") -> DataFrame:
