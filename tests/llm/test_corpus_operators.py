@@ -309,6 +309,51 @@ def test_forest_finds_the_odd_one():
     assert score[1] > 0.6 > 0.5 > score[0]
 
 
+def path_length(nodes, row):
+    """One row's path through one tree, node by node."""
+    feature, split, left, length = nodes
+    at = 0
+    while feature[at] >= 0:
+        at = left[at] + (row[feature[at]] >= split[at])
+    return length[at]
+
+
+def test_forest_scores_are_those_of_the_paths(spark, rows):
+    every = rows + junk(20)
+    docs, labels = table(spark, every), labelled(spark, every)
+    judge = rules.fit(docs, labels, loss=0.0)
+    forest = judge.forest
+    import pyarrow as pa
+
+    stats, x = rules.statistics(pa.array([t for _, t, *_ in every], pa.string()))
+    trees = list(zip(forest.feature, forest.split, forest.left, forest.length, strict=True))
+    want = {}
+    for (i, *_), n, repeat, row in zip(every, stats["n_words"], stats["n_repeat_words"], x, strict=True):
+        mean = sum(path_length(t, row) for t in trees) / len(trees)
+        score = 2.0 ** -(mean / forest.expected)
+        failed = n < 20 or 100 * repeat > 30 * n
+        want[i] = (pytest.approx(score), bool(not failed and score <= judge.threshold))
+    got = {r.doc_id: (r.anomaly, r.kept) for r in rules.judge(docs, labels, loss=0.0).collect()}
+    assert got == want and len({k for _, k in got.values()}) == 2
+
+
+def test_forest_path_lengths_count_splits_and_leaf_sizes():
+    """Each leaf's length is its depth and the mean path among the rows that fell into it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(64, 2))
+    forest = rules.Forest.fit(x, trees=5, sample=64)
+    for feature, split, left, length in zip(forest.feature, forest.split, forest.left, forest.length, strict=True):
+        todo = [(0, x, 0)]
+        while todo:
+            at, held, depth = todo.pop()
+            if feature[at] < 0:
+                n = len(held)
+                assert length[at] == pytest.approx(depth + (0 if n <= 1 else 1 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n))
+            else:
+                below = held[:, feature[at]] < split[at]
+                todo += [(left[at], held[below], depth + 1), (left[at] + 1, held[~below], depth + 1)]
+
+
 # -- 9
 
 
@@ -324,6 +369,54 @@ def test_classifier(spark, rows):
     assert (again == weights).all()
 
 
+def test_weights_are_those_of_a_plain_loop(spark, rows):
+    """Follow the regularised leader, coordinate by coordinate, over the same rows in the same order."""
+    import pyarrow as pa
+
+    every = [r for r in rows if len(words(r[1])) > 10][:25] + junk(15)
+    docs, labels = table(spark, every), labelled(spark, every)
+    bits = 12
+    sample = docs.join(labels.select(F.col("doc_id").alias("d"), F.col("quality").alias("y")), F.col("doc_id") == F.col("d")).where("y IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), "y")
+    ordered = sample.orderBy(F.xxhash64("id", F.lit("order")), "id").collect()
+    made = quality.Ftrl(bits)
+    z, n = {}, {}
+
+    def weight(j):
+        s = z.get(j, 0.0)
+        return 0.0 if abs(s) <= made.l1 else -(s - math.copysign(made.l1, s)) / ((made.beta + math.sqrt(n.get(j, 0.0))) / made.alpha + made.l2)
+
+    for _ in range(2):
+        for r in ordered:
+            numbers, _ = quality.features(pa.array([r.t]), bits)
+            value = {j: math.log1p(c) for j, c in Counter(numbers.tolist()).items()}
+            norm = math.sqrt(sum(v * v for v in value.values()))
+            value = {j: v / norm for j, v in value.items()} | {1 << bits: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(j) * v for j, v in value.items())))
+            step = {j: (p - r.y) * v for j, v in value.items()}
+            for j, g in step.items():
+                sigma = (math.sqrt(n.get(j, 0.0) + g * g) - math.sqrt(n.get(j, 0.0))) / made.alpha
+                z[j], n[j] = z.get(j, 0.0) + g - sigma * weight(j), n.get(j, 0.0) + g * g
+    got = quality.train(sample, passes=2, bits=bits)
+    assert got == pytest.approx([weight(j) for j in range((1 << bits) + 1)], abs=1e-5) and np.count_nonzero(got) > 100
+    scored = {r.doc_id: r.score for r in quality.score(docs, got, bits).collect()}
+    for i, t, *_ in every[::7]:
+        numbers, _ = quality.features(pa.array([t]), bits)
+        value = {j: math.log1p(c) for j, c in Counter(numbers.tolist()).items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        assert scored[i] == pytest.approx(1 / (1 + math.exp(-sum(got[j] * v / norm for j, v in value.items()) - got[1 << bits])), abs=1e-5)
+
+
+def test_the_fit_is_bounded_in_bytes(spark, rows, monkeypatch):
+    every = [r for r in rows if len(words(r[1])) > 10] + junk(60)
+    docs, labels = table(spark, every), labelled(spark, every)
+    whole = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "FIT_BYTES", 3000)
+    part = quality.fit(docs, labels)
+    assert 0 < np.count_nonzero(part) < np.count_nonzero(whole) / 2
+    monkeypatch.setattr(quality, "FIT_TEXT", 0)
+    assert not quality.fit(docs, labels).any()
+
+
 def test_classifier_of_odd_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = table(spark, odd_rows())
@@ -371,11 +464,19 @@ def test_decontamination(spark, rows, docs):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({r[0] for r in rows} - {w[0] for w in want})
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(k, f"w{k} " * 9) for k in range(20)] + [(99, "Two words")], "item_id long, text string")
-    whole = sorted(decontaminate.find(docs, bench).collect())
+def test_a_large_benchmark_stays_distributed(spark, rows, docs, monkeypatch):
+    rng = random.Random(8)
+    long = [words(r[1]) for r in rows if len(words(r[1])) > 60]
+    items = [(k, " ".join((w := rng.choice(long))[(at := rng.randint(0, len(w) - 45)) : at + rng.randint(2, 45)])) for k in range(40)]
+    items += [(99, "Two words"), (98, ""), (97, None), (0, items[0][1]), (0, "other words of one id"), (0, items[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    odd = table(spark, [*rows, *odd_rows(), rows[3], rows[3]])
+    want = [sorted(map(str, decontaminate.find(d, bench).collect())) for d in (docs, odd)]
+    kept = sorted(map(str, decontaminate.clean(odd, bench).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)
-    assert sorted(decontaminate.find(docs, bench).collect()) == whole and whole
+    assert [sorted(map(str, decontaminate.find(d, bench).collect())) for d in (docs, odd)] == want and len(want[0]) > 40
+    assert sorted(map(str, decontaminate.clean(odd, bench).collect())) == kept
+    assert decontaminate.find(table(spark, []), bench).count() == 0
 
 
 def test_decontamination_of_no_rows(spark, docs):
@@ -415,3 +516,47 @@ def test_pipeline(spark, rows, tmp_path):
     assert leaks and set(got) == leaders - leaks
     assert {r.doc_id: r.ids_sha256 for r in stage.collect()} == {i: r.ids_sha256 for i, r in got.items()}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def thue_morse(order):
+    """Two texts that collide under any polynomial hash modulo 2 ** 64, as letters and as words."""
+    x = "a"
+    for _ in range(order):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_made_to_collide_are_told_apart(spark):
+    letters, said = thue_morse(10), [" ".join(x) for x in thue_morse(11)]
+    tail = [f"t{i}" for i in range(30)]
+    rows = [(i, " ".join([x, *tail]), "", "", 0) for i, x in enumerate(letters)] + [(10 + i, x, "", "", 0) for i, x in enumerate(said)]
+    docs = table(spark, rows)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(docs).collect()), key=str) == brute_spans(rows, 50)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()), key=str) == brute_components(rows)
+    got = {r.doc_id: r for r in interpolation.score(docs, F.lit(True), F.lit(False)).collect()}
+    count = Counter(x for _, t, *_ in rows for x in words(t))
+    n = sum(count.values()) + len(rows)
+    for i, t, *_ in rows:
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + len(count) + 1 + 1)) for x in words(t)) + math.log10((len(rows) + 1) / (n + len(count) + 1 + 1)))
+    bench = spark.createDataFrame([(0, letters[0]), (1, letters[1])], "item_id long, text string")
+    alone = table(spark, [(i, x, "", "", 0) for i, x in enumerate(letters)])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(alone, bench).collect()) == [(0, 0), (1, 1)]
+    twice = spark.createDataFrame([(0, "\n".join(letters), "", "", 0)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert rules.measure(twice).first().n_dup_lines == 0
+
+
+def test_base_figures_equal_sql(spark, rows, tmp_path):
+    import duckdb
+
+    from textmill.llm import catalog
+
+    table(spark, [r for r in rows if r[0] is not None], extra=False).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    labelled(spark, rows).write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("base_scores", "rule_statistics"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        rel = con.sql(catalog.ORACLE[name])
+        assert sorted(got.columns) == sorted(rel.columns)
+        at = [rel.columns.index(c) for c in got.columns]
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())

@@ -138,6 +138,51 @@ FROM ish JOIN dsh USING (k, s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
 
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of operator 1 that SQL can express."""
+    return op1_deleted_interpolation(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+#: DuckDB has no crc32: the rule bit by bit, a byte of the id's text coming in at every eighth bit.
+_BASE_SQL = rf"""
+WITH RECURSIVE crc(doc_id, s, bit, c) AS (
+  SELECT doc_id, doc_id::VARCHAR, 0, xor(4294967295::BIGINT, ascii((doc_id::VARCHAR)[1])::BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, s, bit + 1, xor(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+    CASE WHEN bit % 8 = 7 AND (bit + 1) // 8 < length(s) THEN ascii(s[(bit + 1) // 8 + 1])::BIGINT ELSE 0::BIGINT END)
+  FROM crc WHERE bit < 8 * length(s)
+),
+d AS (
+  SELECT doc_id, xor(c, 4294967295) % 7 = 2 AS held_out, list_append({_LOWER_WORDS}, NULL) AS w
+  FROM documents JOIN (SELECT doc_id, any_value(c) AS c FROM crc WHERE bit = 8 * length(s) GROUP BY doc_id) USING (doc_id)
+),
+t AS (SELECT doc_id, held_out, unnest(w) AS x FROM d),
+known AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
+every AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM known)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 6) AS base_score
+FROM t LEFT JOIN known ON t.x IS NOT DISTINCT FROM known.x, every GROUP BY doc_id, held_out
+"""
+
+_RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, h FROM win GROUP BY doc_id, h HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN twice USING (doc_id, h), range(0, 8) AS r(k) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN hit USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+"""
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of operator 7 that SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *rules.STATS, "base_failed")
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_main_text": op2_main_text,
@@ -149,5 +194,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontaminate": op10_decontaminate,
+    "base_scores": base_scores,
+    "rule_statistics": rule_statistics,
 }
-ORACLE: dict[str, str] = {"op3_substring_dedup": _OP3_SQL, "op5_jaccard_join": _OP5_SQL, "op6_chat": _OP6_SQL, "op10_decontaminate": _OP10_SQL}
+ORACLE: dict[str, str] = {"op3_substring_dedup": _OP3_SQL, "op5_jaccard_join": _OP5_SQL, "op6_chat": _OP6_SQL, "op10_decontaminate": _OP10_SQL, "base_scores": _BASE_SQL, "rule_statistics": _RULES_SQL}
