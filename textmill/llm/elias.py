@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import scratch
 from textmill.llm.memo import Memo
-from textmill.llm.words import U, Words, chunks
+from textmill.llm.words import U, Words, chunks, folded
 
 BLOCK_TOKENS = 1 << 20
 MAGIC = b"TMEF1\0\0\0"
@@ -203,7 +203,7 @@ class WordEncoder:
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts end to end, and the number of ids of each text."""
         words = Words(column, lower=True, cut=(_ALNUM, _STOP))
-        ids, edges = self.memo.ids(words.bytes, words.starts, words.ends, words.hash)
+        ids, edges = self.memo.ids(folded(words.bytes), words.starts, words.ends, words.hash)
         ends = edges[words.first]
         counts = np.diff(ends)
         if whole := self._whole(column):

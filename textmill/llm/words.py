@@ -111,6 +111,11 @@ class Words:
         return windows(self.hash, self.first, n)
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[buf]
+
+
 def _lanes(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each byte on, as one little-endian number; zeros follow the last."""
     padded = np.zeros(len(buf) + 8, dtype=np.uint8)
@@ -123,7 +128,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     n = ends - starts
     if not len(n):
         return np.zeros(0, dtype=U)
-    lanes = _lanes(_LOWER[buf] if lower else buf)
+    lanes = _lanes(folded(buf) if lower else buf)
     head = lanes[starts]
     head &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(n, 8)) * 8).astype(U)
     out = mix(head ^ _LANE)
