@@ -100,19 +100,20 @@ def _windows(asked: DataFrame, length: int) -> DataFrame:
     return asked.mapInArrow(run, "doc long, row long, at int, window long")
 
 
-#: At most so many phrases are hot: each has more than this part of all phrases.
+#: At most so many keys of a join are hot: each has more than this part of all rows.
 HOT = 2000
 
 
-def _at_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each phrase with what its class knows. The rows of a hot phrase stay where they are: its class comes
-    to them by broadcast, of at most HOT rows since the copies of all classes add up to all phrases."""
+def _beside(rows: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with what the class of its keys knows; classes have one row for each key and its number of rows
+    (copies). The rows of a hot key stay where they are: its class comes to them by broadcast, of at most HOT
+    rows since the copies of all classes add up to at most all rows."""
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    here, by = (F.col("copies") > max(1, total // HOT)), ["anchor", "phrase"]
+    here = F.col("copies") > max(1, total // HOT)
     hot = F.broadcast(classes.where(here))
-    columns = ["doc", "row", "start", "n", "least", "several"]
-    rest = found.join(hot.select(*by), by, "left_anti").join(classes.where(~here), by)
-    return found.join(hot, by).select(*columns).unionByName(rest.select(*columns))
+    rest = rows.join(hot.select(*by), by, "left_anti").join(classes.where(~here), by)
+    whole = rows.join(hot, by)
+    return whole.unionByName(rest.select(*whole.columns))
 
 
 def duplicate_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,15 +126,15 @@ def duplicate_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text
     # blocks with several phrases: there a phrase's first occurrence is checked at its boundaries
     several = classes.groupBy("anchor").agg(F.count("*").alias("phrases")).where("phrases > 1").select("anchor", F.lit(True).alias("several"))
     open_ = classes.join(several, "anchor", "left").where("several OR copies > 1").select("anchor", "phrase", "least", "copies", F.coalesce("several", F.lit(False)).alias("several"))
-    known = scratch.table(_at_classes(found, scratch.table(open_, "open-classes")), "known-phrases")
+    known = scratch.table(_beside(found, scratch.table(open_, "open-classes"), ["anchor", "phrase"]).select("doc", "row", "start", "n", "least", "several"), "known-phrases")
     # factors: phrases that stand whole in an earlier document
     copied = known.where("doc > least").select("doc", "row", "start", "n")
     # boundaries: first occurrences, window by window
     asks = known.where("several AND doc = least").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asks"))
     asks = scratch.table(asks, "boundary-phrases")
     seen = scratch.table(_windows(narrow.withColumnRenamed("k", "doc").join(asks, ["doc", "row"]).select(F.col("doc").alias("k"), "row", "t", "asks"), length), "boundary-windows")
-    first = seen.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select("window", "least")
-    edges = seen.join(first, "window").where("doc > least").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("n"))
+    first = seen.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("copies")).where("most > least")
+    edges = _beside(seen, scratch.table(first.drop("most"), "repeated-windows"), ["window"]).where("doc > least").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("n"))
     runs = copied.unionByName(edges).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = scratch.table(runs, "duplicate-spans")
     scratch.done_with(found, classes, known, asks, seen)
