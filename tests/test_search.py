@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from textmill.functions.snippet import snippet
 from textmill.operators import index, legacy, match, rank
-from textmill.plans.query import parse
+from textmill.plans.query import Hints, parse
 
 CHUNK = "chunk_id long, file_id long, ordinal int, filename string, extension string, location string, content string"
 FILE = "file_id long, path string, filename string, extension string, modified_time double, size long"
@@ -116,6 +116,12 @@ def test_boosts(spark):
     assert [spark.range(1).select(rank.evidence_boost(F.lit(n)).alias("b")).first().b for n in (1, 2, 3, 9)] == [0.0, -0.12, -0.24, -0.24]
 
 
+def test_hints_on_the_driver():
+    one = lambda place, **h: rank.hint_score(place, Hints(**h))
+    assert one("第 2 页", page=2) == -3 and one("第 12 页", page=2) == 0 and one("幻灯片 3", slide=3) == -3 and one("幻灯片 3 · 标题 x", slide=3) == 0
+    assert one("工作表 My Sheet · 行 1-2", sheet="my sheet", page=1) == -2.5 and one("工作表 My · 行 1-2", sheet="m%") == 0 and one("第 2 页") == 0
+
+
 def test_file_boosts_do_not_change_the_best_chunk(data):
     q = parse("report")
     best = {r.file_id: r.chunk_id for r in rank.best_chunks(rank.chunk_hits(data[4], q)).collect()}

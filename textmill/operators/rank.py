@@ -78,6 +78,15 @@ def structure_boost(h: Hints) -> Column:
     return page_boost(h.page) + slide_boost(h.slide) + sheet_boost(h.sheet)
 
 
+def hint_score(location: str, h: Hints) -> float:
+    """One location's boost for structure hints, on the driver: the exact page or slide, or the sheet whose rows it
+    names. Wildcards are not live here, and a slide with a title is another label."""
+    place = "".join(location.split())
+    sheet = None if h.sheet is None else "工作表" + "".join(h.sheet.split()).casefold() + "·行"
+    tests = ((h.page, -3.0, place == f"第{h.page}页"), (h.slide, -3.0, place == f"幻灯片{h.slide}"), (sheet, -2.5, place.casefold().startswith(sheet or " ")))
+    return sum((weight for wanted, weight, fits in tests if wanted is not None and fits), 0.0)
+
+
 def location_terms(plain: str, limit: int = 8) -> list[str]:
     """Distinct terms of the query, at most `limit`."""
     return list({t.casefold(): t for t in reversed(plain.split())}.values())[::-1][:limit]

@@ -237,6 +237,20 @@ def _hinted(**hints):
     return Query(hints=Hints(**hints))
 
 
+_PLACED = Hints(page=2, slide=4, sheet="Src 1")
+
+
+@R.add("location_boost_fn", f"WITH {FILES_SQL}, {CHUNKS_SQL}, l AS (SELECT DISTINCT location, replace(location, ' ', '') AS c FROM chunks) SELECT location, CASE WHEN c = '第2页' OR c = '幻灯片4' THEN -3.0::DOUBLE WHEN starts_with(lower(c), '工作表src1·行') THEN -2.5::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM l")
+def location_boost_fn(spark, d):
+    """The driver's form of the structure boosts, over all labels."""
+
+    def each(batches):
+        for part in batches:
+            yield part.assign(boost=[rank.hint_score(x, _PLACED) for x in part["location"]])
+
+    return views.chunks(spark, d).select("location").distinct().mapInPandas(each, "location string, boost double")
+
+
 _boost("boost_page", lambda: rank.page_boost(2), sql.structure_boost(_hinted(page=2)))
 _boost("boost_slide", lambda: rank.slide_boost(3), sql.structure_boost(_hinted(slide=3)))
 _boost("boost_sheet", lambda: rank.sheet_boost("SRC 1_"), sql.structure_boost(_hinted(sheet="SRC 1_")))
