@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmill.functions import snippet, tokens
 from textmill.operators import index, legacy, match, rank
 from textmill.plans import sql
-from textmill.plans.query import Filters, Hints, Query, chips, parse, split, without
+from textmill.plans.query import Filters, Hints, Query, chips, parse, split, state_label, without
 from textmill.plans.registry import Registry
 from textmill.sources import views
 from textmill.sources.views import CHUNKS_SQL, CJK_SQL, FILES_SQL
@@ -224,6 +224,9 @@ _parsed("parse_structure", ["terms", "page", "sheet"], lambda s, l: [(q := parse
 _parsed("lane_route", ["alone", "mixed"], lambda s, l: [parse("客户 经理").lane + parse(f'page:2 ext:{l} 客 "户 经"').lane, parse(f"{s} 客户").lane], "'cjkcjk' AS alone, 'word' AS mixed")
 
 
+_parsed("fn_state_label", ["label", "cut"], lambda s, l: [state_label(f" {s} ", l, "modified"), state_label(s * 20)], "source || '  ·  ' || upper(lang) || ' · 最近修改' AS label, repeat(source, 20)[1:43] || '…' AS cut")
+
+
 # -- boosts, each over all chunks or files
 
 
