@@ -76,6 +76,16 @@ class Stored:
         """The chunks themselves, sorted by chunk_id, with dl."""
         return self.spark.read.parquet(f"{self.base}/chunks")
 
+    @property
+    def terms(self) -> DataFrame:
+        """Per term, sorted: chunks that have it, and occurrences."""
+        return self.spark.read.parquet(f"{self.base}/terms")
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """In how many chunks each of a query's terms stands; out of those row groups of `terms` alone."""
+        found = {r.term: r.docs for r in self.terms.where(F.col("term").isin(terms)).select("term", "docs").collect()}
+        return {t: found.get(t, 0) for t in terms}
+
     @property
     def stats(self) -> DataFrame:
         return self.spark.createDataFrame([(self.n_chunks, self.avgdl)], "n_chunks long, avgdl double")
@@ -89,6 +99,7 @@ def write(chunks: DataFrame, base: str, lane: str = "word") -> Stored:
     tok = spark.read.parquet(f"{base}/tokens")
     spread = occurrences(tok).repartitionByRange("term", "chunk_id")
     grouped(spread).sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
+    vocabulary(spark.read.parquet(f"{base}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/terms")
     tok.drop("ft", "ct").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/chunks")
     n, mean = corpus_stats(tok).first()
     delete(spark, f"{base}/tokens")

@@ -9,6 +9,7 @@ counts phrases inside each chunk's token arrays, without an index and without a
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ def bm25(f: Column, dl: Column, avgdl: Column) -> Column:
 def scores(held: Stored | DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
     """(chunk_id, file_id, ordinal, carried columns, score) of chunks that hold every phrase; lower is better."""
     if isinstance(held, Stored):
+        if phrases and all(len(p) == 1 for p in phrases):
+            return known_scores(held, [p[0] for p in phrases], carry)
         return index_scores(held.postings, held.stats, phrases, carry)
     return scan_scores(held, phrases, carry)
 
@@ -96,6 +99,18 @@ def phrase_counts(posts: DataFrame, phrases: list[list[str]], carry: tuple[str,
     return beside.select(*keep, *[_weighted(starts(p)).alias(n) for p, n in zip(phrases, names, strict=True)]), names
 
 
+def known_scores(held: Stored, terms: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """index_scores for single words: the index knows in how many chunks each stands, so hits are scored as they are read."""
+    counted, names = phrase_counts(held.postings, [[t] for t in terms], carry)
+    n_with = held.frequencies(sorted(set(terms)))
+    mean, parts = held.avgdl or 1.0, []
+    for t, n in zip(terms, names, strict=True):
+        raw = math.log((held.n_chunks - n_with[t] + 0.5) / (n_with[t] + 0.5))
+        parts.append(F.lit(raw if raw > 0 else FLOOR) * bm25(F.col(n), F.col("dl"), F.lit(mean)))
+    hits = counted.where(functools.reduce(operator.and_, [F.col(n) > 0 for n in names]))
+    return hits.select("chunk_id", "file_id", "ordinal", *carry, (-functools.reduce(operator.add, parts)).alias("score"))
+
+
 def index_scores(posts: DataFrame, stats: DataFrame, phrases: list[list[str]], carry: tuple[str, ...] = ("location",)) -> DataFrame:
     """As scan_scores, out of postings and corpus_stats."""
     keep = ["chunk_id", "file_id", "ordinal", *carry]

@@ -76,12 +76,12 @@ def filter_path_escaped(spark, d):
 
 @R.add("tok_unicode61", f"{sql.tokenised('word')} SELECT term, count(DISTINCT chunk_id) AS docs, count(*) AS occurrences FROM posts GROUP BY term")
 def tok_unicode61(spark, d):
-    return index.vocabulary(_word(spark, d).postings)
+    return _word(spark, d).terms
 
 
 @R.add("tok_cjk_bigram", f"{sql.tokenised('cjk')} SELECT term, count(DISTINCT chunk_id) AS docs, count(*) AS occurrences FROM posts GROUP BY term")
 def tok_cjk_bigram(spark, d):
-    return index.vocabulary(_cjk(spark, d).postings)
+    return _cjk(spark, d).terms
 
 
 @R.add("corpus_stats", f"{sql.tokenised('word')} SELECT n_chunks, round(avgdl, 6) AS avgdl FROM stats")
