@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import LANES
@@ -21,6 +21,8 @@ WEIGHTS = (5.0, 1.0)
 NAME = 1 << 30
 #: Bytes of a row group of postings: a query reads those that its terms' statistics do not rule out.
 ROW_GROUP = 4 << 20
+#: Tasks that a frequent term's postings are dealt out over.
+PARTS = 32
 
 
 def tokenised(chunks: DataFrame, lane: str = "word") -> DataFrame:
@@ -31,20 +33,25 @@ def tokenised(chunks: DataFrame, lane: str = "word") -> DataFrame:
     return out.withColumn("dl", F.size("ft") + F.size("ct"))
 
 
-def occurrences(tok: DataFrame) -> DataFrame:
-    """(chunk_id, file_id, ordinal, location, dl, term, pos) of every token."""
-    entry = lambda shift: lambda t, i: F.struct(t.alias("term"), (i - shift).alias("pos"))
-    every = F.concat(F.transform("ft", entry(NAME)), F.transform("ct", entry(0)))
-    return tok.select("chunk_id", "file_id", "ordinal", "location", "dl", F.inline(every))
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later steps read as often as they like; inside a projection it would be evaluated anew each time."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def grouped(found: DataFrame) -> DataFrame:
-    """occurrences as postings (term, chunk_id, file_id, ordinal, location, dl, pos array<int>)."""
-    return found.groupBy("term", "chunk_id", "file_id", "ordinal", "location", "dl").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+def grouped(tok: DataFrame) -> DataFrame:
+    """Tokenised chunks as postings (term, chunk_id, file_id, ordinal, location, dl, pos array<int>), without a shuffle: a
+    chunk's tokens are sorted by term and place, and each run of one term is a row."""
+    entry = lambda shift: lambda t, i: F.struct(t.alias("term"), (i - shift).alias("pos"))
+    every = F.array_sort(F.concat(F.transform("ft", entry(NAME)), F.transform("ct", entry(0))))
+    runs = _held(tok.where("dl > 0").select("chunk_id", "file_id", "ordinal", "location", "dl", "ft", "ct"), "s", every).drop("ft", "ct")
+    first = lambda i: F.coalesce(F.get("s", i).term != F.get("s", i - 1).term, F.lit(True))
+    runs = _held(runs, "begins", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), first))
+    run = lambda b, k: F.struct(F.get("s", b).term.alias("term"), F.transform(F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.col("dl")) - b), lambda x: x.pos).alias("pos"))
+    return runs.select("chunk_id", "file_id", "ordinal", "location", "dl", F.inline(F.transform("begins", run))).select("term", "chunk_id", "file_id", "ordinal", "location", "dl", "pos")
 
 
 def postings(chunks: DataFrame, lane: str = "word") -> DataFrame:
-    return grouped(occurrences(tokenised(chunks, lane)))
+    return grouped(tokenised(chunks, lane))
 
 
 def corpus_stats(tok: DataFrame) -> DataFrame:
@@ -93,12 +100,12 @@ class Stored:
 
 def write(chunks: DataFrame, base: str, lane: str = "word") -> Stored:
     """Write the index of chunks (chunk_id, file_id, ordinal, filename, location, content): tokens once, then the
-    postings in ranges of (term, chunk), so that a frequent term is spread over as many files as it needs."""
+    postings by term, each term dealt out over at most PARTS tasks, and sorted by term and chunk."""
     spark = chunks.sparkSession
     tokenised(chunks, lane).write.parquet(f"{base}/tokens")
     tok = spark.read.parquet(f"{base}/tokens")
-    spread = occurrences(tok).repartitionByRange("term", "chunk_id")
-    grouped(spread).sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
+    dealt = grouped(tok).repartition(F.col("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
+    dealt.sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
     vocabulary(spark.read.parquet(f"{base}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/terms")
     tok.drop("ft", "ct").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/chunks")
     n, mean = corpus_stats(tok).first()
