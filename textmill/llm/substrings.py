@@ -132,7 +132,7 @@ def duplicate_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text
     # boundaries: first occurrences, window by window
     asks = known.where("several AND doc = least").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asks"))
     asks = scratch.table(asks, "boundary-phrases")
-    seen = scratch.table(_windows(narrow.withColumnRenamed("k", "doc").join(asks, ["doc", "row"]).select(F.col("doc").alias("k"), "row", "t", "asks"), length), "boundary-windows")
+    seen = scratch.table(_windows(narrow.withColumnRenamed("k", "doc").join(asks.hint("merge"), ["doc", "row"]).select(F.col("doc").alias("k"), "row", "t", "asks"), length), "boundary-windows")
     first = seen.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("copies")).where("most > least")
     edges = _beside(seen, scratch.table(first.drop("most"), "repeated-windows"), ["window"]).where("doc > least").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("n"))
     runs = copied.unionByName(edges).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -157,7 +157,8 @@ def _with_spans(docs: DataFrame, length: int, key: str, text: str, columns: list
     spans_of = duplicate_spans(docs, length, key, text)
     carried = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     empty = F.array().cast("array<struct<start:int,n:int>>")
-    joined = carried.join(spans_of, (F.col("k") == F.col("doc")) & (F.xxhash64("t") == F.col("row")), "left")
+    # the same plan at every size: spans grow with the corpus, so they are never broadcast by a guess of their size
+    joined = carried.join(spans_of.hint("merge"), (F.col("k") == F.col("doc")) & (F.xxhash64("t") == F.col("row")), "left")
     return joined.select("k", "t", F.coalesce("spans", empty).alias("spans"), *[f"c{i}" for i in range(len(columns))]), [f"c{i}" for i in range(len(columns))]
 
 
