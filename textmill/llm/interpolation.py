@@ -88,13 +88,15 @@ class Tokens:
         keys, where = np.unique(self.key(order), return_inverse=True)
         return keys, [np.bincount(where, f[self.owner], len(keys)).astype(U) for f in flags]
 
-    def estimates(self, counts: list[np.ndarray], all_tokens: float, all_texts: float, step: int = 1 << 18):
+    def estimates(self, counts: list[np.ndarray], all_tokens: float, all_texts: float, step: int = 1 << 16):
         """counts: of each order, aligned with its sorted keys. Yields, for a slice of the tokens at a time,
         the slice, unigram counts, the three estimates and the buckets of both contexts. Uses the tokens up."""
         places = []
         for order in range(3):
             places.append(np.unique(self.key(order), return_inverse=True)[1].astype(np.int32))
+            counts[order] = counts[order].astype(np.float32) if counts[order].max(initial=0) < 1 << 24 else counts[order]
         del self.now
+        exchange.tidy()
         for low in range(0, len(self), step):
             part = slice(low, min(low + step, len(self)))
             wide = slice(max(0, low - 1), part.stop)
@@ -163,10 +165,11 @@ class Weights:
                 now.one, now.two, now.three = held.value
                 total = np.zeros(4 * BUCKETS + 3)
                 for part in batches:
-                    for row in part.to_pylist():
-                        f1, f2, f3 = (np.frombuffer(row[c], np.float64) for c in ("f1", "f2", "f3"))
-                        k1, k2 = (np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("k1", "k2"))
+                    for i in range(part.num_rows):
+                        f1, f2, f3 = (np.frombuffer(part.column(c)[i].as_buffer(), np.float64) for c in ("f1", "f2", "f3"))
+                        k1, k2 = (np.frombuffer(part.column(c)[i].as_buffer(), np.uint8).astype(np.int64) for c in ("k1", "k2"))
                         total += now.expected(f1, f2, f3, k1, k2, unseen)
+                exchange.tidy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["slot", "v"])
 
             got = estimates.mapInArrow(run, "slot long, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect()
@@ -211,6 +214,7 @@ def _estimates(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_texts: in
         for part, _, f1, f2, f3, k1, k2 in tokens.estimates(kept, n_tokens, n_texts):
             here = train[tokens.owner[part]]
             rows.append([f[here].tobytes() for f in (f1, f2, f3)] + [k[here].astype(np.uint8).tobytes() for k in (k1, k2)])
+        del kept
         exchange.tidy()
         return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["f1", "f2", "f3", "k1", "k2"])
 
