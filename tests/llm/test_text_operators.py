@@ -1,12 +1,14 @@
 """Operators 2, 4, 6 and 8, against plain versions."""
 
 import base64
+import gc
 import hashlib
 import random
 import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -14,7 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from textmill.llm import bpe, chat, elias, html
+from textmill.llm import bpe, chat, elias, html, memo
+from textmill.llm.words import chunks
 
 from .helpers import corpus, odd_rows, table
 
@@ -55,6 +58,18 @@ def test_byte_bpe_rows(spark, plain):
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_workers_forget_segments_of_an_earlier_stage(spark):
+    docs = table(spark, corpus())
+
+    def memories(batches):
+        for part in chunks(batches, "text"):
+            held = sum(isinstance(x, memo.Memo) for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": [held] * part.num_rows})
+
+    assert bpe.round_trip(docs, RANKS).count() == docs.count()
+    assert {r.n for r in docs.select("text").mapInArrow(memories, "n long").collect()} == {0}
+
+
 def test_byte_bpe_offsets_and_split_characters(spark):
     texts = [(1, "naïve 漢字 😀", "", "", 0), (2, None, "", "", 0)]
     got = {r.doc_id: r for r in bpe.encode(table(spark, texts), RANKS, offsets=True).collect()}

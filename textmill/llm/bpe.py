@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.memo import Memo
 from textmill.llm.words import chunks, span_hashes, utf8
+from textmill.llm.worker import of_stage
 
 #: Fixed value: the pattern that splits text before merging in this vocabulary's encoders.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,10 +125,9 @@ class Coder:
         return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    """One for each Python worker, so that segments stay known from task to task."""
-    return Coder(path)
+    """One for each Python worker and stage, so that segments stay known from task to task."""
+    return of_stage(Coder, path)
 
 
 class ByteTable:

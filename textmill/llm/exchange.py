@@ -15,7 +15,6 @@ many keys is a matter of block_bytes(), which follows the executor's memory.
 
 from __future__ import annotations
 
-import ctypes
 import re
 from collections.abc import Callable
 
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import scratch
 from textmill.llm.words import U, Words, chunks
+from textmill.llm.worker import enter, tidy
 
 BLOCK_BYTES = 8 << 20
 #: Blocks of text whose keys make one bucket.
@@ -36,14 +36,6 @@ SPARE = 22
 _ZSTD = "zstd"
 
 
-def tidy() -> None:
-    """Give memory that a block has freed back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def block_bytes(spark: SparkSession) -> int:
     """Text in a block: a hundredth of the executor memory of one core, BLOCK_BYTES at least."""
     conf = spark.sparkContext.getConf()
@@ -165,6 +157,7 @@ def totals(asked: DataFrame, counts: int, name: str, answer: Callable[[np.ndarra
     row of each bucket. `answer` reshapes a sum before it is sent."""
 
     def run(table: pa.Table) -> pa.Table:
+        enter()
         keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
         ends = np.cumsum([0, *map(len, keys)])
         every, where = np.unique(np.concatenate(keys), return_inverse=True)

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from textmill.llm import worker
+
 U = np.uint64
 CHUNK_BYTES = 4 << 20
 _LANE, _ODD, _JOIN = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5)
@@ -31,7 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches, column: str, most: int = CHUNK_BYTES):
-    """Record batches cut so that `column` has at most `most` bytes in each, or one row."""
+    """Record batches cut so that `column` has at most `most` bytes in each, or one row. Memory freed by then goes
+    back to the system after the last."""
+    worker.enter()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,6 +47,7 @@ def chunks(batches, column: str, most: int = CHUNK_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, floor + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    worker.tidy()
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
