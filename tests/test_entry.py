@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from textmill.functions import scalar
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +38,37 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
+def same_as_sql(spark, con, name, folder):
+    df = entry.queries()[name](spark, str(folder))
+    rel = con.sql(entry.oracle_sql()[name])
+    rows = [tuple(r[c] for c in rel.columns) for r in df.collect()]
+    assert sorted(rows) == sorted(rel.fetchall())
+    return rows
+
+
+@pytest.fixture
+def capitals(spark, tmp_path):
+    """Documents that begin with letters whose capitals are not one letter everywhere."""
+    texts = ["straße ﬁn", "ǰ ŉ ΐ ᾳ ǆ և", "ß", "naïve ÿ ſ ა", "weiß nicht\nßß"]
+    rows = [(100 * i + 3, t, "de", "web", len(t)) for i, t in enumerate(texts)] + [(i, texts[0], "de", "web", 9) for i in (4, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return con, tmp_path
+
+
+def test_capitals_in_a_batch_of_documents(spark, capitals):
+    assert len(same_as_sql(spark, capitals[0], "sink_batch_writer", capitals[1])) == 6
+
+
+def test_capitals_of_all_characters(spark):
+    text = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+    rows = [text[i : i + 9999] for i in range(0, len(text), 9999)]
+    want = [duckdb.execute("SELECT upper(?)", [r]).fetchone()[0] for r in rows]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", scalar.upper("t").alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == want
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)

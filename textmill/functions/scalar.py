@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@functools.lru_cache(maxsize=1)
+def _capitals() -> tuple[str, str]:
+    """Characters that have a capital of one character, and these capitals; ß has ẞ."""
+    found = {"ß": "ẞ"}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        one = next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+        if one != c:
+            found[c] = one
+    return "".join(found), "".join(found.values())
+
+
+def upper(c: Column | str) -> Column:
+    """Capitals character by character, as SQL has them; Spark's own make SS of ß, and two letters of a ligature."""
+    return F.translate(_col(c), *_capitals())
+
+
 def stem(filename: Column | str, extension: Column | str) -> Column:
     return F.substring(_col(filename), F.lit(1), F.length(_col(filename)) - F.length(_col(extension)))
 
