@@ -302,6 +302,29 @@ def test_rules_without_labels_or_rows(spark, rows):
     assert rules.judge(table(spark, []), labelled(spark, rows)).count() == 0
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """The one bad row has the greatest hash of more than 20,000 ids."""
+    n = 20_050
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 24), i -> concat('w', i, 'x', id % 9))) AS text")
+    last = spark.range(n).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").tail(1)[0].id
+    judge = rules.fit(docs, spark.range(n).selectExpr("id AS doc_id", f"CAST(id <> {last} AS INT) AS quality"))
+    assert judge.forest is not None and judge.threshold < 1
+
+
+def test_threshold_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        cut = np.sort(rng.choice(rules.BINS, 12, replace=False))
+        good, bad = rng.integers(0, 9, 12) + 1, rng.integers(0, 9, 12)
+        bad[-1] += 1
+        loss = float(rng.choice([0, 0.1, 0.5]))
+        at = rules.threshold(cut, good, bad, loss)
+        gain = [(bad[i + 1 :].sum() / bad.sum() - 5 * good[i + 1 :].sum() / good.sum(), i) for i in range(12) if good[i + 1 :].sum() <= loss * good.sum()]
+        best = max(g for g, _ in gain)
+        kept = int((cut < at * rules.BINS).sum()) - 1
+        assert any(i == kept and abs(g - best) < 1e-12 for g, i in gain)
+
+
 def test_forest_finds_the_odd_one():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))

@@ -2,12 +2,13 @@
 
 Statistics of each whole text come from one vectorised pass without a shuffle. Two base rules
 reject outright. An isolation forest learns what good documents look like: its trees split random
-features at random values over subsamples of labelled good rows and a thin uniform background, and
+features at random values over shares of the labelled good rows and a thin uniform background, and
 a document that few splits isolate (a short mean path) is anomalous. The threshold is calibrated on labelled rows: the
 anomaly score that separates bad from good best while at most `loss` of the good rows exceed it.
 
-Fitting uses at most FIT_ROWS labelled rows, those with the least hashed ids; statistics, rules and
-scores cover every row. Without labelled rows of both kinds only the base rules decide.
+Fitting uses every labelled row that passes the base rules: all good rows are dealt out to the trees, so that
+each is in one at least, trees grow on executors, and the threshold is the best of BINS cuts by counts over all labelled
+rows. The driver gets the trees and the counts. Without labelled rows of both kinds only the base rules decide.
 
 Null text: no words, so base_failed. Empty tables give no rows. Repeated ids are judged row by row;
 a label that repeats or is null counts once or not at all. Extra columns never enter.
@@ -22,10 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm import scratch
 from textmill.llm.words import _SPACE, Words, chunks
 
-#: Bound on the labelled rows that the forest and its threshold are fitted on.
-FIT_ROWS = 20_000
+#: Trees of a forest, the rows that a tree has at least where there are so many, and its greatest depth.
+TREES, TREE_ROWS, DEPTH = 150, 512, 9
+#: Uniform background rows for each good one.
+BACKGROUND = 0.3
+#: Cuts of the score, 0 to 1, among which the threshold is chosen.
+BINS = 1 << 16
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "shouts", "bare_words", "stutter")
@@ -117,34 +123,40 @@ class Forest:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 150, sample: int = 512, seed: int = 7) -> Forest:
-        rng = np.random.default_rng(seed)
-        sample = min(sample, len(x))
-        depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
-        grown = []
-        for _ in range(trees):
-            nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
-            todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
-            while todo:
-                at, rows, level = todo.pop()
-                spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
-                if level >= depth or not len(spread):
-                    nodes[at] = [-1, 0.0, 0, level + cls._average(len(rows))]
-                    continue
-                f = int(rng.choice(spread))
-                value = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-                below = rows[:, f] < value
-                nodes[at] = [f, value, len(nodes), 0.0]
-                nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
-                todo += [(int(nodes[at][2]), rows[below], level + 1), (int(nodes[at][2]) + 1, rows[~below], level + 1)]
-            grown.append(nodes)
-        size = max(map(len, grown))
-        a = np.zeros((trees, size, 4))
+    def grow(cls, rows: np.ndarray, rng: np.random.Generator, depth: int) -> np.ndarray:
+        """One tree over all rows given: of each node feature, split value, left child and path length."""
+        nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
+        todo = [(0, rows, 0)]
+        while todo:
+            at, rows, level = todo.pop()
+            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
+            if level >= depth or not len(spread):
+                nodes[at] = [-1, 0.0, 0, level + cls._average(len(rows))]
+                continue
+            f = int(rng.choice(spread))
+            value = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            below = rows[:, f] < value
+            nodes[at] = [f, value, len(nodes), 0.0]
+            nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
+            todo += [(int(nodes[at][2]), rows[below], level + 1), (int(nodes[at][2]) + 1, rows[~below], level + 1)]
+        return np.array(nodes)
+
+    @classmethod
+    def of(cls, grown: list[np.ndarray], sample: float) -> Forest:
+        """Trees of about `sample` rows each."""
+        a = np.zeros((len(grown), max(map(len, grown)), 4))
         a[:, :, 0] = -1
         for i, nodes in enumerate(grown):
             a[i, : len(nodes)] = nodes
         return cls(a[:, :, 0].astype(np.int16), a[:, :, 1], a[:, :, 2].astype(np.int32), a[:, :, 3], max(cls._average(sample), 1e-9))
 
+    @classmethod
+    def fit(cls, x: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 7) -> Forest:
+        rng = np.random.default_rng(seed)
+        sample = min(sample, len(x))
+        depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
+        return cls.of([cls.grow(x[rng.choice(len(x), sample, replace=False)], rng, depth) for _ in range(trees)], sample)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly of each row, 0 to 1: 2 ** -(mean path / expected path)."""
         total = np.zeros(len(x))
@@ -162,12 +174,20 @@ class Forest:
         return 2.0 ** -(total / len(self.feature) / self.expected)
 
 
-def with_background(good: np.ndarray, all_rows: np.ndarray, share: float = 0.3, seed: int = 7) -> np.ndarray:
+def with_background(good: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Good rows and a thin uniform background over the range of all labelled rows, so that splits
     also fall where good rows never are and what lies there is soon isolated."""
-    rng = np.random.default_rng(seed)
-    low, high = all_rows.min(axis=0), all_rows.max(axis=0)
-    return np.concatenate([good, rng.uniform(low, high, (max(1, int(share * len(good))), good.shape[1]))])
+    return np.concatenate([good, rng.uniform(low, high, (max(1, int(BACKGROUND * len(good))), good.shape[1]))])
+
+
+def threshold(cut: np.ndarray, good: np.ndarray, bad: np.ndarray, loss: float) -> float:
+    """cut: bins that hold rows, ascending, with the numbers of good and bad rows in each. Of the cuts that at most
+    `loss` of the good rows exceed, the one with the best balance of bad and good rejected, as a score."""
+    lost, caught = 1 - np.cumsum(good) / good.sum(), 1 - np.cumsum(bad) / bad.sum()
+    gain = np.where(np.cumsum(good) >= (1 - loss) * good.sum(), caught - 5 * lost, -np.inf)
+    best = int(np.flatnonzero(gain == gain.max())[-1])
+    upper = cut[best + 1] if best + 1 < len(cut) else cut[best] + 1
+    return float((cut[best] + 1 + upper) / 2 / BINS)
 
 
 @dataclass
@@ -175,24 +195,6 @@ class Judge:
     forest: Forest | None
     threshold: float
 
-    @classmethod
-    def fit(cls, x: np.ndarray, good: np.ndarray, loss: float) -> Judge:
-        """A forest of the good rows and the score above which documents go: of the thresholds that
-        at most `loss` of the good rows exceed, the one with the best balance of bad and good rejected."""
-        if good.sum() < 8 or not (~good).any():
-            return cls(None, float("inf"))
-        forest = Forest.fit(with_background(x[good], x))
-        s = forest.score(x)
-        ok, bad = np.sort(s[good]), np.sort(s[~good])
-        cuts = np.unique(np.concatenate([ok, bad]))
-        lost = 1 - np.searchsorted(ok, cuts, side="right") / len(ok)
-        caught = 1 - np.searchsorted(bad, cuts, side="right") / len(bad)
-        allowed = lost <= loss
-        gain = np.where(allowed, caught - 5 * lost, -np.inf)
-        best = int(np.flatnonzero(gain == gain.max())[-1])
-        upper = cuts[min(best + 1, len(cuts) - 1)]
-        return cls(forest, float((cuts[best] + upper) / 2))
-
     def accept(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         score = self.forest.score(x) if self.forest is not None else np.zeros(len(x))
         return score <= self.threshold, score
@@ -216,17 +218,53 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, loss: float = 0.004, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> Judge:
-    """Fitted on at most `rows` labelled documents, chosen by hashed id before any text is read."""
+def _matrix(column) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(lists.flatten(), dtype=float).reshape(-1, len(FEATURES))
+
+
+def _forest(labelled: DataFrame, n_good: int, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
+    """Every good row is in one tree at least, in more while trees would have less than their rows."""
+    least = TREE_ROWS / (1 + BACKGROUND)
+    copies = max(1, min(TREES, int(np.ceil(TREES * least / n_good))))
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, good = table.column("tree")[0].as_py(), _matrix(table.column("features"))
+        rng = np.random.default_rng([seed, tree])
+        rows = with_background(good[np.lexsort(good.T)], low, high, rng)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "nodes": pa.array([Forest.grow(rows, rng, DEPTH).ravel()], pa.list_(pa.float64()))})
+
+    dealt = labelled.where("good").select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "id", "features")
+    dealt = dealt.select(F.pmod(F.xxhash64("id", "copy"), F.lit(TREES)).cast("int").alias("tree"), "features")
+    # at most TREES trees of 2 ** (DEPTH + 1) nodes
+    grown = dealt.groupBy("tree").applyInArrow(run, "tree int, nodes array<double>").toArrow().sort_by("tree")
+    return Forest.of([np.asarray(x.values).reshape(-1, 4) for x in grown.column("nodes")], n_good * copies * (1 + BACKGROUND) / TREES)
+
+
+def fit(docs: DataFrame, labels: DataFrame, loss: float = 0.004, key: str = "doc_id", text: str = "text") -> Judge:
+    """Fitted on every labelled document that passes the base rules."""
+    spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality")).where("id IS NOT NULL AND quality IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
-    marked = marked.orderBy(F.xxhash64("id"), "id").limit(rows)
-    # at most `rows` rows of two numbers: its size is bounded by the parameter
-    sample = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(marked), "id").select("id", "text", "quality")
-    features = measure(sample.select(F.struct("id", "quality").alias("doc"), "text"), "doc")
-    got = features.where(~base_failed()).orderBy(F.xxhash64("doc.id"), "doc.id").limit(rows).select("doc.quality", "features").toArrow()
-    good = np.asarray(got.column("quality").to_numpy()) == 1
-    x = np.array(got.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return Judge.fit(x, good, loss)
+    measured = measure(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "id").where(~base_failed())
+    labelled = scratch.table(measured.join(marked, "id").select("id", (F.col("quality") == 1).alias("good"), "features"), "labelled-features")
+    ends = [f(F.col("features")[i]) for f in (F.min, F.max) for i in range(len(FEATURES))]
+    n_good, n_bad, *ends = labelled.agg(F.count_if("good"), F.count_if(~F.col("good")), *ends).first()
+    if n_good < 8 or not n_bad:
+        scratch.done_with(labelled)
+        return Judge(None, float("inf"))
+    forest = _forest(labelled, n_good, np.array(ends[: len(FEATURES)]), np.array(ends[len(FEATURES) :]))
+    held = spark.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for part in batches:
+            if part.num_rows:
+                cut = np.minimum(held.value.score(_matrix(part.column("features"))) * BINS, BINS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cut), part.column("good")], ["cut", "good"])
+
+    counts = labelled.select("good", "features").mapInArrow(run, "cut int, good boolean").groupBy("cut").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counts = counts.toArrow().sort_by("cut")  # at most BINS rows
+    scratch.done_with(labelled)
+    return Judge(forest, threshold(*(counts.column(c).to_numpy() for c in ("cut", "good", "bad")), loss))
 
 
 def judge(docs: DataFrame, labels: DataFrame, loss: float = 0.004, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
